@@ -46,6 +46,11 @@ def event_seq(spark: SparkSession, sf_dir: str) -> Sequence:
     return measured(table(spark, sf_dir, "events"), EVENT_SEQ)
 
 
+def frame_seq(spark: SparkSession, sf_dir: str) -> Sequence:
+    bucket = event_seq(spark, sf_dir).bucket
+    return Sequence(("user_id",), ("frame_time", "frame_number"), bucket and "floor(frame_time / 86400)")
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).filter("event_type = 'view'").select(
         "user_id", F.col("event_id").alias("frame_number"), F.col("t").alias("frame_time"), "value", "k"
