@@ -10,13 +10,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions.scalars import clip
-from strandline.operators.features import lag_matrix, lag_terms, usable, warmup
-from strandline.sequence import Sequence, ordered_fold
+from strandline.operators.features import lag_columns, lag_matrix, lag_terms, usable, warmup
+from strandline.sequence import Sequence, framed, ordered_fold, with_field, with_position
 
 MAX_TERMS = 10_000
 JITTER = 1e-10
@@ -175,7 +177,7 @@ def _simulate(
 
     Only the autoregressive part needs order; everything exogenous is in ``drive`` already.
     """
-    na, schema = max(len(ar), 1), df.schema.add(out, "double")
+    na, schema = max(len(ar), 1), with_field(df, out, T.DoubleType())
     low, high = bounds if bounds is not None else (-np.inf, np.inf)
 
     def start() -> list[float]:
@@ -285,8 +287,6 @@ def grid_search(
         return at_row.filter(F.col("y").isNotNull() & ~F.isnan("y"))
 
     def positioned(df: DataFrame) -> DataFrame:
-        from strandline.sequence import with_position
-
         return with_position(df, seq, "__at")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,8 +372,6 @@ def grid_search(
         raw = _free_run_sums(validation, seq, models, starts)
     sums = raw.groupBy("combo").agg(*[F.sum(c).alias(c) for c in ("n", "e2", "e1", "y1", "y2")]).filter(F.col("n") > 0)
 
-    from strandline.operators.metrics import information_criteria
-
     catalogue = spark.createDataFrame(
         [(k, *combos[k], len(index[k]), models[k].n_samples) for k in models],
         "combo int, na int, nb int, nk int, n_params int, n_train long",
@@ -399,9 +397,6 @@ def grid_search(
 
 def _free_run_sums(validation: DataFrame, seq: Sequence, models: dict[int, LinearModel], starts: list[int]) -> DataFrame:
     """Error sums of every model's free run: one ordered pass simulates all models side by side."""
-    from strandline.operators.features import lag_columns
-    from strandline.sequence import framed, with_position
-
     first = next(iter(models.values()))
     y, xs = first.y, list(first.xs)
     reach = max([m.nk + m.nb - 1 for m in models.values()] + [0])
@@ -422,8 +417,6 @@ def _free_run_sums(validation: DataFrame, seq: Sequence, models: dict[int, Linea
         return {k: [0.0] * max(na, 1) for k, na, *_ in spec}
 
     def step(state, rows):
-        import pandas as pd
-
         truth, position, out = rows["__y"].to_numpy(float), rows["__at"].to_numpy(), []
         for k, na, ar, columns, b, t0 in spec:
             drive = rows[columns].to_numpy(float) @ b if columns else np.zeros(len(rows))
@@ -517,7 +510,8 @@ def fit_power_ridge(
     pad = max(high - low, SCALE_EPS) * margin
     linear = LinearModel(y, tuple(xs), na, nb, nk, (), n)
     return PowerModel(
-        linear, tuple(mean), tuple(scale), degree, power_from, alpha, (low - pad, high + pad), clip_predictions, tuple(theta)
+        linear, tuple(mean.tolist()), tuple(scale.tolist()), degree, power_from, alpha,
+        (float(low - pad), float(high + pad)), clip_predictions, tuple(theta.tolist()),
     )
 
 
@@ -598,5 +592,5 @@ def simulate_powers(df: DataFrame, seq: Sequence, model: PowerModel, out: str =
                 past.pop()
         return part.assign(**{out: predicted})
 
-    done = ordered_fold(driven, seq.keys, seq.order_by, start, step, driven.schema.add(out, "double"))
+    done = ordered_fold(driven, seq.keys, seq.order_by, start, step, with_field(driven, out, T.DoubleType()))
     return done.withColumn(out, F.when(~F.isnan(out), F.col(out))).drop("__drive")

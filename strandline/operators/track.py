@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandline.sequence import Sequence, framed, ordered_fold, running_sum, with_position
+from strandline.sequence import Sequence, framed, ordered_fold, running_sum, with_field, with_position
 
 
 @dataclass(frozen=True)
@@ -188,7 +189,7 @@ def track_objects(
             at = end
         return part.iloc[hits].drop(columns="__size").assign(track_in_episode=np.asarray(ids, dtype=np.int64))
 
-    schema = rows.schema.add("track_in_episode", "bigint")
+    schema = with_field(rows, "track_in_episode", T.LongType())
     done = ordered_fold(sized.select(*rows.columns, "__size"), [*keys, "episode"], [frame, detection], start, step, schema)
     return done.withColumn("track_key", F.struct("episode", F.col("track_in_episode").alias("n"))).drop(
         "episode", "track_in_episode"

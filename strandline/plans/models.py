@@ -8,10 +8,10 @@ from strandline.operators import features, linear, metrics, split
 from strandline.plans.jobs import Run
 from strandline.plans.registry import query
 from strandline.plans.splits import CHUNK_SQL, LENGTH, GAP, MIN_ROWS, chunks, with_roles
-from strandline.plans.stand_ins import LINE_KEY, LINE_SEQ, line_seq, lines, near, near_sql, table
+from strandline.plans.stand_ins import LINE_SEQ, lines, near, near_sql, table
+from strandline.session import cut_lineage
 
 
-KEY = LINE_KEY.split(", ")
 CHUNK_SEQ = split.chunk_sequence(LINE_SEQ)
 Y, X = "l_quantity", "l_discount"
 C_KEY = "l_suppkey, chunk_index, sample_index"
@@ -141,9 +141,10 @@ def fit_power_ridge(spark, sf_dir):
 
 
 def split_rows(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
+    """Chunk rows with their roles, computed once: a fit and a score read them several times."""
+    rows = chunks(spark, sf_dir).select("l_suppkey", "chunk_index", "sample_index", Y, X, "l_tax")
     roles = with_roles(spark, sf_dir, trials=50).select("l_suppkey", "chunk_index", "split_role")
-    return rows.join(roles, ["l_suppkey", "chunk_index"])
+    return cut_lineage(rows.join(roles, ["l_suppkey", "chunk_index"]))
 
 
 @query("k3_grid_search")
@@ -183,9 +184,7 @@ def specified_fit(spark, sf_dir):
 
 def arx_run(spark, sf_dir) -> Run:
     """Fit on train chunks, predict and score the others, and gather every result table."""
-    from strandline.session import cut_lineage
-
-    rows = cut_lineage(split_rows(spark, sf_dir).select("l_suppkey", "chunk_index", "sample_index", "split_role", Y, X, "l_tax"))
+    rows = split_rows(spark, sf_dir)
     train, validation = (rows.filter(F.col("split_role") == r) for r in ("train", "validation"))
     scores, best = linear.grid_search(train, validation, CHUNK_SEQ, Y, [X, "l_tax"], [0, 1, 2], [1, 2], [0, 1])
     predicted = linear.predict_aligned(rows, CHUNK_SEQ, best)
@@ -193,7 +192,9 @@ def arx_run(spark, sf_dir) -> Run:
         predicted.filter("has_full_history"), Y, {"one_step_ahead": "y_pred_osa", "free_run": "y_pred_freerun"}, ("split_role",)
     )
     coefficients = spark.createDataFrame(list(zip(best.names, best.theta)), "name string, value double")
-    manifest = with_roles(spark, sf_dir, trials=50)
+    manifest = rows.groupBy("l_suppkey", "chunk_index", "split_role").agg(
+        F.count("*").alias("n_rows"), F.min("sample_index").alias("start_sample_index"), F.max("sample_index").alias("end_sample_index")
+    )
     tables = {"coefficients": coefficients, "grid": scores, "predictions": predicted, "metrics": scored, "manifest": manifest}
     return Run(tables, {"target": Y, "na": best.na, "nb": best.nb, "nk": best.nk, "length": LENGTH, "gap": GAP, "min_rows": MIN_ROWS})
 

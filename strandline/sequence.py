@@ -23,6 +23,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 BUCKET = "__bucket"
@@ -197,6 +198,11 @@ def framed(
     return out if keep_position else out.drop(POSITION)
 
 
+def with_field(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The table's schema plus one field (a copy: ``StructType.add`` would change the original)."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
 def ordered_fold(
     df: DataFrame,
     keys: Iterable[str],

@@ -23,32 +23,32 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class _Ordered(StatefulProcessor):
-    """Buffers (time, order, a, b) rows per key; subclasses consume them in order."""
+    """Buffers (time, frame, item, a, b) rows per key; subclasses consume them in order.
+
+    One timer waits for the earliest held row; when it fires, every row the watermark has passed is
+    consumed. All rows of a frame must share one event time.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "at long, frame long, item long, a double, b double")
         self.memory = handle.getValueState("memory", "body string")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        held, due = [], set()
-        for part in rows:
-            for at, frame, item, a, b in zip(part["at"], part["frame"], part["item"], part["a"], part["b"]):
-                held.append((int(at), int(frame), int(item), float(a), float(b)))
-                due.add(int(at))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [r for part in rows for r in part[["at", "frame", "item", "a", "b"]].itertuples(index=False, name=None)]
         self.waiting.appendList(held)
-        for at in due:
-            self.handle.registerTimer(at)
+        self.handle.registerTimer(int(min(r[0] for r in held)))
         return iter(())
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        upto = expired.getExpiryTimeInMs()
-        rows = sorted(self.waiting.get())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
         ready, later = [r for r in rows if r[0] <= upto], [r for r in rows if r[0] > upto]
         if not ready:
             return iter(())
         if later:
             self.waiting.put(later)
+            self.handle.registerTimer(int(later[0][0]))
         else:
             self.waiting.clear()
         body = json.loads(self.memory.get()[0]) if self.memory.exists() else None
