@@ -190,7 +190,7 @@ def static_context(df: DataFrame, c: str, values: tuple[str, ...]) -> DataFrame:
 
 def require_key(df: DataFrame, c: str, kind: str = "bigint") -> DataFrame:
     """Drop rows whose key is missing or not numeric; cast the rest."""
-    return df.withColumn(c, to_double(c)).filter(F.col(c).isNotNull()).withColumn(c, F.col(c).cast(kind))
+    return df.withColumn(c, to_double(c)).filter(F.col(c).isNotNull()).withColumn(c, F.col(c).try_cast(kind))
 
 
 def frame_events(df: DataFrame, counter: str, t: str) -> DataFrame:

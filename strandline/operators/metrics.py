@@ -117,18 +117,23 @@ def metrics_by(df: DataFrame, truth: str, predictions: dict[str, str], dims: tup
     return scored.join(means, on).drop(*[means[c] for c in ("mode", *dims)])
 
 
+def _correlation(a: Column, b: Column) -> Column:
+    """Pearson r; NULL below 2 pairs or with a constant side (where ``corr`` itself fails in ANSI mode)."""
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when((F.count(a) >= 2) & (spread > 0), F.covar_pop(a, b) / spread)
+
+
 def pearson(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = (), out: str = "r") -> DataFrame:
     """Pearson r over finite pairs; missing for fewer than 2 pairs or a constant side."""
     ok = all_finite(x, y)
     a, b = F.when(ok, F.col(x).cast("double")), F.when(ok, F.col(y).cast("double"))
-    r = F.when((F.count(a) >= 2) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
-    return df.groupBy(*keys).agg(r.alias(out), F.count(a).alias("n_pairs"))
+    return df.groupBy(*keys).agg(_correlation(a, b).alias(out), F.count(a).alias("n_pairs"))
 
 
 def lag_correlations(df: DataFrame, seq: Sequence, y: str, xs: list[str], max_lag: int) -> DataFrame:
     """Correlation of ``y`` with each input at lags 0..max_lag, over all sequences; lags stay inside one.
 
-    All lags come from one window pass and all correlations from one aggregate.
+    All lags come from one window pass and all correlations from one map-side-combined aggregate.
     """
     names = {(x, k): f"__{i}_{k}" for i, x in enumerate(xs) for k in range(max_lag + 1)}
     lagged = framed(
@@ -137,18 +142,14 @@ def lag_correlations(df: DataFrame, seq: Sequence, y: str, xs: list[str], max_la
         lambda w: {n: (F.lag(x, k).over(w.order) if k else F.col(x)).cast("double") for (x, k), n in names.items()},
         before=max_lag,
     )
-    aggs = []
-    for n in names.values():
-        ok = F.col(n).isNotNull() & F.col(y).isNotNull()
-        a, b = F.when(ok, F.col(n)), F.when(ok, F.col(y).cast("double"))
-        r = F.when((F.count(a) >= 2) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
-        aggs.append(F.struct(r.alias("r"), F.count(a).alias("n_pairs")).alias(n))
-    row = lagged.agg(*aggs)
-    items = [
-        F.struct(F.lit(x).alias("input"), F.lit(k).alias("lag"), F.col(f"{n}.r").alias("r"), F.col(f"{n}.n_pairs").alias("n_pairs"))
-        for (x, k), n in names.items()
-    ]
-    return row.select(F.explode(F.array(*items)).alias("s")).select("s.*")
+    # One narrow aggregate over (input, lag) rows: hundreds of wide aggregates would defeat code generation.
+    long = lagged.select(
+        F.col(y).cast("double").alias("__y"),
+        F.inline(F.array(*[F.struct(F.lit(x).alias("input"), F.lit(k).alias("lag"), F.col(n).alias("__x")) for (x, k), n in names.items()])),
+    )
+    both = F.col("__x").isNotNull() & F.col("__y").isNotNull()
+    a, b = F.when(both, F.col("__x")), F.when(both, F.col("__y"))
+    return long.groupBy("input", "lag").agg(_correlation(a, b).alias("r"), F.count(a).alias("n_pairs"))
 
 
 def target_bounds(df: DataFrame, y: str, low: float | None = None, margin: float = 0.0, relative: bool = False) -> DataFrame:

@@ -32,17 +32,25 @@ class TrackRules:
 DROPLET_RULES = TrackRules(20.0, 3, 2, 6.0, 4.0)
 SPATTER_RULES = TrackRules(18.0, 2, 2, 3.0, 1.0)
 
-_MOVE = np.array([[1.0, 0, 1, 0], [0, 1.0, 0, 1], [0, 0, 1.0, 0], [0, 0, 0, 1.0]])
-
-
-@dataclass
+@dataclass(slots=True)
 class Track:
-    """One object: filter state, first and latest position, and counters."""
+    """One object: filter state, first position and counters.
+
+    The motion and noise of the constant-velocity filter are alike on both axes and do not mix them,
+    so each axis has its own (position, velocity) and both share one 2 x 2 covariance
+    [[pp, pv], [pv, vv]].
+    """
 
     id: int
-    state: np.ndarray
-    cov: np.ndarray
-    first: tuple[int, int]
+    x: float
+    y: float
+    vx: float
+    vy: float
+    pp: float
+    pv: float
+    vv: float
+    first_x: int
+    first_y: int
     hits: int = 1
     missed: int = 0
     confirmed: bool = False
@@ -57,16 +65,22 @@ class TrackerState:
     frame: int | None = None
 
 
-def _predict(track: Track, rules: TrackRules) -> None:
-    track.state = _MOVE @ track.state
-    track.cov = _MOVE @ track.cov @ _MOVE.T + rules.process_noise * np.eye(4)
+def _predict(t: Track, noise: float) -> None:
+    t.x += t.vx
+    t.y += t.vy
+    t.pp += 2 * t.pv + t.vv + noise
+    t.pv += t.vv
+    t.vv += noise
 
 
-def _correct(track: Track, x: float, y: float, rules: TrackRules) -> None:
-    seen = track.cov[:2, :2] + rules.measurement_noise * np.eye(2)
-    gain = track.cov[:, :2] @ np.linalg.inv(seen)
-    track.state = track.state + gain @ (np.array([x, y]) - track.state[:2])
-    track.cov = track.cov - gain @ track.cov[:2, :]
+def _correct(t: Track, x: float, y: float, noise: float) -> None:
+    total = t.pp + noise
+    gain_p, gain_v = t.pp / total, t.pv / total
+    dx, dy = x - t.x, y - t.y
+    t.x, t.vx = t.x + gain_p * dx, t.vx + gain_v * dx
+    t.y, t.vy = t.y + gain_p * dy, t.vy + gain_v * dy
+    t.vv -= gain_v * t.pv
+    t.pp, t.pv = t.pp * (1 - gain_p), t.pv * (1 - gain_p)
 
 
 def coast(state: TrackerState, frames: int, rules: TrackRules) -> None:
@@ -75,52 +89,62 @@ def coast(state: TrackerState, frames: int, rules: TrackRules) -> None:
         if not state.tracks:
             return
         for track in state.tracks:
-            _predict(track, rules)
+            _predict(track, rules.process_noise)
             track.missed += 1
         state.tracks = [t for t in state.tracks if t.missed <= rules.max_missed]
 
 
-def advance(state: TrackerState, xs: np.ndarray, ys: np.ndarray, rules: TrackRules) -> list[tuple[int, int]]:
+def _near(tracks: list[Track], xs: list[float], ys: list[float], radius: float) -> list[tuple[float, int, int]]:
+    """(distance, track, detection) within the radius, nearest first."""
+    if len(tracks) * len(xs) <= 256:
+        near = [
+            (d, i, j) for i, t in enumerate(tracks) for j, (x, y) in enumerate(zip(xs, ys))
+            if (d := math.hypot(x - t.x, y - t.y)) <= radius
+        ]
+    else:
+        tx, ty = np.array([t.x for t in tracks]), np.array([t.y for t in tracks])
+        distance = np.hypot(np.asarray(xs)[None, :] - tx[:, None], np.asarray(ys)[None, :] - ty[:, None])
+        i, j = np.nonzero(distance <= radius)
+        near = list(zip(distance[i, j].tolist(), i.tolist(), j.tolist()))
+    near.sort()
+    return near
+
+
+def advance(state: TrackerState, xs: list[float], ys: list[float], rules: TrackRules) -> list[tuple[int, int]]:
     """One frame: match detections to predictions, nearest first; returns confirmed (detection, track id)."""
-    for track in state.tracks:
-        _predict(track, rules)
-    pairs = []
-    if state.tracks and len(xs):
-        at = np.array([t.state[:2] for t in state.tracks])
-        distance = np.hypot(xs[None, :] - at[:, :1], ys[None, :] - at[:, 1:])
-        near = np.argwhere(distance <= rules.radius)
-        order = np.lexsort((near[:, 1], near[:, 0], distance[near[:, 0], near[:, 1]]))
-        pairs = near[order]
+    tracks = state.tracks
+    for track in tracks:
+        _predict(track, rules.process_noise)
+        track.missed += 1
     used_tracks: set[int] = set()
     used: set[int] = set()
     out = []
-    for t, d in pairs:
-        if t in used_tracks or d in used:
+    for _, i, j in _near(tracks, xs, ys, rules.radius):
+        if i in used_tracks or j in used:
             continue
-        used_tracks.add(int(t))
-        used.add(int(d))
-        track = state.tracks[t]
-        _correct(track, float(xs[d]), float(ys[d]), rules)
+        used_tracks.add(i)
+        used.add(j)
+        track = tracks[i]
+        _correct(track, xs[j], ys[j], rules.measurement_noise)
         track.missed, track.hits = 0, track.hits + 1
-        dx, dy = int(xs[d]) - track.first[0], int(ys[d]) - track.first[1]
-        track.confirmed = track.confirmed or (
-            track.hits >= rules.min_hits and math.hypot(dx, dy) >= rules.min_displacement and dy >= rules.min_vertical
-        )
+        if not track.confirmed:
+            dx, dy = xs[j] - track.first_x, ys[j] - track.first_y
+            track.confirmed = (
+                track.hits >= rules.min_hits and math.hypot(dx, dy) >= rules.min_displacement and dy >= rules.min_vertical
+            )
         if track.confirmed:
-            out.append((int(d), track.id))
-    for k, track in enumerate(state.tracks):
-        if k not in used_tracks:
-            track.missed += 1
-    for d in range(len(xs)):
-        if d not in used:
-            start = np.array([float(xs[d]), float(ys[d]), 0.0, 0.0])
-            state.tracks.append(Track(state.next_id, start, rules.initial_variance * np.eye(4), (int(xs[d]), int(ys[d]))))
+            out.append((j, track.id))
+    live = [t for t in tracks if t.missed <= rules.max_missed]
+    spread = rules.initial_variance
+    for j, (x, y) in enumerate(zip(xs, ys)):
+        if j not in used:
+            live.append(Track(state.next_id, x, y, 0.0, 0.0, spread, 0.0, spread, int(x), int(y)))
             state.next_id += 1
-    state.tracks = [t for t in state.tracks if t.missed <= rules.max_missed]
+    state.tracks = live
     return out
 
 
-def step_frame(state: TrackerState, frame: int, xs: np.ndarray, ys: np.ndarray, rules: TrackRules) -> list[tuple[int, int]]:
+def step_frame(state: TrackerState, frame: int, xs: list[float], ys: list[float], rules: TrackRules) -> list[tuple[int, int]]:
     """Coast over the empty frames since the last one, then advance. Shared by batch and stream."""
     if state.frame is not None:
         coast(state, frame - state.frame - 1, rules)
@@ -176,14 +200,14 @@ def track_objects(
     def step(state, part: pd.DataFrame) -> pd.DataFrame:
         part = part if state["held"] is None else pd.concat([state["held"], part], ignore_index=True)
         state["held"], hits, ids = None, [], []
-        frames, size = part[tick].to_numpy(), part["__size"].to_numpy()
-        xs, ys, at = part[x].to_numpy(), part[y].to_numpy(), 0
+        frames, size = part[tick].tolist(), part["__size"].tolist()
+        xs, ys, at = part[x].astype(float).tolist(), part[y].astype(float).tolist(), 0
         while at < len(part):
-            end = at + int(size[at])
+            end = at + size[at]
             if end > len(part):
                 state["held"] = part.iloc[at:]
                 break
-            for d, track in step_frame(state["tracker"], int(frames[at]), xs[at:end], ys[at:end], rules):
+            for d, track in step_frame(state["tracker"], frames[at], xs[at:end], ys[at:end], rules):
                 hits.append(at + d)
                 ids.append(track)
             at = end

@@ -9,6 +9,7 @@ from strandline.plans.ingest import fresh
 from strandline.plans.registry import query
 from strandline.plans.stand_ins import LINE_KEY, W_LINE, line_seq, lines, near, near_sql, table
 from strandline.sequence import Sequence, with_position
+from strandline.session import cut_lineage
 from strandline.streaming import ordered
 
 KEY = LINE_KEY.split(", ")
@@ -40,7 +41,8 @@ def track_objects(spark, sf_dir):
     tracked = track.track_objects(
         rows, ("l_suppkey",), "frame", "x", "y", "detection", RULES, bucket(spark, sf_dir) and "frame div 1000"
     )
-    return track.compact_ids(tracked, ("l_suppkey",), "track_key", ["frame"]).select("l_suppkey", "frame", "detection", "x", "y", "track_id")
+    # Numbering reads the tracks twice; the ordered pass must not run twice.
+    return track.compact_ids(cut_lineage(tracked), ("l_suppkey",), "track_key", ["frame"]).select("l_suppkey", "frame", "detection", "x", "y", "track_id")
 
 
 @query(

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import astuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,21 +72,18 @@ class TrackerProcessor(_Ordered):
         state = TrackerState()
         if body is not None:
             state.next_id, state.frame = body["next"], body["frame"]
-            state.tracks = [
-                Track(t[0], np.array(t[1]), np.array(t[2]), tuple(t[3]), t[4], t[5], t[6]) for t in body["tracks"]
-            ]
+            state.tracks = [Track(*t) for t in body["tracks"]]
         out, at = [], 0
         while at < len(rows):
             end = at
             while end < len(rows) and rows[end][1] == rows[at][1]:
                 end += 1
             frame = rows[at:end]
-            xs, ys = np.array([int(r[3]) for r in frame]), np.array([int(r[4]) for r in frame])
+            xs, ys = [float(int(r[3])) for r in frame], [float(int(r[4])) for r in frame]
             for d, track in step_frame(state, frame[0][1], xs, ys, self.rules):
                 out.append((frame[d][1], frame[d][2], frame[d][3], frame[d][4], float(track)))
             at = end
-        tracks = [[t.id, t.state.tolist(), t.cov.tolist(), list(t.first), t.hits, t.missed, t.confirmed] for t in state.tracks]
-        return out, {"next": state.next_id, "frame": state.frame, "tracks": tracks}
+        return out, {"next": state.next_id, "frame": state.frame, "tracks": [astuple(t) for t in state.tracks]}
 
 
 class JumpProcessor(_Ordered):
