@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.names import normalize_stem
-from strandline.sequence import Sequence, carry
+from strandline.sequence import Sequence, carry, join_stats
 
 
 def first_per_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
@@ -197,7 +197,7 @@ def match_sources(left: DataFrame, right: DataFrame, name: str, max_tokens: int
     )
     sharing = (
         uniq_l.select("stem", F.size(tokens("stem")).alias("n_left"), F.explode(subsets("stem")).alias("shared"))
-        .join(best_by_subset, "shared")
+        .transform(lambda left: join_stats(left, best_by_subset, ["shared"], ["stem"], "inner"))
         .select("stem", rank(1, F.size("shared"), -F.abs(F.col("n_left") - F.col("n"))).alias("r"))
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scalars import blob_active_count, blob_total_area
-from strandline.sequence import POSITION, Frames, Sequence, framed
+from strandline.sequence import POSITION, Frames, Sequence, framed, join_stats
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def anomaly_score(
     """
     transient = (transient or {}) if rules.use_transient else {}
     known = all_null_columns(df, critical, seq.keys).withColumnsRenamed({c: f"__void_{c}" for c in critical})
-    base = df.join(known, list(seq.keys), "left")
+    base = join_stats(df, known, seq.keys, seq.order_by)
 
     stages = [
         lambda w: {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.scalars import all_finite, clip_low, is_finite, safe_div, scale_by_max, to_double
-from strandline.sequence import Sequence, framed, with_position
+from strandline.sequence import Sequence, framed, join_stats, with_position
 
 
 def one_row(stats: DataFrame) -> Column:
@@ -37,7 +37,7 @@ def transform_columns(df: DataFrame, columns: list[str], fn: Callable[[Column],
 def rebase(df: DataFrame, keys: list[str], c: str, first: int = 1) -> DataFrame:
     """Renumber so that each key's smallest value is ``first``. An aggregate and a join: no per-key window."""
     low = df.groupBy(*keys).agg(F.min(c).alias("__low"))
-    return df.join(low, keys, "left").withColumn(c, F.col(c) - F.col("__low") + first).drop("__low")
+    return join_stats(df, low, keys, [c]).withColumn(c, F.col(c) - F.col("__low") + first).drop("__low")
 
 
 def derive_distances(
@@ -137,7 +137,7 @@ def elapsed(df: DataFrame, seq: Sequence, candidates: list[str], out: str = "ela
     first = (
         df.filter(is_finite(c)).groupBy(*seq.keys).agg(F.min_by(F.col(c).cast("double"), order).alias("__first"))
     )
-    joined = df.join(first, list(seq.keys), "left")
+    joined = join_stats(df, first, seq.keys, seq.order_by)
     return joined.withColumn(out, value - F.col("__first")).drop("__first")
 
 
@@ -230,17 +230,17 @@ def filter_condition(
         keep = keep.filter(F.col("machine_group") == machine.lower())
     for c, v in wanted.items():
         keep = keep.filter(F.abs(F.col(c) - F.lit(float(v))) <= tolerance)
-    return df.join(keep.select(*keys), keys, "left_semi")
+    return df.join(keep.select(*keys).distinct(), keys, "left_semi")
 
 
 def finite_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.filter(all_finite(*columns))
 
 
-def min_length(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Drop sequences with at most ``n`` rows: map-side-combined counts and a semi-join."""
+def min_length(df: DataFrame, keys: list[str], n: int, spread_by: list[str] | None = None) -> DataFrame:
+    """Drop sequences with at most ``n`` rows: map-side-combined counts and a salted semi-join."""
     long_enough = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > n)
-    return df.join(long_enough.select(*keys), keys, "left_semi")
+    return join_stats(df, long_enough.select(*keys), keys, spread_by or df.columns, "left_semi")
 
 
 def where_eq(df: DataFrame, values: dict[str, object]) -> DataFrame:

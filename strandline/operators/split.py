@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from strandline.functions.names import condition_label
-from strandline.sequence import Sequence, with_position
+from strandline.sequence import Sequence, join_stats, with_position
 
 ROLES = ("train", "validation", "test")
 
@@ -26,17 +28,18 @@ def sequence_settings(df: DataFrame, keys: list[str], columns: list[str]) -> Dat
 def chunk(df: DataFrame, seq: Sequence, length: int, gap: int, min_rows: int) -> DataFrame:
     """Cut each sequence into runs of ``length`` rows with ``gap`` rows discarded in between.
 
-    A tail is kept only with at least ``min_rows`` rows. Needs nothing but row positions: chunk sizes
-    follow from each sequence's length, a map-side-combined count.
+    A tail is kept only with at least ``min_rows`` rows. After row positions, everything is local to
+    a chunk, and later windows over chunks reuse the same partitioning.
     """
     step = length + gap
-    indexed = with_position(df, seq, "sample_index")
-    lengths = indexed.groupBy(*seq.keys).agg((F.max("sample_index") + 1).alias("__len"))
     k = F.floor(F.col("sample_index") / step).cast("bigint")
-    rows = indexed.join(lengths, list(seq.keys), "left").withColumn("chunk_index", k)
-    size = F.least(F.lit(length), F.col("__len") - F.col("chunk_index") * step)
-    kept = rows.filter((F.col("sample_index") - F.col("chunk_index") * step < length) & (size >= min_rows))
-    start = F.col("chunk_index") * step
+    rows = with_position(df, seq, "sample_index").withColumn("chunk_index", k)
+    start, size = F.col("chunk_index") * step, F.col("__size")
+    kept = (
+        rows.filter(F.col("sample_index") - start < length)
+        .withColumn("__size", F.count("*").over(Window.partitionBy(*seq.keys, "chunk_index")))
+        .filter(size >= min_rows)
+    )
     return kept.withColumns(
         {
             "source_row_start": start,
@@ -46,7 +49,7 @@ def chunk(df: DataFrame, seq: Sequence, length: int, gap: int, min_rows: int) ->
                 "::", *[F.col(c).cast("string") for c in seq.keys], F.format_string("subseq_%04d", F.col("chunk_index"))
             ),
         }
-    ).drop("__len")
+    ).drop("__size")
 
 
 def chunk_sequence(seq: Sequence) -> Sequence:
@@ -201,6 +204,7 @@ def condition_coverage(df: DataFrame, condition: list[str], role: str = "split_r
     for c in condition:
         same = F.col(c).eqNullSafe(F.col(f"__{c}"))
         on = same if on is None else on & same
+    # Distinct conditions are few; a hot one is split by the adaptive skew join.
     seen = df.join(trained.withColumn("__hit", F.lit(True)), on, "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
     return seen.withColumns(
@@ -217,9 +221,32 @@ def shuffle_order(df: DataFrame, key: list[str], seed: int, out: str = "shuffle_
     return df.withColumn(out, F.xxhash64(F.lit(seed), *key)).orderBy(out, *key)
 
 
-def sample_n(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer), the same on every cluster: top-n by seeded hash of a unique key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+def sample_n(df: DataFrame, key: list[str], n: int, seed: int, edge_rows: int = 1_000_000) -> DataFrame:
+    """Exactly ``n`` rows (all, if fewer), the same on every cluster: the n smallest seeded key hashes.
+
+    Counts per hash prefix (at most 1 024 numbers a round) locate the prefix that holds the n-th row.
+    Rows below it pass a plain filter; only inside it are rows ranked, at most ``edge_rows`` of them.
+    """
+    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), *key))
+    prefix = lambda bits: F.shiftright("__h", bits)
+    bits, taken, inside, chosen = 64, 0, hashed, None
+    while bits > 4:
+        bits -= 10
+        counts = sorted(inside.groupBy(prefix(bits).alias("p")).count().collect())
+        at = None
+        for p, size in counts:
+            if taken + size > n:
+                at = p
+                break
+            taken += size
+        if at is None:
+            return df
+        below = inside.filter(prefix(bits) < at)
+        chosen = below if chosen is None else chosen.unionByName(below)
+        inside = inside.filter(prefix(bits) == at)
+        if size <= edge_rows:
+            break
+    return chosen.unionByName(inside.orderBy("__h", *key).limit(n - taken)).drop("__h")
 
 
 def balanced_weights(df: DataFrame, group: list[str], out: str = "weight") -> DataFrame:

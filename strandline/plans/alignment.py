@@ -233,7 +233,7 @@ def align_downsample(spark, sf_dir):
     detections = f.select("user_id", "frame_number", F.col("value").alias("width"), F.col("frame_number").alias("event_id"))
     flags = f.filter("k > 60").select("user_id", "frame_number", F.lit(1).alias("anomaly"))
     spec = AlignSpec(
-        ("user_id",), "t", "frame_number", "frame_time", ("k",), ("width",), (), event_seq(spark, sf_dir).bucket, "event_id", max_run=3
+        event_seq(spark, sf_dir), "t", "frame_number", "frame_time", ("k",), ("width",), (), "event_id", max_run=3
     )
     out = align_experiments(
         samples(spark, sf_dir).select("user_id", "event_id", "t", "k"), f.select("user_id", "frame_number", "frame_time"),

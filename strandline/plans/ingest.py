@@ -10,7 +10,7 @@ from strandline.operators.clean import load_pairs
 from strandline.operators.clean import slice_rows
 from strandline.plans.jobs import export_variants, write_run
 from strandline.plans.registry import query
-from strandline.plans.stand_ins import EVENTS_SQL, LINE_KEY, event_seq, events, frames, lines, near, near_sql, table
+from strandline.plans.stand_ins import EVENTS_SQL, LINE_KEY, frame_seq, frames, lines, near, near_sql, table
 from strandline.session import shared_dir
 from strandline.sources import files
 
@@ -172,11 +172,7 @@ def tag_sources(spark, sf_dir):
       FROM ev WHERE event_type = 'view') WHERE pos >= 2 AND pos < 10""",
 )
 def frame_range(spark, sf_dir):
-    from strandline.sequence import Sequence
-
-    seq = event_seq(spark, sf_dir)
-    along = Sequence(seq.keys, ("frame_time", "frame_number"), seq.bucket and "floor(frame_time / 86400)")
-    return slice_rows(frames(spark, sf_dir), along, 2, 10).select("user_id", "frame_number")
+    return slice_rows(frames(spark, sf_dir), frame_seq(spark, sf_dir), 2, 10).select("user_id", "frame_number")
 
 
 @query("a11_count_lines", "SELECT COUNT(*) AS n_lines FROM orders")

@@ -53,19 +53,22 @@ def write_run(run: Run, path: str) -> str:
 class AlignSpec:
     """Columns of the alignment job."""
 
-    keys: tuple[str, ...]
+    seq: Sequence  # of the samples; its axis is the time column ``t``
     t: str
     frame: str
     frame_time: str
     signals: tuple[str, ...]
     numeric: tuple[str, ...]
     flags: tuple[str, ...]
-    bucket: str | None
     pos: str
     flag: str = "anomaly"
     max_run: int = 10
     mode: str = "downsample"
 
+    @property
+    def keys(self) -> tuple[str, ...]:
+        return self.seq.keys
+
 
 def build_frames(frames: DataFrame, detections: DataFrame, flags: DataFrame | None, spec: AlignSpec) -> DataFrame:
     """Frame timeline with detections and anomaly flags; short flagged runs repaired."""
@@ -75,8 +78,7 @@ def build_frames(frames: DataFrame, detections: DataFrame, flags: DataFrame | No
         joined = joined.withColumn(spec.flag, F.lit(0))
     else:
         joined = align.attach_flags(joined, align.first_per_key(flags, key, [spec.frame]), key, spec.flag)
-    seq = Sequence(spec.keys, (spec.frame_time, spec.frame), spec.bucket and spec.bucket.replace(spec.t, spec.frame_time))
-    repaired = repair_runs(joined, seq, spec.flag, list(spec.numeric), spec.max_run)
+    repaired = repair_runs(joined, spec.seq.along(spec.frame_time, (spec.frame_time, spec.frame)), spec.flag, list(spec.numeric), spec.max_run)
     return repaired.withColumns({c: to_bool(c) for c in spec.flags})
 
 
@@ -87,7 +89,7 @@ def align_experiments(
     """All experiments at once: samples onto frames (downsample) or frame values onto samples (upsample)."""
     level = build_frames(frames, detections, flags, spec)
     assigned = align.assign_nearest(
-        samples, frames, spec.keys, spec.t, spec.frame_time, spec.frame, spec.bucket, spec.pos
+        samples, frames, spec.keys, spec.t, spec.frame_time, spec.frame, spec.seq.bucket, spec.pos
     )
     key = [*spec.keys, spec.frame]
     if spec.mode == "downsample":
@@ -96,7 +98,7 @@ def align_experiments(
     else:
         source = level.withColumnRenamed(spec.frame_time, spec.t)
         placed = align.interpolate_to(
-            source, assigned, spec.keys, spec.t, list(spec.numeric), spec.bucket, [spec.frame], spec.pos
+            source, assigned, spec.keys, spec.t, list(spec.numeric), spec.seq.bucket, [spec.frame], spec.pos
         )
         out = align.upsample(placed, level.select(*key, spec.flag, *spec.flags), key)
     for name, column in finalize:

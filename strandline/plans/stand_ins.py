@@ -38,17 +38,15 @@ ev AS (SELECT event_id, user_id, event_type, value,
        FROM events)
 """
 
-# One bucket per day of the stream.
-EVENT_SEQ = Sequence(("user_id",), ("t", "event_id"), "floor(t / 86400)")
+EVENT_SEQ = Sequence(("user_id",), ("t", "event_id"), axis="t")
 
 
 def event_seq(spark: SparkSession, sf_dir: str) -> Sequence:
-    return measured(table(spark, sf_dir, "events"), EVENT_SEQ)
+    return measured(events(spark, sf_dir), EVENT_SEQ)
 
 
 def frame_seq(spark: SparkSession, sf_dir: str) -> Sequence:
-    bucket = event_seq(spark, sf_dir).bucket
-    return Sequence(("user_id",), ("frame_time", "frame_number"), bucket and "floor(frame_time / 86400)")
+    return event_seq(spark, sf_dir).along("frame_time", ("frame_time", "frame_number"))
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +60,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
-# One bucket per month of ship dates.
-LINE_SEQ = Sequence(("l_suppkey",), LINE_ORDER, "year(l_shipdate) * 12 + month(l_shipdate)")
+LINE_SEQ = Sequence(("l_suppkey",), LINE_ORDER, axis="datediff(l_shipdate, DATE'1995-01-01')")
 
 
 def line_seq(spark: SparkSession, sf_dir: str) -> Sequence:

@@ -8,7 +8,7 @@ from strandline.operators import segments, track
 from strandline.plans.ingest import fresh
 from strandline.plans.registry import query
 from strandline.plans.stand_ins import LINE_KEY, W_LINE, line_seq, lines, near, near_sql, table
-from strandline.sequence import Sequence, with_position
+from strandline.sequence import with_position
 from strandline.session import cut_lineage
 from strandline.streaming import ordered
 
@@ -27,8 +27,8 @@ def observations(spark, sf_dir):
     )
 
 
-def bucket(spark, sf_dir):
-    return line_seq(spark, sf_dir).bucket and "day div 30"
+def day_seq(spark, sf_dir, *keys):
+    return line_seq(spark, sf_dir).along("day", ("day", "detection"), keys)
 
 
 @query("j1_d8_track_objects")
@@ -36,10 +36,11 @@ def track_objects(spark, sf_dir):
     """Frames are consecutive: the dense rank of ship days, so tracks can live long."""
     seen = observations(spark, sf_dir)
     days = seen.select("l_suppkey", "day").distinct()
-    ranks = with_position(days, Sequence(("l_suppkey",), ("day",), bucket(spark, sf_dir)), "frame")
+    seq = line_seq(spark, sf_dir)
+    ranks = with_position(days, seq.along("day", ("day",)), "frame")
     rows = seen.join(ranks, ["l_suppkey", "day"])
     tracked = track.track_objects(
-        rows, ("l_suppkey",), "frame", "x", "y", "detection", RULES, bucket(spark, sf_dir) and "frame div 1000"
+        rows, ("l_suppkey",), "frame", "x", "y", "detection", RULES, seq.along("frame", ("frame",)).bucket
     )
     # Numbering reads the tracks twice; the ordered pass must not run twice.
     return track.compact_ids(cut_lineage(tracked), ("l_suppkey",), "track_key", ["frame"]).select("l_suppkey", "frame", "detection", "x", "y", "track_id")
@@ -53,7 +54,7 @@ def track_objects(spark, sf_dir):
     SELECT l_suppkey, l_returnflag, detection, SUM(cut) OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY day, detection)::BIGINT AS episode FROM g""",
 )
 def episodes(spark, sf_dir):
-    seq = Sequence(("l_suppkey", "l_returnflag"), ("day", "detection"), bucket(spark, sf_dir))
+    seq = day_seq(spark, sf_dir, "l_suppkey", "l_returnflag")
     return track.episodes(observations(spark, sf_dir), seq, "day", 3).select("l_suppkey", "l_returnflag", "detection", "episode")
 
 
@@ -66,7 +67,7 @@ def episodes(spark, sf_dir):
     SELECT l_suppkey, detection, {near_sql('sqrt(dx * dx + dy * dy) / d')} AS speed FROM g WHERE d > 0""",
 )
 def track_speed(spark, sf_dir):
-    seq = Sequence(("l_suppkey", "l_linenumber"), ("day", "detection"), bucket(spark, sf_dir))
+    seq = day_seq(spark, sf_dir, "l_suppkey", "l_linenumber")
     out = track.track_speed(observations(spark, sf_dir), seq, "day", "x", "y")
     return out.select("l_suppkey", "detection", near("speed").alias("speed"))
 

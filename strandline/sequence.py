@@ -1,8 +1,8 @@
 """Ordered-sequence primitives that stay correct and balanced when one key is huge.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here every sequence may name a
-``bucket``: a SQL expression that never decreases along the sequence order (an hour, a month, a
-``floor(t / 60)``). Work is then partitioned by (key, bucket) and stitched together:
+A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here a sequence may be cut into
+``bucket``s: a SQL expression that never decreases along the sequence order, such as ``floor(t / 60)``.
+Work is then partitioned by (key, bucket) and stitched together:
 
 * ``running_sum`` / ``with_position``: per-bucket totals (a map-side-combined aggregate, one row per
   bucket) give each bucket its starting offset;
@@ -39,30 +39,58 @@ class Sequence:
     keys: non-null columns naming the sequence. order_by: total order inside it.
     bucket: integral SQL expression, non-decreasing along the order (rows where it is NULL come
     first); None if groups are bounded.
+    axis: numeric SQL expression, non-decreasing along the order, from which ``measured`` sizes buckets.
     position: existing 0-based dense position column, if the table already stores one.
     segment_rows: rows per task-level segment for bounded frames.
     """
 
     keys: tuple[str, ...]
     order_by: tuple[str, ...]
-    bucket: str | None
+    bucket: str | None = None
+    axis: str | None = None
+    width: float | None = None
     position: str | None = None
     segment_rows: int = 200_000
 
-    def with_keys(self, *extra: str) -> "Sequence":
-        return replace(self, keys=(*self.keys, *extra))
+    def sized(self, width: float | None) -> "Sequence":
+        """Buckets of ``width`` axis units; none if ``width`` is None."""
+        bucket = None if width is None else f"floor(({self.axis}) / {width!r}D)"
+        return replace(self, width=width, bucket=bucket)
+
+    def along(self, axis: str, order_by: tuple[str, ...], keys: tuple[str, ...] | None = None) -> "Sequence":
+        """The same bucket width for rows ordered by another column on the same scale."""
+        return Sequence(keys or self.keys, order_by, axis=axis, segment_rows=self.segment_rows).sized(self.width)
 
 
 def measured(df: DataFrame, seq: Sequence, limit: int = 1_000_000) -> Sequence:
-    """The sequence spec to use for ``df``: one counted pass over the key columns decides.
+    """Choose the plan by size: one map-side-combined pass over keys and axis decides.
 
-    If no key exceeds ``limit`` rows, one window per key is the cheaper plan and ``bucket`` is dropped;
-    beyond it the bucketed plan is kept. Count once on the base table and reuse the answer.
+    If no key exceeds ``limit`` rows, one window per key is the cheaper plan and no buckets are used.
+    Otherwise buckets are sized so that the densest large key puts about ``limit / 4`` rows in each
+    (a given ``bucket`` is kept as it is). Measure the base table once and reuse the answer.
     """
-    if seq.bucket is None:
-        return seq
-    biggest = df.groupBy(*seq.keys).count().agg(F.max("count")).first()[0] or 0
-    return replace(seq, bucket=None) if biggest <= limit else seq
+    span = F.expr(seq.axis) if seq.axis is not None else F.lit(0)
+    per_key = df.groupBy(*seq.keys).agg(F.count("*").alias("n"), (F.max(span) - F.min(span)).cast("double").alias("span"))
+    biggest, spacing = per_key.agg(
+        F.max("n"), F.min(F.when((F.col("n") > limit) & (F.col("span") > 0), F.col("span") / F.col("n")))
+    ).first()
+    if (biggest or 0) <= limit:
+        return replace(seq, bucket=None, width=None)
+    return seq.sized(spacing * limit / 4) if seq.axis is not None and spacing is not None else seq
+
+
+def join_stats(
+    df: DataFrame, stats: DataFrame, keys: Iterable[str], spread_by: Iterable[str], how: str = "left", salts: int = 32
+) -> DataFrame:
+    """Join rows to a table with one row per key, spreading a hot key over ``salts`` tasks.
+
+    The small side is copied per salt; the salt is a hash of row values, so a retried task routes its
+    rows the same way. Where the small side fits a broadcast, Spark still chooses one.
+    """
+    keys = list(keys)
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    copies = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def _bucket(seq: Sequence) -> Column:

@@ -1,8 +1,6 @@
 """The physical plans are the ones we want."""
 
 import re
-from dataclasses import replace
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,14 +28,13 @@ def test_first_per_key_trims_before_the_shuffle(spark):
 
 
 def test_all_window_features_share_one_shuffle_and_sort(spark):
-    seq = replace(stand_ins.LINE_SEQ, bucket=None)
-    out = features.rolling_summary(stand_ins.lines(spark, SF), seq, ["l_quantity", "l_tax"], [5, 10, 25])
+    out = features.rolling_summary(stand_ins.lines(spark, SF), stand_ins.LINE_SEQ, ["l_quantity", "l_tax"], [5, 10, 25])
     text = plan(out)
     assert text.count("Exchange hashpartitioning") == 1 and text.count("Sort [") == 1
 
 
 def test_hot_key_plan_never_partitions_rows_by_key_alone(spark):
-    out = framed(stand_ins.lines(spark, SF), stand_ins.LINE_SEQ, lambda w: {"x": F.lag("l_tax").over(w.order)}, before=1)
+    out = framed(stand_ins.lines(spark, SF), stand_ins.LINE_SEQ.sized(30.0), lambda w: {"x": F.lag("l_tax").over(w.order)}, before=1)
     text = plan(out)
     wide = [line for line in text.splitlines() if "Exchange hashpartitioning(l_suppkey" in line]
     assert wide and any("__segment" in line for line in wide) and any("__bucket" in line for line in wide)

@@ -6,7 +6,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.sequence import Sequence, carry, framed, measured, ordered_fold, running_sum, with_position
+from strandline.sequence import Sequence, carry, framed, join_stats, measured, ordered_fold, running_sum, with_position
 from tests.conftest import rows
 
 WIDE = Sequence(("k",), ("t", "id"), "floor(t / 7)", segment_rows=5)
@@ -65,6 +65,18 @@ def test_stored_position_is_used(data):
 def test_measured_picks_by_group_size(data):
     assert measured(data, WIDE, limit=1000).bucket is None
     assert measured(data, WIDE, limit=100).bucket == WIDE.bucket
+    sized = measured(data, Sequence(("k",), ("t", "id"), axis="t"), limit=100)
+    assert sized.bucket.startswith("floor((t) / ")
+    counts = data.filter("t is not null").groupBy("k", F.expr(sized.bucket)).count().agg(F.max("count")).first()[0]
+    assert counts <= 100
+    same(with_position(data, sized, "p"), with_position(data, PLAIN, "p"))
+
+
+def test_join_stats_keeps_every_row_once(data):
+    totals = data.groupBy("k").agg(F.sum("v").alias("s"))
+    same(join_stats(data, totals, ["k"], ["id"]), data.join(totals, "k", "left"))
+    big = data.groupBy("k").count().filter("count > 20").select("k")
+    same(join_stats(data, big, ["k"], ["id"], "left_semi"), data.join(big, "k", "left_semi"))
 
 
 def test_ordered_fold_keeps_state_across_batches(spark, data):

@@ -76,4 +76,8 @@ def test_exact_median_from_counts(spark):
 
 def test_sample_is_exact_and_repeatable(df):
     a = rows(split.sample_n(df, ["k", "i"], 37, 1))
-    assert len(a) == 37 and a == rows(split.sample_n(df.repartition(3), ["k", "i"], 37, 1))
+    assert len(a) == 37
+    narrow = split.sample_n(df, ["k", "i"], 37, 1, edge_rows=1)
+    assert rows(narrow) == a == rows(df.orderBy(F.xxhash64(F.lit(1), "k", "i")).limit(37))
+    assert split.sample_n(df, ["k", "i"], 10_000, 1).count() == df.count()
+    assert a == rows(split.sample_n(df.repartition(3), ["k", "i"], 37, 1))
