@@ -62,13 +62,18 @@ class Sequence:
         return Sequence(keys or self.keys, order_by, axis=axis, segment_rows=self.segment_rows).sized(self.width)
 
 
-def measured(df: DataFrame, seq: Sequence, limit: int = 1_000_000) -> Sequence:
+# Most rows of one key that a single window task may hold.
+ROWS_PER_WINDOW = 1_000_000
+
+
+def measured(df: DataFrame, seq: Sequence, limit: int | None = None) -> Sequence:
     """Choose the plan by size: one map-side-combined pass over keys and axis decides.
 
     If no key exceeds ``limit`` rows, one window per key is the cheaper plan and no buckets are used.
     Otherwise buckets are sized so that the densest large key puts about ``limit / 4`` rows in each
     (a given ``bucket`` is kept as it is). Measure the base table once and reuse the answer.
     """
+    limit = ROWS_PER_WINDOW if limit is None else limit
     span = F.expr(seq.axis) if seq.axis is not None else F.lit(0)
     per_key = df.groupBy(*seq.keys).agg(F.count("*").alias("n"), (F.max(span) - F.min(span)).cast("double").alias("span"))
     biggest, spacing = per_key.agg(
