@@ -71,7 +71,7 @@ def best_pair(
     """
     width_a, width_x = max(angle_tolerance, 1e-6), max(max_x, 1e-6)
     columns = [*keys, order, "length", "angle", "mean_x", "y_min", "y_max", "x1", "y1", "x2", "y2"]
-    segments = df.select(*columns)
+    segments = cut_lineage(df.select(*columns))  # read four times below
     by_length = Window.partitionBy(*keys).orderBy(F.col("length").desc(), F.col(order))
     top = segments.withColumn("rank", F.row_number().over(by_length)).filter(F.col("rank") <= head)
 
@@ -167,6 +167,37 @@ def _principal(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy:
     return F.cos(angle), F.sin(angle), x0, y0
 
 
+def _on_one_line(max_distance: float, max_gap: float) -> Column:
+    """Do segments ``l`` and ``r`` fit a common line closely, with a small gap along it?
+
+    Written with lambda variables, which are computed once each: spelled out, the fitted line would be
+    repeated at every use and the generated code would not compile.
+    """
+    point = lambda s, k: F.struct(F.col(f"{s}.x{k}").cast("double").alias("x"), F.col(f"{s}.y{k}").cast("double").alias("y"))
+    points = F.array(point("l", 1), point("l", 2), point("r", 1), point("r", 2))
+    names = ("sx", "sy", "sxx", "syy", "sxy")
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
+
+    def add(a: Column, p: Column) -> Column:
+        terms = (p["x"], p["y"], p["x"] * p["x"], p["y"] * p["y"], p["x"] * p["y"])
+        return F.struct(*[(a[n] + t).alias(n) for n, t in zip(names, terms)])
+
+    def line(a: Column) -> Column:
+        fitted = _principal(F.lit(4.0), *[a[n] for n in names])
+        return F.struct(*[c.alias(n) for c, n in zip(fitted, ("vx", "vy", "x0", "y0"))])
+
+    def fits(f: Column) -> Column:
+        off = F.transform(points, lambda p: F.abs((p["y"] - f["y0"]) * f["vx"] - (p["x"] - f["x0"]) * f["vy"]))
+        along = F.transform(points, lambda p: (p["x"] - f["x0"]) * f["vx"] + (p["y"] - f["y0"]) * f["vy"])
+        gap = F.transform(
+            F.array(along),
+            lambda t: F.greatest(F.least(t[2], t[3]) - F.greatest(t[0], t[1]), F.least(t[0], t[1]) - F.greatest(t[2], t[3]), F.lit(0.0)),
+        )[0]
+        return (F.array_max(off) <= max_distance) & (gap <= max_gap)
+
+    return F.exists(F.array(F.aggregate(points, zero, add, line)), fits)
+
+
 def merge_segments(
     df: DataFrame, keys: list[str], *, angle_tolerance: float, max_gap: float, max_distance: float, min_length: float
 ) -> DataFrame:
@@ -175,42 +206,39 @@ def merge_segments(
     Two segments belong together if their angles agree, all four endpoints lie within
     ``max_distance`` of their common fitted line, and their projections on it are at most ``max_gap``
     apart. Identical segments are counted once with a weight. Candidates are found by an equi-join on
-    grid cells: mergeable segments come within sqrt(gap^2 + 4 distance^2) of each other.
+    angle bands and grid cells: mergeable segments come within sqrt(gap^2 + 4 distance^2) of each other.
     """
     ends = ["x1", "y1", "x2", "y2"]
     unique = describe_segments(df.select(*keys, *ends)).groupBy(*keys, *ends, "angle").agg(F.count("*").alias("weight"))
     unique = cut_lineage(unique.withColumn("segment", F.format_string("%010d,%010d,%010d,%010d", *[F.col(c) + 1_000_000_000 for c in ends])))
     reach = math.sqrt(max_gap**2 + 4 * max_distance**2)
-    cell = max(reach, 16.0)
-
-    def cells(lo: Column, hi: Column) -> Column:
-        return F.explode(F.sequence(F.floor(lo / cell).cast("int"), F.floor(hi / cell).cast("int")))
-
-    def on_grid(rows: DataFrame, pad: float) -> DataFrame:
-        gx = rows.withColumn("__gx", cells(F.least("x1", "x2") - pad, F.greatest("x1", "x2") + pad))
-        return gx.withColumn("__gy", cells(F.least("y1", "y2") - pad, F.greatest("y1", "y2") + pad))
-
-    payload = F.struct("segment", "angle", *ends)
-    left = on_grid(unique, reach).select(*keys, "__gx", "__gy", payload.alias("l"))
-    right = on_grid(unique, 0.0).select(*keys, "__gx", "__gy", payload.alias("r"))
-    met = left.join(right, [*keys, "__gx", "__gy"]).filter(
-        (F.col("l.segment") < F.col("r.segment")) & (F.abs(F.col("l.angle") - F.col("r.angle")) <= angle_tolerance)
-    )
-    points = [(F.col(f"{s}.{x}").cast("double"), F.col(f"{s}.{y}").cast("double")) for s in ("l", "r") for x, y in (("x1", "y1"), ("x2", "y2"))]
-    total = lambda fn: sum((fn(x, y) for x, y in points), F.lit(0.0))
-    vx, vy, x0, y0 = _principal(
-        F.lit(4.0), total(lambda x, y: x), total(lambda x, y: y), total(lambda x, y: x * x), total(lambda x, y: y * y), total(lambda x, y: x * y)
-    )
-    off = [F.abs((y - y0) * vx - (x - x0) * vy) for x, y in points]
-    along = [(x - x0) * vx + (y - y0) * vy for x, y in points]
-    gap = F.greatest(
-        F.least(along[2], along[3]) - F.greatest(along[0], along[1]),
-        F.least(along[0], along[1]) - F.greatest(along[2], along[3]),
-        F.lit(0.0),
+    cell, band = max(reach, 64.0), max(angle_tolerance, 1e-6)
+
+    def on_grid(rows: DataFrame, pad: float, reach_bands: int) -> DataFrame:
+        at = lambda v: F.floor(v / cell).cast("int")
+        placed = rows.withColumns(
+            {
+                "gx": at(F.least("x1", "x2") - pad), "gy": at(F.least("y1", "y2") - pad),
+                "hx": at(F.greatest("x1", "x2") + pad), "hy": at(F.greatest("y1", "y2") + pad),
+                "ga": F.floor(F.col("angle") / band).cast("int"),
+            }
+        )
+        spread = placed.withColumn("__gx", F.explode(F.sequence("gx", "hx"))).withColumn("__gy", F.explode(F.sequence("gy", "hy")))
+        return spread.withColumn("__ga", F.explode(F.sequence(F.col("ga") - reach_bands, F.col("ga") + reach_bands)))
+
+    payload, cells = F.struct("segment", "angle", "gx", "gy", *ends), ["__gx", "__gy", "__ga"]
+    left = on_grid(unique, reach, 1).select(*keys, *cells, payload.alias("l"))
+    right = on_grid(unique, 0.0, 0).select(*keys, *cells, payload.alias("r"))
+    # A pair may share many cells; it is looked at in the first one only.
+    met = left.join(right, [*keys, *cells]).filter(
+        (F.col("l.segment") < F.col("r.segment"))
+        & (F.abs(F.col("l.angle") - F.col("r.angle")) <= angle_tolerance)
+        & (F.col("__gx") == F.greatest("l.gx", "r.gx"))
+        & (F.col("__gy") == F.greatest("l.gy", "r.gy"))
     )
-    linked = met.filter((F.greatest(*off) <= max_distance) & (gap <= max_gap)).select(
+    linked = met.filter(_on_one_line(max_distance, max_gap)).select(
         *keys, F.col("l.segment").alias("a"), F.col("r.segment").alias("b")
-    ).distinct()
+    )
     both = linked.unionByName(linked.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
     groups = connected_components(unique, both, keys, "segment")
 
