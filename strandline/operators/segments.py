@@ -13,21 +13,24 @@ from strandline.session import cut_lineage
 
 def describe_segments(df: DataFrame, x1: str = "x1", y1: str = "y1", x2: str = "x2", y2: str = "y2") -> DataFrame:
     """Order endpoints top to bottom and add length, angle in [0, pi), mean x and y-extent."""
-    a, b, c, d = (F.bround(F.col(k).cast("double"), 0).cast("int") for k in (x1, y1, x2, y2))
-    whole = df.withColumns({x1: a, y1: b, x2: c, y2: d})
-    flip = (F.col(y2) < F.col(y1)) | ((F.col(y2) == F.col(y1)) & (F.col(x2) < F.col(x1)))
-    swapped = {k: F.when(flip, F.col(o)).otherwise(F.col(k)) for k, o in ((x1, x2), (y1, y2), (x2, x1), (y2, y1))}
-    ordered = whole.withColumns(swapped)
-    dx, dy = (F.col(x2) - F.col(x1)).cast("double"), (F.col(y2) - F.col(y1)).cast("double")
-    return ordered.withColumns(
+    whole = lambda c: F.bround(F.col(c).cast("double"), 0).cast("int")
+    end = lambda x, y: F.struct(whole(y).alias("y"), whole(x).alias("x"))
+    placed = df.withColumns({"__a": F.least(end(x1, y1), end(x2, y2)), "__b": F.greatest(end(x1, y1), end(x2, y2))})
+    top, bottom = F.col("__a"), F.col("__b")
+    dx, dy = (bottom["x"] - top["x"]).cast("double"), (bottom["y"] - top["y"]).cast("double")
+    return placed.withColumns(
         {
+            x1: top["x"],
+            y1: top["y"],
+            x2: bottom["x"],
+            y2: bottom["y"],
             "length": F.hypot(dx, dy),
-            "angle": F.when(F.atan2(dy, dx) < 0, F.atan2(dy, dx) + math.pi).otherwise(F.atan2(dy, dx)),
-            "mean_x": (F.col(x1) + F.col(x2)) * 0.5,
-            "y_min": F.least(y1, y2),
-            "y_max": F.greatest(y1, y2),
+            "angle": F.atan2(dy, dx),  # dy >= 0, so never negative
+            "mean_x": (top["x"] + bottom["x"]) * 0.5,
+            "y_min": top["y"],
+            "y_max": bottom["y"],
         }
-    )
+    ).drop("__a", "__b")
 
 
 def filter_candidates(

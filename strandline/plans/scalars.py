@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from strandline.functions import names, scalars
 from strandline.operators import clean, metrics
 from strandline.operators.features import target_value
-from strandline.operators.split import sequence_settings, trim_start
+from strandline.operators.split import sequence_settings
 from strandline.plans.ingest import MIXED_SQL, detections
 from strandline.plans.registry import query
 from strandline.plans.stand_ins import (

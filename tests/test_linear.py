@@ -2,7 +2,6 @@ from itertools import product
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from strandline.functions.scalars import nan_to_null
 from strandline.operators import linear
