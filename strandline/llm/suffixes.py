@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,8 +105,8 @@ def _packed(start: np.ndarray, more: np.ndarray, row: np.ndarray) -> np.ndarray:
 def _anchors(docs: DataFrame) -> DataFrame:
     """(k, c, d, at): pieces that are first in their task, and with null ``c`` those that are not.
 
-    The latter are spread by a hash of their place. Content is settled here on 128 bits: the anchor's hash and the piece's, of two
-    bases.
+    The latter are spread by a hash of their place. Content is settled here on 96 bits: 64 of the anchor's hash and 32 of the
+    piece's, of two bases.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 again[i] = again[i - 1]
             k = np.where(again, _mixed(d.astype(np.uint64) * BASES[0] ^ at.astype(np.uint64)), k)
             return pa.RecordBatch.from_arrays(
-                [pa.array(k.view(np.int64)), pa.array(c.view(np.int64), mask=again), pa.array(d), pa.array(at)], names=["k", "c", "d", "at"]
+                [pa.array(k.view(np.int64)), pa.array(c.astype(np.int64), mask=again), pa.array(d), pa.array(at)], names=["k", "c", "d", "at"]
             )
 
         for batch in batches:
@@ -132,9 +133,9 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 if len(data) < LENGTH:
                     continue
                 start, more, k, c = pieces_of(data)
-                found.append((k, c, np.full(len(k), d), _packed(start, more, np.int64(row))))
+                found.append((k, c >> np.uint64(32), np.full(len(k), d), _packed(start, more, np.int64(row))))
                 size += len(k)
-                if size > 2_000_000:
+                if size > 600_000:
                     yield settle()
                     size = 0
         if found:
@@ -289,7 +290,7 @@ def _sorted_edges(pieces: DataFrame) -> DataFrame:
         for batch in batches:
             for k, chunk, hot, d, at, body in zip(*[batch.column(i).to_pylist() for i in range(6)]):
                 if (k, chunk) != last:
-                    if size > 8 << 20:  # whole groups of about so many bytes at a time
+                    if size > 3 << 19:  # whole groups of about so many bytes at a time
                         yield from sort(held)
                         held, size, group = [], 0, -1
                     last, group = (k, chunk), group + 1
@@ -328,11 +329,11 @@ def covered(docs: DataFrame) -> DataFrame:
     wanted = edges.groupBy("d").agg(F.collect_list(F.struct("at", "k", "chunk", F.col("n").isNotNull().alias("hot"))).alias("wanted"))  # of one document
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "chunk", "hot", "d", "at", "body"]
+        names, unpack = ["k", "chunk", "hot", "d", "at", "body"], zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out: list[tuple] = []
-            for d, row, text, pieces in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                raw = text.encode()
+            for d, row, z, pieces in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                raw = unpack(z)
                 for p in pieces:
                     at = p["at"]
                     if at & ((1 << 26) - 1) == row:
@@ -342,7 +343,7 @@ def covered(docs: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    bodies = docs.join(wanted, "d").select("d", "row", "text", "wanted").mapInArrow(cut, "k long, chunk int, hot boolean, d long, at long, body binary")
+    bodies = _squeezed(docs).join(wanted, "d").select("d", "row", "z", "wanted").mapInArrow(cut, "k long, chunk int, hot boolean, d long, at long, body binary")
     found = written(_sorted_edges(bodies.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "d", "at")), "suffix-found")
     rivals = found.filter("window is not null")
     first = rivals.groupBy("window").agg(F.min(F.struct("d", "start")).alias("first"))
@@ -364,6 +365,21 @@ def spans(gone: list[int], row: int) -> list[tuple[int, int]]:
     return out
 
 
+def _squeezed(rows: DataFrame) -> DataFrame:
+    """The column ``text`` as compressed bytes ``z``: what the joins by document move."""
+    at = rows.columns.index("text")
+    out = rows.drop("text").withColumn("z", F.lit(None).cast("binary"))
+    names = out.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            z = pa.array([pack(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], z], names=names)
+
+    return rows.mapInArrow(run, out.schema)
+
+
 def _keyed(docs: DataFrame, key: str, text: str) -> list:
     mark = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).bitwiseAND(F.lit((1 << 26) - 1))
     return [F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("d"), mark.alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text")]
@@ -380,20 +396,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rest = [c for c in docs.columns if c not in ("n_bytes", "spans", "kept")]
     found = covered(docs.select(*_keyed(docs, key, text)))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest if c != text] or [F.lit(1).alias("_none")]).alias("_row"), *_keyed(docs, key, text), F.col(text).isNull().alias("empty"))
-    joined = rows.join(found, "d", "left").select("_row", "row", "text", "gone", "empty")
-    schema = joined.select("_row", "text", "empty").schema.add("n_bytes", T.LongType()).add("spans", T.ArrayType(SPAN_TYPE)).add("kept", T.BinaryType())
+    joined = _squeezed(rows).join(found, "d", "left").select("_row", "row", "z", "gone", "empty")
+    schema = rows.select("_row", "text", "empty").schema.add("n_bytes", T.LongType()).add("spans", T.ArrayType(SPAN_TYPE)).add("kept", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            size, cuts, kept = [], [], []
-            for row, t, gone in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]):
-                raw = t.encode()
+            size, cuts, kept, texts = [], [], [], []
+            for row, z, gone in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)]):
+                raw = unpack(z)
+                texts.append(raw)
                 found = spans(gone, row) if gone else []
                 ends = [0, *[e for _, e in found]]
                 size.append(len(raw)), cuts.append([{"start": s, "end": e} for s, e in found])
                 kept.append(b"".join([raw[a:b] for a, b in zip(ends, [*[s for s, _ in found], len(raw)])]) if found else raw)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), batch.column(4), pa.array(size, pa.int64()), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(4), pa.array(size, pa.int64()), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
                 names=["_row", "text", "empty", "n_bytes", "spans", "kept"],
             )
 
