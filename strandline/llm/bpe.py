@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 NONE = np.int64(1 << 40)  # rank of a pair that does not merge
 CLASSES = (2, 4, 8, 12, 16, 24, 32, 64, 128)  # row lengths; longer pieces go through the heap, with the same result
-KEPT = 400_000  # distinct pieces a worker remembers before it starts anew
+KEPT = 300_000  # distinct pieces a worker remembers before it starts anew
 ROWS = 8192  # of a matrix
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 BLOCK = 576  # samples of a frame
 RATE = 8000
-FRAMES = 6144  # frames of one side-by-side batch, about 3.5 million samples
+FRAMES = 2048  # frames of one side-by-side batch, about 1.2 million samples
 ORDERS = 5  # fixed predictors 0 to 4 are read
 TRIED = 3  # and 0 to 2 are written: text gains nothing from more
 
@@ -444,7 +444,7 @@ def feature_of(payload: bytes) -> str:
     return ":".join(map(str, [int((sign[1:] != sign[:-1]).sum()), int(np.abs(x).max()), *energy.tolist()]))
 
 
-def _chunks(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _chunks(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes in a column, so that one long row or many do not swell the matrices."""
     lengths = [len(x) if x is not None else 0 for x in batch.column(column).to_pylist()]
     start = total = 0
@@ -514,18 +514,23 @@ def pcm_blocks(rows: DataFrame, key: str = "doc_id", media: str = "media", frame
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: what was stored and what was read back from the stored stream, as digests and a feature."""
     kind = docs.schema[key].dataType.simpleString()
-    stored = read_media(write_media(docs.select(F.col(key).alias("_key"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))).select("_key", "n_bytes", "media"))
+    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
+    stored = write_media(docs.select(F.col(key).alias("_key"), size.alias("n_bytes"), F.col(text).alias("text"))).select("_key", "n_bytes", "media")
     schema = f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-            sha = lambda b: hashlib.sha256(b).hexdigest()
-            columns = [
-                batch.column(0), batch.column(1), pa.array([len(p) for _, p in rows], pa.int64()), pa.array([sha(p) for _, p in rows], pa.string()),
-                pa.array([zlib.crc32(p[-32:]) for _, p in rows], pa.int64()), pa.array([len(m) for m, _ in rows], pa.int64()),
-                pa.array([sha(m) for m, _ in rows], pa.string()), pa.array([feature_of(p) for _, p in rows], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, *[c.split()[0] for c in schema.split(", ")[1:]]])
-
+            for part in _chunks(batch, 2):
+                streams = part.column(2).to_pylist()
+                payloads = decode_streams(streams)
+                columns = [
+                    part.column(0), part.column(1), pa.array([len(p) for p in payloads], pa.int64()), pa.array([sha(p) for p in payloads], pa.string()),
+                    pa.array([zlib.crc32(p[-32:]) for p in payloads], pa.int64()), pa.array([len(m) for m in streams], pa.int64()),
+                    pa.array([sha(m) for m in streams], pa.string()), pa.array([feature_of(p) for p in payloads], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [key, *[c.split()[0] for c in schema.split(", ")[1:]]]
     return stored.mapInArrow(run, schema)

@@ -29,7 +29,7 @@ from strandline.llm.common import NULL_ID, written
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # grams of a window
-HOT = 4096  # pieces of one anchor that one task sorts; the windows of further ones are settled by their bytes
+HOT = 16384  # pieces of one anchor that one task sorts; the windows of further ones are settled by their bytes
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _RANDOM = np.random.default_rng(20240501)
 BYTE = tuple(_RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False) for _ in BASES)
