@@ -66,8 +66,8 @@ def _keys(prints: DataFrame, flips: bool) -> DataFrame:
     for i in range(SEGMENTS):
         key = F.shiftleft(_segment(i), WIDTH).bitwiseOR(_segment(i + 1))
         variants = [key.bitwiseXOR(F.lit(1 << b)) for b in range(WIDTH)] if flips else [key]
-        made.append(F.transform(F.array(*variants), lambda k, i=i: F.shiftleft(F.lit(i).cast("long"), 2 * WIDTH).bitwiseOR(k)))
-    return prints.select(F.explode(F.concat(*made)).alias("key"), "fp")
+        made += [k.bitwiseOR(F.lit(i << 2 * WIDTH)) for k in variants]  # the start of the chain is part of the key
+    return prints.select(F.explode(F.array(*made)).alias("key"), "fp")
 
 
 def _links(homes: np.ndarray, visitors: np.ndarray, ring: int) -> tuple[list[int], list[int]]:
