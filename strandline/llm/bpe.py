@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 NONE = np.int64(1 << 40)  # rank of a pair that does not merge
 CLASSES = (2, 4, 8, 12, 16, 24, 32, 64, 128)  # row lengths; longer pieces go through the heap, with the same result
-KEPT = 300_000  # distinct pieces a worker remembers before it starts anew
+KEPT = 200_000  # distinct pieces a worker remembers before it starts anew
 ROWS = 8192  # of a matrix
 
 
@@ -198,6 +198,20 @@ class Codec:
         return b"".join(map(self.ranks.tokens.__getitem__, ids))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about so many characters of a column: the pieces of a slice are held at once."""
+    for batch in batches:
+        start = total = 0
+        for i, text in enumerate(batch.column(column)):
+            n = len(text.as_py() or "")
+            if total and total + n > size:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the column ``ids`` (array of int): each match of ``pattern`` encoded by the ranks, no special tokens.
 
@@ -211,7 +225,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(lines, pattern)
-        for batch in batches:
+        for batch in _slices(batches, at):
             arrays = batch.columns
             arrays[out] = pa.array(codec.encode(batch.column(at).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
@@ -247,21 +261,23 @@ def digests(docs: DataFrame, ranks_file: str, pattern: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(lines, pattern)
-        shown: dict[tuple[int, ...], tuple[str, bytes]] = {}
-        for batch in batches:
+        shown: dict[str, tuple[int, str, bytes]] = {}  # per piece: how many ids, the ids written down, the ids decoded
+        for part in _slices(batches, 1):
             count, ids_sha, decoded_sha = [], [], []
-            for found in codec.pieces(batch.column(1).to_pylist()):
-                ids = list(map(codec.known.__getitem__, found))
-                for new in set(ids).difference(shown):
-                    shown[new] = (",".join(map(str, new)), codec.decode(new))
-                parts = list(map(shown.__getitem__, ids))
-                count.append(sum(map(len, ids)))
-                ids_sha.append(hashlib.sha256(",".join([p[0] for p in parts]).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(b"".join([p[1] for p in parts])).hexdigest())
-                if len(shown) > KEPT:
-                    shown.clear()
+            found = [codec.split(t) if t else [] for t in part.column(1).to_pylist()]
+            if len(shown) > KEPT:
+                shown.clear()
+            new = list(set().union(*found).difference(shown))
+            for piece, ids in zip(new, codec.ranks.encode([p.encode() for p in new])):
+                ids = ids.tolist()
+                shown[piece] = (len(ids), ",".join(map(str, ids)), codec.decode(ids))
+            for pieces in found:
+                parts = list(map(shown.__getitem__, pieces))
+                count.append(sum([p[0] for p in parts]))
+                ids_sha.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
+                [part.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

@@ -164,7 +164,7 @@ class Words:
     """
 
     _of: dict[bytes, Words] = {}
-    KEPT = 600_000
+    KEPT = 400_000
     UNSURE = re.compile("[\x1c-\x1f\x85᠎​﻿]")
 
     def __init__(self, file: bytes) -> None:
@@ -254,7 +254,9 @@ def write_shards(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text
             ], names=names)
 
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), words.encode(batch.column(4).to_pylist()))
+            texts = batch.column(4).to_pylist()
+            encoded = (ids for s in range(0, len(texts), 512) for ids in words.encode(texts[s : s + 512]))
+            rows = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoded)
             for p, o, ids in rows:
                 if keys and (p != part or size >= 4 * SHARD_IDS):
                     yield flush()
