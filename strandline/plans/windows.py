@@ -261,16 +261,17 @@ def sliding_windows(spark, sf_dir):
 
 @query(
     "f14_best_window",
-    f"""WITH e AS (SELECT l_suppkey, l_quantity - 25 - 100 * l_discount AS e, ROW_NUMBER() OVER ({W_LINE}) - 1 AS rn FROM lineitem),
-    w AS (SELECT l_suppkey, rn - 19 AS start_index, sqrt(AVG(e * e) OVER f) AS s, COUNT(*) OVER f AS n FROM e
+    f"""WITH e AS (SELECT l_suppkey, l_quantity::DOUBLE AS y, 25.0::DOUBLE + 100 * l_discount AS p, ROW_NUMBER() OVER ({W_LINE}) - 1 AS rn FROM lineitem),
+    w AS (SELECT l_suppkey, rn - 19 AS start_index, sqrt(AVG((y - p) * (y - p)) OVER f) AS s, AVG(abs(y - p)) OVER f AS mae, corr(y, p) OVER f AS c, COUNT(*) OVER f AS n FROM e
       WINDOW f AS (PARTITION BY l_suppkey ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY round(s, 9), start_index) AS k FROM w WHERE n = 20)
-    SELECT l_suppkey, {near_sql('s')} AS metric_value, start_index + 20 - start_index AS width FROM r WHERE k = 1""",
+    SELECT l_suppkey, start_index, start_index + 20 AS end_index, {near_sql('s')} AS metric_value, {near_sql('s')} AS rmse, {near_sql('mae')} AS mae, {near_sql('c')} AS correlation
+    FROM r WHERE k = 1""",
 )
 def best_window(spark, sf_dir):
     rows = lines(spark, sf_dir).withColumn("guess", F.lit(25.0) + 100 * F.col("l_discount"))
     out = features.best_window(rows, line_seq(spark, sf_dir), "l_quantity", "guess", 20, "rmse")
-    return out.select("l_suppkey", near("metric_value").alias("metric_value"), (F.col("end_index") - F.col("start_index")).alias("width"))
+    return out.select("l_suppkey", "start_index", "end_index", *[near(c).alias(c) for c in ("metric_value", "rmse", "mae", "correlation")])
 
 
 @query(

@@ -36,7 +36,7 @@ POSITION = "__pos"
 class Sequence:
     """How rows form ordered sequences.
 
-    keys: non-null columns naming the sequence. order_by: total order inside it.
+    keys: columns naming the sequence (NULL is a value like any other). order_by: total order inside it.
     bucket: integral SQL expression, non-decreasing along the order (rows where it is NULL come
     first); None if groups are bounded.
     axis: numeric SQL expression, non-decreasing along the order, from which ``measured`` sizes buckets.
@@ -114,6 +114,15 @@ def _local(seq: Sequence, part: list[str], descending: bool = False) -> WindowSp
     return Window.partitionBy(*part).orderBy(*(_desc(seq) if descending else _asc(seq)))
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which a NULL key meets a NULL key, as it does in a window or a group."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(named[f"__right_{k}"])
+    return left.join(named, same, "left").drop(*[f"__right_{k}" for k in keys])
+
+
 def running_sum(df: DataFrame, seq: Sequence, sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sums along the sequence."""
     keys = list(seq.keys)
@@ -129,7 +138,7 @@ def running_sum(df: DataFrame, seq: Sequence, sums: dict[str, Column]) -> DataFr
     )
     w = _local(seq, [*keys, BUCKET]).rowsBetween(Window.unboundedPreceding, 0)
     local = tagged.withColumns({f"__in_{n}": F.coalesce(F.sum(f"__in_{n}").over(w), F.lit(0)) for n in sums})
-    joined = local.join(offsets, [*keys, BUCKET], "left")
+    joined = _join(local, offsets, [*keys, BUCKET])
     return joined.withColumns({n: F.col(f"__in_{n}") + F.col(f"__off_{n}") for n in sums}).drop(
         BUCKET, *[f"__in_{n}" for n in sums], *[f"__off_{n}" for n in sums]
     )
@@ -175,12 +184,12 @@ def carry(
     buckets = tagged.select(*keys, BUCKET).distinct()
     along = F.col(BUCKET).desc() if backward else F.col(BUCKET).asc()
     earlier = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
-    carried = buckets.join(summary, [*keys, BUCKET], "left").select(
+    carried = _join(buckets, summary, [*keys, BUCKET]).select(
         *keys, BUCKET, *[F.last(f"__end_{n}", ignorenulls=True).over(earlier).alias(f"__from_{n}") for n in values]
     )
     w = _local(seq, [*keys, BUCKET], backward).rowsBetween(Window.unboundedPreceding, stop)
     local = tagged.withColumns({f"__in_{n}": F.last(f"__in_{n}", ignorenulls=True).over(w) for n in values})
-    joined = local.join(carried, [*keys, BUCKET], "left")
+    joined = _join(local, carried, [*keys, BUCKET])
     return joined.withColumns({n: F.coalesce(f"__in_{n}", f"__from_{n}") for n in values}).drop(
         BUCKET, *[f"__in_{n}" for n in values], *[f"__from_{n}" for n in values]
     )
@@ -190,11 +199,16 @@ class Frames:
     """Window specs for one ``framed`` stage; all share a partitioning, so one shuffle and one sort."""
 
     def __init__(self, seq: Sequence, part: list[str]):
+        self.seq, self.part = seq, part
         self.order = _local(seq, part)
         self.asc = self.order.rowsBetween(Window.unboundedPreceding, 0)
         self.desc = _local(seq, part, descending=True).rowsBetween(Window.unboundedPreceding, 0)
         self.whole = Window.partitionBy(*part)
 
+    def inside(self, column: str, descending: bool = False) -> WindowSpec:
+        """From the start (or the end) of the rows that share ``column`` up to each row."""
+        return _local(self.seq, [*self.part, column], descending).rowsBetween(Window.unboundedPreceding, 0)
+
     def rows(self, first: int, last: int) -> WindowSpec:
         return self.order.rowsBetween(first, last)
 
@@ -257,13 +271,14 @@ def ordered_fold(
         for rows in batches:
             if rows.empty:
                 continue
-            changed = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
+            own, above = rows[keys], rows[keys].shift()
+            changed = ((own != above) & ~(own.isna() & above.isna())).any(axis=1).to_numpy()
             changed[0] = True
             edges = [*changed.nonzero()[0].tolist(), len(rows)]
             parts = []
             for begin, end in zip(edges, edges[1:]):
                 part = rows.iloc[begin:end]
-                key = tuple(part.iloc[0][keys])
+                key = tuple(None if pd.isna(v) else v for v in part.iloc[0][keys])
                 if key != current:
                     current, state = key, start()
                 produced = step(state, part)

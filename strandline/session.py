@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
+    if current is None and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if current is None:
         current = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(current)

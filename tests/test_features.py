@@ -105,3 +105,31 @@ def test_names(spark):
     assert tuple(row) == ("fr_5m_20mm_1", 5, 20, "fr", 12, 0, "source", "a.b_src.jpg", "backlit", "laserlit")
     keys = spark.createDataFrame([("f2",), ("f10",), ("f1a3",), ("f1a20",), ("g",)], "n string").orderBy(names.natural_key("n"))
     assert [r[0] for r in keys.collect()] == ["f1a3", "f1a20", "f2", "f10", "g"]
+
+
+@pytest.mark.parametrize("metric", ["rmse", "mse", "mae", "pearson"])
+def test_best_window_is_blind_to_an_early_outlier(spark, metric):
+    """One huge error before the windows must leave no trace in their sums."""
+    rng = np.random.default_rng(4)
+    truth = rng.normal(size=60)
+    error = rng.normal(scale=1e-3, size=60)
+    error[0], error[30:40] = 1e6, 5e-4
+    rows = spark.createDataFrame([("a", i, float(t), float(t + e)) for i, (t, e) in enumerate(zip(truth, error))], "k string, i long, y double, p double")
+    row = features.best_window(rows, Sequence(("k",), ("i",)), "y", "p", 10, metric).first()
+    spans = [(truth[s : s + 10], error[s : s + 10]) for s in range(51)]
+    score = {
+        "rmse": [float(np.sqrt((e * e).mean())) for _, e in spans], "mse": [float((e * e).mean()) for _, e in spans],
+        "mae": [float(np.abs(e).mean()) for _, e in spans], "pearson": [-float(np.corrcoef(t, t + e)[0, 1]) for t, e in spans],
+    }[metric]
+    if metric != "pearson":
+        assert row["start_index"] == int(np.argmin(score)) and abs(row["metric_value"] - min(score)) < 1e-9
+        assert row["rmse"] == pytest.approx(float(np.sqrt((spans[row["start_index"]][1] ** 2).mean())))
+    else:
+        assert row["start_index"] > 0 and abs(row["metric_value"] + min(score)) < 1e-6
+
+
+def test_null_keys_stay_in_both_plans(spark):
+    rows = spark.createDataFrame([(k, i, float(i)) for k in ("a", None) for i in range(20)], "k string, i long, v double")
+    plain = features.add_lags(rows, Sequence(("k",), ("i",)), ["v"], [1, 3])
+    hot = features.add_lags(rows, Sequence(("k",), ("i",), bucket="floor(i / 4)", segment_rows=5), ["v"], [1, 3])
+    assert hot.count() == 40 and sorted(map(str, plain.collect())) == sorted(map(str, hot.select(*plain.columns).collect()))
