@@ -191,14 +191,20 @@ def stream_rows(events):
 STREAM_RULES = track.TrackRules(radius=40.0, max_missed=3, min_hits=2, min_displacement=1.0, min_vertical=0.0)
 
 
+DELAY = "1 day"
+
+
 def replay(spark, sf_dir, kind, build):
-    """Replay the events table as a stream and return what it emitted, written to the shared folder."""
+    """Replay the events table as a stream to its end and return what it emitted, written to the shared folder."""
     source = table(spark, sf_dir, "events")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.STATE_STORE)
     feed = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    out, checkpoint = fresh(spark, kind), fresh(spark, f"{kind}-state")
+    out, checkpoint, ended = fresh(spark, kind), fresh(spark, f"{kind}-state"), fresh(spark, f"{kind}-end")
+    marker = ordered.end_marker(stream_rows(source), DELAY)
+    marker.write.parquet(ended)
+    rows = stream_rows(feed).unionByName(spark.readStream.schema(marker.schema).parquet(ended))
     running = (
-        build(stream_rows(feed)).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
+        build(rows).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
         .trigger(availableNow=True).start(out)
     )
     running.awaitTermination()
@@ -207,9 +213,15 @@ def replay(spark, sf_dir, kind, build):
 
 @query("m1_track_stream")
 def track_stream(spark, sf_dir):
-    return replay(spark, sf_dir, "m1", lambda rows: ordered.track_stream(rows, "1 day", STREAM_RULES))
+    return replay(spark, sf_dir, "m1", lambda rows: ordered.track_stream(rows, DELAY, STREAM_RULES))
 
 
-@query("m2_jump_stream")
+@query(
+    "m2_jump_stream",
+    """WITH r AS (SELECT user_id::VARCHAR AS key, floor(epoch(ts) / 43200)::BIGINT AS frame, event_id::BIGINT AS item, value AS a,
+      TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS b FROM events),
+    w AS (SELECT *, AVG(a) OVER p AS mean, COUNT(a) OVER p AS n FROM r WINDOW p AS (PARTITION BY key ORDER BY frame, item ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))
+    SELECT key, frame, item, a, b, (CASE WHEN n >= 5 AND abs(a - mean) / (abs(mean) + 1e-9) > 0.2 THEN 1 ELSE 0 END)::DOUBLE AS result FROM w""",
+)
 def jump_stream(spark, sf_dir):
-    return replay(spark, sf_dir, "m2", lambda rows: ordered.jump_stream(rows, "1 day"))
+    return replay(spark, sf_dir, "m2", lambda rows: ordered.jump_stream(rows, DELAY))

@@ -68,8 +68,8 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def count_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines per text file; a last line without a terminator counts."""
-    return spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_lines"))
+    """Lines per text file, named by its whole path; a last line without a terminator counts."""
+    return spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_lines"))
 
 
 def discover_frames(spark: SparkSession, root: str, pattern: str = IMAGE_GLOB) -> DataFrame:

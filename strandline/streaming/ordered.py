@@ -2,7 +2,8 @@
 
 Rows wait in state until the event-time watermark has passed their frame; they are then processed in
 frame order. Rows later than the watermark are dropped by Spark and counted in the query progress
-(``numRowsDroppedByWatermark``). State per key is the rows inside the watermark delay plus the
+(``numRowsDroppedByWatermark``). Where the input ends, ``end_marker`` rows close it: the watermark follows them past every
+row still held. State per key is the rows inside the watermark delay plus the
 operator's own small state.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from strandline.operators.track import Track, TrackerState, TrackRules, step_frame
 
+END = -(1 << 63)  # the frame of a marker
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,7 +37,9 @@ class _Ordered(StatefulProcessor):
         self.memory = handle.getValueState("memory", "body string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [r for part in rows for r in part[["at", "frame", "item", "a", "b"]].itertuples(index=False, name=None)]
+        held = [r for part in rows for r in part[["at", "frame", "item", "a", "b"]].itertuples(index=False, name=None) if r[1] != END]
+        if not held:
+            return iter(())
         self.waiting.appendList(held)
         self.handle.registerTimer(int(min(r[0] for r in held)))
         return iter(())
@@ -120,6 +124,17 @@ def run_ordered(rows: DataFrame, delay: str, processor: StatefulProcessor) -> Da
     )
 
 
+def end_marker(rows: DataFrame, delay: str) -> DataFrame:
+    """One row in the form of ``rows`` that ends the input once it has followed them into the stream; it gives no result.
+
+    Its event time is later than the last row by more than ``delay``, so the watermark passes all rows and they leave in order.
+    Rows that arrive after it are late. No rows, no marker.
+    """
+    last = rows.agg(F.max("event_time").alias("last")).filter("last is not null")
+    values = {"event_time": F.expr(f"last + interval {delay} + interval 1 second"), "key": F.lit(""), "frame": F.lit(END), "item": F.lit(0)}
+    return last.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+
+
 def track_stream(rows: DataFrame, delay: str, rules: TrackRules) -> DataFrame:
     return run_ordered(rows, delay, TrackerProcessor(rules))
 
