@@ -7,7 +7,7 @@ numbers leave it. The driver solves a p x p system; p is the number of model ter
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.scalars import clip
-from strandline.operators.features import lag_columns, lag_matrix, lag_terms, usable, warmup
+from strandline.operators.features import lag_columns, lag_terms, regressors, usable, warmup
 from strandline.sequence import Sequence, framed, ordered_fold, with_field, with_position
 
 MAX_TERMS = 10_000
@@ -28,7 +28,11 @@ SUM_SCHEMA = "combo int, i int, j int, s double"
 
 @dataclass(frozen=True)
 class LinearModel:
-    """Coefficients of an ARX model; ``xs`` are its exogenous input columns."""
+    """Coefficients of an ARX model; ``xs`` are its exogenous input columns.
+
+    ``lags``: how many delays each input is taken at (``nb`` if None). ``reach``: how many earlier rows an input column itself
+    needs, as rolling inputs do; no row before all of them are there is predicted or simulated.
+    """
 
     y: str
     xs: tuple[str, ...]
@@ -37,10 +41,16 @@ class LinearModel:
     nk: int
     theta: tuple[float, ...]
     n_samples: int
+    lags: int | None = None
+    reach: int = 0
+
+    @property
+    def delays(self) -> int:
+        return self.nb if self.lags is None else self.lags
 
     @property
     def terms(self) -> list[tuple[str, str, int]]:
-        return lag_terms(self.y, list(self.xs), self.na, self.nb, self.nk)
+        return lag_terms(self.y, list(self.xs), self.na, self.delays, self.nk)
 
     @property
     def names(self) -> list[str]:
@@ -48,7 +58,7 @@ class LinearModel:
 
     @property
     def start(self) -> int:
-        return warmup(self.na, self.nb, self.nk)
+        return max(self.na, self.nk + self.delays - 1 + self.reach if self.delays > 0 else 0)
 
 
 @dataclass(frozen=True)
@@ -146,14 +156,15 @@ def solve(g: np.ndarray, rhs: np.ndarray) -> np.ndarray:
     return np.linalg.solve(g + jitter * np.eye(len(g)), rhs)
 
 
-def fit_arx(df: DataFrame, seq: Sequence, y: str, xs: list[str], na: int, nb: int, nk: int) -> LinearModel:
-    """ARX by least squares, without intercept."""
-    terms = lag_terms(y, xs, na, nb, nk)
-    rows = lag_matrix(df, seq, y, xs, na, nb, nk).filter(usable("phi", y))
+def fit_arx(df: DataFrame, seq: Sequence, y: str, xs: list[str], na: int, nb: int, nk: int, *, lags: int | None = None, reach: int = 0) -> LinearModel:
+    """ARX by least squares, without intercept; ``lags`` and ``reach`` as ``input_reach`` gives them for a family of inputs."""
+    shape = LinearModel(y, tuple(xs), na, nb, nk, (), 0, lags, reach)
+    terms = shape.terms
+    rows = regressors(df, seq, terms, shape.start).filter(usable("phi", y))
     found = _collect(gram(rows, "phi", y, len(terms)), len(terms))
     g, n = found.get(0, (np.zeros((len(terms) + 1, len(terms) + 1)), 0))
     theta = solve(g[:-1, :-1], g[:-1, -1]) if n else np.zeros(len(terms))
-    return LinearModel(y, tuple(xs), na, nb, nk, tuple(float(v) for v in theta), n)
+    return replace(shape, theta=tuple(float(v) for v in theta), n_samples=n)
 
 
 def dot(phi: str, theta: tuple[float, ...] | list[float]) -> Column:
@@ -165,7 +176,7 @@ def dot(phi: str, theta: tuple[float, ...] | list[float]) -> Column:
 
 def predict_one_step(df: DataFrame, seq: Sequence, model: LinearModel, out: str = "y_pred_osa") -> DataFrame:
     """One-step predictions aligned to every row: NULL in the warm-up or where a term or the truth is missing."""
-    rows = lag_matrix(df, seq, model.y, list(model.xs), model.na, model.nb, model.nk)
+    rows = regressors(df, seq, model.terms, model.start)
     return rows.withColumn(out, F.when(usable("phi", model.y), dot("phi", model.theta))).drop("phi")
 
 
@@ -222,8 +233,7 @@ def simulate_linear(
     The exogenous contribution is computed by Spark for all rows; the grouped Python step runs the
     short recurrence only. mode="delta" adds the output to the previous value; bounds clip it.
     """
-    terms = model.terms[model.na :]
-    rows = lag_matrix(df, seq, model.y, list(model.xs), model.na, model.nb, model.nk, terms, model.start)
+    rows = regressors(df, seq, model.terms[model.na :], model.start)
     driven = rows.withColumn("__drive", dot("phi", model.theta[model.na :])).drop("phi")
     done = _simulate(
         driven, list(seq.keys), list(seq.order_by), list(model.theta[: model.na]), model.y, "__drive", "has_full_history",
@@ -282,7 +292,7 @@ def grid_search(
 
     def wide(df: DataFrame) -> DataFrame:
         # NULLs inside the array become NaN in Arrow; __at is the row's position in its chunk.
-        rows = lag_matrix(df, seq, y, xs, 0, 0, 0, terms, 0)
+        rows = regressors(df, seq, terms, 0)
         at_row = rows.select("phi", F.col(y).cast("double").alias("y"), F.col("__at").cast("bigint"))
         return at_row.filter(F.col("y").isNotNull() & ~F.isnan("y"))
 
@@ -469,6 +479,8 @@ def fit_power_ridge(
     max_terms: int = MAX_TERMS,
     margin: float = 0.0,
     clip_predictions: bool = False,
+    lags: int | None = None,
+    reach: int = 0,
 ) -> PowerModel:
     """Ridge over standardised lag terms and their powers; the intercept is not penalised.
 
@@ -476,12 +488,13 @@ def fit_power_ridge(
     """
     if scope not in ("all", "exogenous_only"):
         raise ValueError("scope must be 'all' or 'exogenous_only'")
-    terms = lag_terms(y, xs, na, nb, nk)
+    linear = LinearModel(y, tuple(xs), na, nb, nk, (), 0, lags, reach)
+    terms = linear.terms
     p, power_from = len(terms), na if scope == "exogenous_only" else 0
     size = expanded_term_count(p, degree, power_from)
     if max_terms and size > max_terms:
         raise ValueError(f"{size} expanded terms exceed the budget of {max_terms}")
-    rows = lag_matrix(df, seq, y, xs, na, nb, nk).filter(usable("phi", y)).select("phi", F.col(y).cast("double").alias(y))
+    rows = regressors(df, seq, terms, linear.start).filter(usable("phi", y)).select("phi", F.col(y).cast("double").alias(y))
     # First pass: n, sums and sums of squares are the first row and diagonal of the Gram matrix of [1, x].
     base = rows.withColumn("phi", F.concat(F.array(F.lit(1.0)), F.col("phi")))
     g, n = _collect(gram(base, "phi", y, p + 1), p + 1).get(0, (None, 0))
@@ -508,9 +521,8 @@ def fit_power_ridge(
     theta = solve(left, g[:-1, -1])
     low, high = rows.agg(F.min(y), F.max(y)).first()
     pad = max(high - low, SCALE_EPS) * margin
-    linear = LinearModel(y, tuple(xs), na, nb, nk, (), n)
     return PowerModel(
-        linear, tuple(mean.tolist()), tuple(scale.tolist()), degree, power_from, alpha,
+        replace(linear, n_samples=n), tuple(mean.tolist()), tuple(scale.tolist()), degree, power_from, alpha,
         (float(low - pad), float(high + pad)), clip_predictions, tuple(theta.tolist()),
     )
 
@@ -542,7 +554,7 @@ def _power_sum(phi: str, model: PowerModel, first: int, last: int) -> Column:
 
 def predict_one_step_powers(df: DataFrame, seq: Sequence, model: PowerModel, out: str = "y_pred_osa") -> DataFrame:
     base = model.base
-    rows = lag_matrix(df, seq, base.y, list(base.xs), base.na, base.nb, base.nk)
+    rows = regressors(df, seq, base.terms, base.start)
     value = F.lit(float(model.theta[0])) + _power_sum("phi", model, 0, len(model.mean))
     if model.clip_predictions:
         value = clip(value, *model.bounds)
@@ -555,8 +567,7 @@ def simulate_powers(df: DataFrame, seq: Sequence, model: PowerModel, out: str =
     Spark evaluates the exogenous polynomial; the ordered step evaluates the autoregressive one.
     """
     base, na = model.base, model.base.na
-    terms = base.terms[na:]
-    rows = lag_matrix(df, seq, base.y, list(base.xs), na, base.nb, base.nk, terms, base.start)
+    rows = regressors(df, seq, base.terms[na:], base.start)
     drive = F.lit(float(model.theta[0])) + _power_sum("phi", model, na, len(model.mean))
     driven = rows.withColumn("__drive", drive).drop("phi")
     coefficients = _power_parts(model)[0][:na]

@@ -169,7 +169,7 @@ def engineered_fit(spark, sf_dir):
     rows, names = features.live_inputs(
         chunks(spark, sf_dir), CHUNK_SEQ, "engineered", 5, "l_quantity", "l_tax", ["l_quantity", "l_tax"], "l_discount"
     )
-    model = linear.fit_arx(rows, CHUNK_SEQ, "l_extendedprice", names, 1, 1, 0)
+    model = linear.fit_arx(rows, CHUNK_SEQ, "l_extendedprice", names, 1, 1, 0, reach=features.input_reach("engineered", 5)["reach"])
     return spark.createDataFrame(list(zip(model.names, model.theta)), "name string, value double")
 
 
@@ -178,10 +178,54 @@ def specified_fit(spark, sf_dir):
     rows, names = features.live_inputs(
         chunks(spark, sf_dir), CHUNK_SEQ, "specified", 3, "l_quantity", "l_tax", ["l_quantity", "l_tax"], "l_discount"
     )
-    model = linear.fit_arx(rows, CHUNK_SEQ, "l_extendedprice", names, 1, 1, 1)
+    model = linear.fit_arx(rows, CHUNK_SEQ, "l_extendedprice", names, 1, 3, 1, **features.input_reach("specified", 3))
     return spark.createDataFrame(list(zip(model.names, model.theta)), "name string, value double")
 
 
+def specified_model(spark, sf_dir):
+    """Chunks with the specified inputs of two rows, and a model of given weights over them."""
+    rows, names = features.live_inputs(chunks(spark, sf_dir), CHUNK_SEQ, "specified", 2, "l_tax", X, [], X)
+    theta = (0.5, *[0.25 * (k + 1) for k in range(len(names))])
+    return rows, linear.LinearModel(Y, tuple(names), 1, 2, 1, theta, 0, **features.input_reach("specified", 2))
+
+
+SPECIFIED_SQL = CHUNK_SQL + f""",
+f AS (SELECT {C_KEY}, sample_index - source_row_start AS p, {Y} AS y, LAG({Y}) OVER w AS y1, l_tax AS i0, LAG(l_tax) OVER w AS i1, l_discount AS u0,
+      LAG(l_discount) OVER w AS u1 FROM c WINDOW w AS (PARTITION BY l_suppkey, chunk_index ORDER BY sample_index)),
+d AS (SELECT *, 0.25 * (i0 + 2 * i1 + 3 * u0 + 4 * u1 + 5 * i0 * u0 + 6 * i1 * u1 + 7 * (i0 + i1) / 2 + 8 * (u0 + u1) / 2 + 9 * abs(i0 - i1) / 2
+      + 10 * abs(u0 - u1) / 2 + 11 * (i0 - i1) + 12 * (u0 - u1) + 13 * LEAST(i0, i1) + 14 * LEAST(u0, u1) + 15 * GREATEST(i0, i1) + 16 * GREATEST(u0, u1)
+      + 17 * u0) AS drive FROM f),
+m AS (SELECT *, LAG(drive) OVER (PARTITION BY l_suppkey, chunk_index ORDER BY sample_index) AS drive1 FROM d)
+"""
+
+
+@query(
+    "j2_simulate_specified",
+    SPECIFIED_SQL.replace("WITH r AS", "WITH RECURSIVE r AS") + f""",
+    sim AS (SELECT l_suppkey, chunk_index, p, y AS v FROM m WHERE p = 1
+      UNION ALL SELECT m.l_suppkey, m.chunk_index, m.p, 0.5 * sim.v + m.drive1
+      FROM sim JOIN m ON m.l_suppkey = sim.l_suppkey AND m.chunk_index = sim.chunk_index AND m.p = sim.p + 1)
+    SELECT m.l_suppkey, m.chunk_index::BIGINT AS chunk_index, m.sample_index, CASE WHEN m.p > 1 THEN {near_sql('0.5 * m.y1 + m.drive1', 5)} END AS one_step,
+    CASE WHEN m.p > 1 THEN {near_sql('sim.v', 5)} END AS y_pred FROM m LEFT JOIN sim ON m.l_suppkey = sim.l_suppkey AND m.chunk_index = sim.chunk_index AND m.p = sim.p""",
+)
+def simulate_specified(spark, sf_dir):
+    """Rolling inputs: predictions start at the first row whose delayed inputs are all there."""
+    rows, model = specified_model(spark, sf_dir)
+    out = linear.predict_aligned(rows, CHUNK_SEQ, model)
+    return out.select("l_suppkey", "chunk_index", "sample_index", near("y_pred_osa", 5).alias("one_step"), near("y_pred_freerun", 5).alias("y_pred"))
+
+
+@query("j2_simulate_engineered")
+def simulate_engineered(spark, sf_dir):
+    """Fitted over the engineered inputs, then run freely."""
+    rows, names = features.live_inputs(
+        chunks(spark, sf_dir), CHUNK_SEQ, "engineered", 5, "l_quantity", "l_tax", ["l_quantity", "l_tax"], X
+    )
+    model = linear.fit_arx(rows, CHUNK_SEQ, "l_extendedprice", names, 1, 1, 0, reach=features.input_reach("engineered", 5)["reach"])
+    out = linear.simulate_linear(rows, CHUNK_SEQ, model)
+    return out.select("l_suppkey", "chunk_index", "sample_index", "has_full_history", "y_pred_freerun")
+
+
 def arx_run(spark, sf_dir) -> Run:
     """Fit on train chunks, predict and score the others, and gather every result table."""
     rows = split_rows(spark, sf_dir)

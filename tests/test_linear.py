@@ -159,3 +159,16 @@ def test_diverging_free_run_is_missing_to_the_end(spark):
 def test_term_budget(spark):
     with pytest.raises(ValueError):
         linear.fit_power_ridge(frame(spark, series(0)), SEQ, "y", ["u"], 1, 1, 0, 3, 0.1, max_terms=3)
+
+
+def test_rolling_inputs_start_when_they_are_complete(spark):
+    """A free run over specified inputs predicts every row from the first one whose delayed windows are full."""
+    from strandline.operators import features
+
+    data = [(c, i, float((i * 7 + c) % 11), float((i * 5 + c) % 7), float((i * 3) % 5), 1.0) for c in range(2) for i in range(30)]
+    df = spark.createDataFrame(data, "c int, i int, y double, u double, w double, f double")
+    inputs, names = features.live_inputs(df, SEQ, "specified", 3, "u", "w", [], "f")
+    model = linear.fit_arx(inputs, SEQ, "y", names, 1, 3, 2, **features.input_reach("specified", 3))
+    out = linear.predict_aligned(inputs, SEQ, model).collect()
+    assert model.start == 4 and len(model.theta) == 1 + len(names)
+    assert all((r["y_pred_freerun"] is not None) == (r["y_pred_osa"] is not None) == (r["i"] >= 4) for r in out)
