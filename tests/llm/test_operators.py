@@ -266,6 +266,8 @@ def test_toxicity(spark, empty):
     assert score[403] > 0.3 and score[404] > 0.3 and score[400] == score[401] < 0.3 and score[402] < 0.3
     assert toxicity.with_scores(empty, toxicity.fit(empty, labels.limit(0))).count() == 0
     assert toxicity.restore("1d10t", scorer.letters) == "idiot"
+    spaced = "".join(scorer.restored("".join(toxicity.words_of(" ".join("stone" * 40)) - set("stone"))))
+    assert len(spaced) == 200  # a long run of single characters is restored to its end
 
 
 def test_pipeline_stages(spark, tmp_path):
