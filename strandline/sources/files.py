@@ -140,10 +140,12 @@ def flatten_detections(df: DataFrame, points: dict[str, tuple[str, str]], pair:
 
 
 def widen_blobs(df: DataFrame, blobs: str, prefix: str, size: int | None = None) -> DataFrame:
-    """Numbered columns ``prefix_i_{x,y,area,diameter_px}``; by default as many as the longest list."""
+    """Numbered columns ``prefix_i_{x,y,area,diameter_px}``; by default as many as the longest list; a list longer than ``size`` fails."""
     if size is None:
-        size = df.agg(F.max(F.size(blobs))).first()[0] or 0
-    item = lambda i: F.try_element_at(F.col(blobs), F.lit(i))
+        size = max(df.agg(F.max(F.size(blobs))).first()[0] or 0, 0)
+    longer = F.raise_error(F.lit(f"{blobs} holds more than {size} blobs")).cast(df.schema[blobs].dataType)
+    listed = F.when(F.size(blobs) > size, longer).otherwise(F.col(blobs))
+    item = lambda i: F.try_element_at(listed, F.lit(i))
     out = {f"{prefix}_{i}_{f}": item(i)[f] for i in range(1, size + 1) for f in ("x", "y", "area", "diameter_px")}
     return df.withColumns(out).drop(blobs)
 

@@ -133,3 +133,13 @@ def test_null_keys_stay_in_both_plans(spark):
     plain = features.add_lags(rows, Sequence(("k",), ("i",)), ["v"], [1, 3])
     hot = features.add_lags(rows, Sequence(("k",), ("i",), bucket="floor(i / 4)", segment_rows=5), ["v"], [1, 3])
     assert hot.count() == 40 and sorted(map(str, plain.collect())) == sorted(map(str, hot.select(*plain.columns).collect()))
+
+
+def test_longer_blob_lists_fail(spark):
+    from strandline.sources import files
+
+    blob = "named_struct('x', 1, 'y', 2, 'area', 1d, 'diameter_px', 1d)"
+    df = spark.sql(f"SELECT 1 AS k, array({blob}, {blob}) AS b UNION ALL SELECT 2, NULL")
+    assert files.widen_blobs(df, "b", "p", 2).count() == 2 and "p_2_area" in files.widen_blobs(df, "b", "p").columns
+    with pytest.raises(Exception, match="more than 1 blobs"):
+        files.widen_blobs(df, "b", "p", 1).collect()
