@@ -4,6 +4,8 @@ Candidates come from the pigeonring: the 64 bits form a ring of four segments of
 three bits, some segment starts a chain whose first l segments together differ in at most l * 3/4 bits for every l: none in the
 first, one in the first two, two in the first three. So a candidate shares one whole segment and all but one bit of the next,
 a key of 32 bits, and each further segment of the chain prunes it before the full count.
+
+Three bits are the settings of the thin query. Texts of a five-word Jaccard of 0.8 differ in more, so keep_one compares shingle sets.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import NULL_ID, written
@@ -177,9 +180,152 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return prints.join(found, "fp").select(F.col("k").alias(key), "fp", "component_id")
 
 
+# --- near copies by their shingle sets, for keep_one
+
+WORDS, SAMPLE, OFTEN, LISTED = 5, 5_000, 3, 200_000  # shingle length; texts counted, least count and most shingles of the order of shingles
+
+
+def _grams(words: list[bytes]) -> list[bytes]:
+    if len(words) <= WORDS:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*[words[i:] for i in range(WORDS)])))
+
+
+def _shingles(words: list[bytes]) -> np.ndarray:
+    """Distinct hashes of the shingles, in ascending order."""
+    grams = _grams(words)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
+def jaccard(a: str | None, b: str | None) -> float:
+    """Likeness of two texts by the shingles themselves; 1 if both have none."""
+    x, y = (set(_grams((t or "").encode().lower().split())) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(k, id, z): the hash of the words and the words themselves, compressed. ``docs`` has k and t."""
+    kind = docs.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            plain = [b" ".join((t or "").encode().lower().split()) for t in batch.column(1).to_pylist()]
+            ids = np.fromiter(map(xxhash.xxh64_intdigest, plain), np.uint64, len(plain)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), pa.array(map(pack, plain), pa.binary())], names=["k", "id", "z"])
+
+    return docs.select("k", "t").mapInArrow(run, f"k {kind}, id long, z binary")
+
+
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts has often, and how often. They only set the order of shingles: any order finds all pairs."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    picked = texts.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("z")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for z in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_shingles(unpack(z).split()).view(np.int64))], names=["h"])
+
+    counted = picked.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= OFTEN)
+    rows = counted.orderBy(F.desc("c"), "h").limit(LISTED).collect()
+    found = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r["c"] for r in rows], np.int64)[order]
+
+
+def _rarest(texts: DataFrame) -> DataFrame:
+    """(key, id, n, pos): of the n shingles of a text, rarest first, so many that texts of Jaccard 0.8 or more share one of them."""
+    listed, often = _common(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            keys, ids, sizes = [np.empty(0, np.uint64)], [], []
+            for i, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = _shingles(unpack(z).split())
+                if len(listed):
+                    at = np.minimum(np.searchsorted(listed, found), len(listed) - 1)
+                    found = found[np.argsort(np.where(listed[at] == found, often[at], 0), kind="stable")]
+                if len(found):
+                    keys.append(found[: len(found) - (4 * len(found) + 4) // 5 + 1])
+                    ids.append(i), sizes.append(len(found))
+            count = np.fromiter(map(len, keys[1:]), np.int64, len(ids))
+            key = np.concatenate(keys).view(np.int64)
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+            columns = [key, np.repeat(np.array(ids, np.int64), count), np.repeat(np.array(sizes, np.int32), count), pos.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "n", "pos"])
+
+    return texts.select("id", "z").mapInArrow(run, "key long, id long, n int, pos int")
+
+
+def _possible(a: str, b: str) -> Column:
+    """Whether two texts that share a shingle can reach 0.8, by their sizes and the places of the shingle."""
+    n, pos = ([F.col(f"{x}.{c}") for x in (a, b)] for c in ("n", "pos"))
+    return 9 * (F.least(*pos) + F.least(n[0] - pos[0], n[1] - pos[1])) >= 4 * (n[0] + n[1])
+
+
+def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose Jaccard, by the shingles themselves, is 0.8 or more."""
+    left, right = (texts.select(F.col("id").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            held: dict[int, set[bytes]] = {}
+            good = []
+            for a, b, za, zb in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                if len(held) > 500:
+                    held.clear()
+                x, y = (held[i] if i in held else held.setdefault(i, set(_grams(unpack(z).split()))) for i, z in ((a, za), (b, zb)))
+                both = len(x & y)
+                good.append(5 * both >= 4 * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id): the smallest key reachable over pairs of texts whose five-word shingles have a Jaccard of 0.8 or more.
+
+    All such pairs count: they share one of the rarest fifth of their shingles, and each pair that does is checked by its shingles.
+    Neighbours under a shingle are checked first, so that a large group of copies is mostly one component before the pairs between
+    components are. Texts of equal words are one; a text without words is like its equals only.
+    """
+    rows = written(_texts(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))), "near-rows")
+    texts = written(rows.groupBy("id").agg(F.min(F.coalesce(F.col("k").cast("long"), F.lit(NULL_ID))).alias("low"), F.min("z").alias("z")), "near-texts")
+    members = _rarest(texts).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1").drop("m")
+    members = written(members, "near-members")
+    me = F.struct("id", "n", "pos")
+    found = []
+    for order in (["n", "id"], [F.xxhash64("id"), "id"]):
+        beside = members.select(me.alias("x"), F.lag(me).over(Window.partitionBy("key").orderBy(*order)).alias("y")).filter("y is not null")
+        found.append(beside.filter(_possible("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")))
+    edges = written(_alike(found[0].unionByName(found[1]).distinct(), texts), "near-edges")
+    joined = components(edges)
+
+    named = members.join(joined, members.id == joined.node, "left").select("key", "id", "n", "pos", F.coalesce("root", "id").alias("comp"))
+    under = Window.partitionBy("key")
+    open_ = named.withColumn("low", F.min("comp").over(under)).withColumn("high", F.max("comp").over(under)).filter("low <> high")
+    open_ = open_.withColumn("most", F.count(F.lit(1)).over(Window.partitionBy("key", "comp"))).withColumn("most", F.max(F.struct("most", "comp")).over(under))
+    open_ = written(open_.select("key", "comp", F.struct("id", "n", "pos").alias("x"), (F.col("comp") != F.col("most.comp")).alias("apart")), "near-open")
+    others = open_.select("key", F.col("comp").alias("beyond"), F.col("x").alias("y"))
+    crossing = open_.filter("apart").join(others, "key").filter((F.col("comp") != F.col("beyond")) & _possible("x", "y"))
+    pairs = crossing.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    late = written(_alike(pairs, texts), "near-edges")
+    if not late.isEmpty():
+        joined = components(edges.unionByName(late))
+
+    roots = texts.join(joined, texts.id == joined.node, "left").select("id", F.coalesce("root", "id").alias("root"), "low")
+    smallest = roots.groupBy("root").agg(F.min("low").alias("least"))
+    named = roots.join(smallest, "root").select("id", F.when(F.col("least") != NULL_ID, F.col("least")).alias("component_id"))
+    return rows.select("k", "id").join(named, "id").select(F.col("k").alias(key), "component_id")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest key, and of repeated rows of that key one."""
-    found = near_duplicates(docs.select(key, text), key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
+    """``docs`` with one document of each component of near copies: that of the smallest key, and of repeated rows of that key one."""
+    found = near_copies(docs.select(key, text), key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
     kept = docs.join(found, docs[key].eqNullSafe(F.col("_k")), "left_semi")
     columns = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns])

@@ -279,3 +279,44 @@ def test_pipeline_stages(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def planted_copies():
+    """Groups of texts with one word changed to a five-word Jaccard just over and under 0.8, chains, and a dense group."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, texts = fresh(30), []
+    for n in (40, 48, 49, 60, 90, 100, 130):
+        base = fresh(n)
+        for edits in range(1, 4):  # each takes five shingles off either side
+            words = list(base)
+            for i in range(edits):
+                words[10 + 12 * i] = "edited"
+            texts += [" ".join(words), " ".join(base)]
+        texts += [" ".join(base[5:]), " ".join(base[10:]), " ".join(base[15:])]
+    dense = fresh(150)
+    for i in range(40):
+        texts.append(" ".join([*dense[:i], f"x{i}", *dense[i + 1 :], f"y{i}"]))
+    texts += [" ".join(fresh(20) + passage + fresh(20)) for _ in range(20)]
+    rng.shuffle(texts)
+    return texts + ["", "  ", "One two", "one  TWO", "one three"]
+
+
+def components_by_force(texts):
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and simhash.jaccard(texts[i], texts[j]) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_copies_equal_brute_force(spark):
+    texts = planted_copies()
+    want = components_by_force(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()} == dict(enumerate(want))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(frame).collect()) == sorted(set(want))
+    near = [simhash.jaccard(a, b) for i, a in enumerate(texts) for b in texts[:i] if a != b]
+    assert any(0.8 <= x < 0.82 for x in near) and any(0.77 < x < 0.8 for x in near)
