@@ -3,8 +3,9 @@
 1. Anchors. In every window of 100 bytes the 24-byte string of least hash is its anchor (the first of equals), so equal windows
    have the same anchor at the same place. The windows of one anchor occurrence are a run of starts; the bytes they cover are its
    piece. A document of n bytes has about n / 35 pieces.
-2. Pieces of one anchor and equal content are settled by their first occurrence. A task settles its own before the shuffle, so
-   copied pages and passages reach it once per task, not once per document.
+2. Pieces of one anchor and equal content are settled by their first occurrence: hashes of two bases find them, their bytes
+   confirm it. A task settles its own before the shuffle, so copied pages and passages reach it once per task, not once per
+   document. Pieces that hashes alone call equal go to the sort.
 3. What is left are first occurrences whose anchor also occurs with other content: the edges of repeated passages. Their bytes
    are fetched, and a suffix sort of their windows finds equal ones. Suffixes are compared by the polynomial hashes of their
    prefixes: a binary search finds how far two agree, and one byte decides. Neighbours that the hashes call equal are compared
@@ -68,9 +69,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def pieces_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per anchor occurrence: first window start, number of further starts, hash of the anchor, hash of the piece."""
-    starts, more, anchors, contents = [], [], [], []
+def pieces_of(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per anchor occurrence: first window start, number of further starts, hash of the anchor, two hashes of the piece."""
+    starts, more, anchors, contents, others = [], [], [], [], []
     windows = len(data) - LENGTH + 1
     for s in range(0, max(0, windows), STEP):
         part = data[s : min(len(data), s + STEP + LENGTH - 1)]
@@ -89,12 +90,13 @@ def pieces_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         run = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         count = np.diff(np.concatenate([run, [len(at)]]))
         place = (at[run] - run) * 128 + count  # where the anchor lies in the piece, and the piece's length
-        content = second.of(run, count + LENGTH - 1) ^ (first.of(run, count + LENGTH - 1) >> np.uint64(7))
+        placed = place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
         starts.append(run + s), more.append(count - 1), anchors.append(grams[at[run]])
-        contents.append(_mixed(content + place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        contents.append(_mixed(second.of(run, count + LENGTH - 1) + placed))
+        others.append(_mixed(first.of(run, count + LENGTH - 1) + placed))
     if not starts:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
-    return tuple(np.concatenate(x) for x in (starts, more, anchors, contents))
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 3
+    return tuple(np.concatenate(x) for x in (starts, more, anchors, contents, others))
 
 
 def _packed(start: np.ndarray, more: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -102,29 +104,48 @@ def _packed(start: np.ndarray, more: np.ndarray, row: np.ndarray) -> np.ndarray:
     return (start << 33) | (more << 26) | row
 
 
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the stretches of the given lengths from ``a`` and from ``b`` are equal."""
+    out = np.empty(len(a), bool)
+    step = np.arange(int(length.max(initial=0)))
+    for s in range(0, len(a), 1 << 13):
+        x, y, n = a[s : s + (1 << 13), None], b[s : s + (1 << 13), None], length[s : s + (1 << 13), None]
+        inside = np.minimum(step, n - 1)
+        out[s : s + (1 << 13)] = (data[x + inside] == data[y + inside]).all(axis=1)
+    return out
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(k, c, d, at): pieces that are first in their task, and with null ``c`` those that are not.
+    """(k, c, e, d, at): pieces that are first in their batch, and with null ``c`` those that are not.
 
-    The latter are spread by a hash of their place. Content is settled here on 96 bits: 64 of the anchor's hash and 32 of the
-    piece's, of two bases.
+    The latter are spread by a hash of their place; their bytes have been compared with those of an earlier piece. ``c`` and ``e``
+    are hashes of the piece in 64 bits each, of two bases.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
-        size = 0
+        texts: list[np.ndarray] = []
+        size = total = 0
 
         def settle() -> pa.RecordBatch:
-            k, c, d, at = (np.concatenate(x) for x in zip(*found))
-            found.clear()
-            order = np.lexsort((at, d, c, k))
-            k, c, d, at = k[order], c[order], d[order], at[order]
-            again = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1]) & ((d[1:] != d[:-1]) | (at[1:] >> 33 != at[:-1] >> 33))])
-            same_place = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1]) & (d[1:] == d[:-1]) & (at[1:] >> 33 == at[:-1] >> 33)])
-            for i in np.flatnonzero(same_place):  # rows of one key and text share their piece's fate
+            k, c, e, d, at, begin = (np.concatenate(x) for x in zip(*found))
+            data = np.concatenate(texts)
+            found.clear(), texts.clear()
+            order = np.lexsort((at, d, e, c, k))
+            k, c, e, d, at, begin = k[order], c[order], e[order], d[order], at[order], begin[order]
+            alike = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1]) & (e[1:] == e[:-1])])
+            pairs = np.flatnonzero(alike)
+            length = (at >> 26 & 127) + LENGTH
+            same = length[pairs] == length[pairs - 1]
+            same[same] = _same_bytes(data, begin[pairs[same]], begin[pairs[same] - 1], length[pairs[same]])
+            alike[pairs] = same
+            moved = np.concatenate([[False], (d[1:] != d[:-1]) | (at[1:] >> 33 != at[:-1] >> 33)])
+            again = alike & moved
+            for i in np.flatnonzero(alike & ~moved):  # rows of one key and text share their piece's fate
                 again[i] = again[i - 1]
             k = np.where(again, _mixed(d.astype(np.uint64) * BASES[0] ^ at.astype(np.uint64)), k)
             return pa.RecordBatch.from_arrays(
-                [pa.array(k.view(np.int64)), pa.array(c.astype(np.int64), mask=again), pa.array(d), pa.array(at)], names=["k", "c", "d", "at"]
+                [pa.array(k.view(np.int64)), pa.array(c.view(np.int64), mask=again), pa.array(e.view(np.int64), mask=again), pa.array(d), pa.array(at)], names=["k", "c", "e", "d", "at"]
             )
 
         for batch in batches:
@@ -132,16 +153,17 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 data = np.frombuffer(text.encode(), np.uint8) if text else np.empty(0, np.uint8)
                 if len(data) < LENGTH:
                     continue
-                start, more, k, c = pieces_of(data)
-                found.append((k, c >> np.uint64(32), np.full(len(k), d), _packed(start, more, np.int64(row))))
-                size += len(k)
-                if size > 600_000:
+                start, more, k, c, e = pieces_of(data)
+                found.append((k, c, e, np.full(len(k), d), _packed(start, more, np.int64(row)), start + total))
+                texts.append(data)
+                size, total = size + len(k), total + len(data)
+                if size > 400_000:
                     yield settle()
-                    size = 0
+                    size = total = 0
         if found:
             yield settle()
 
-    return docs.select("d", "row", "text").mapInArrow(run, "k long, c long, d long, at long")
+    return docs.select("d", "row", "text").mapInArrow(run, "k long, c long, e long, d long, at long")
 
 
 # --- the suffix sort
@@ -310,20 +332,61 @@ def offsets_of(body: list[bytes], length: np.ndarray) -> list[int]:
     return grams[begin[:, None] + np.arange(SPAN)].argmin(axis=1).tolist()
 
 
+def _confirmed(squeezed: DataFrame, claims: DataFrame) -> DataFrame:
+    """``claims`` (k, c, e, d, at, late, single) with ``same``: whether the bytes of the piece are those of its group's first."""
+    wanted = claims.groupBy("d").agg(F.collect_list(F.struct("at", "k", "c", "e", "late", "single")).alias("wanted"))  # of one document
+    names = ["k", "c", "e", "d", "at", "late", "single", "body"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        types = (*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.binary())
+        for batch in batches:
+            out: list[tuple] = []
+            for d, row, z, pieces in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+                raw = unpack(z)
+                for p in pieces:
+                    at = p["at"]
+                    if at & ((1 << 26) - 1) == row:
+                        s = at >> 33
+                        out.append((p["k"], p["c"], p["e"], d, at, p["late"], p["single"], raw[s : s + (at >> 26 & 127) + LENGTH]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, first = None, b""
+        for batch in batches:
+            same = []
+            for k, c, e, body in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 7)]):
+                if (k, c, e) != group:
+                    group, first = (k, c, e), body
+                same.append(body == first)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(same, pa.bool_())], names=[*names[:7], "same"])
+
+    plain = "k long, c long, e long, d long, at long, late boolean, single boolean"
+    bodies = squeezed.select("d", "row", "z").join(wanted, "d").select("d", "row", "z", "wanted").mapInArrow(cut, f"{plain}, body binary")
+    return bodies.repartition("k", "c", "e").sortWithinPartitions("k", "c", "e", "d", "at").mapInArrow(compare, f"{plain}, same boolean")
+
+
 def covered(docs: DataFrame) -> DataFrame:
     """(d, row, gone): per document with anything to remove the packed runs of window starts. ``docs`` has d, row and text."""
-    settled = _anchors(docs).repartition("k").sortWithinPartitions("k", "c", "d", "at")
-    anchor, content = Window.partitionBy("k"), Window.partitionBy("k", "c").orderBy("d", "at")
-    here = F.struct("d", F.shiftright("at", 33))
+    settled = _anchors(docs).repartition("k").sortWithinPartitions("k", "c", "e", "d", "at")
+    anchor, content = Window.partitionBy("k"), Window.partitionBy("k", "c", "e")
+    here, hashes = F.struct("d", F.shiftright("at", 33)), F.struct("c", "e")
     seen = (
-        settled.withColumn("low", F.min("c").over(anchor)).withColumn("high", F.max("c").over(anchor))
-        .withColumn("first", F.first(here).over(content.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("gone", F.col("c").isNull() | (F.col("first") != here))
-        .filter(F.col("gone") | (F.col("low") != F.col("high")))
-        .select("d", "at", F.when(~F.col("gone"), F.col("k")).alias("k"))
+        settled.withColumn("low", F.min(hashes).over(anchor)).withColumn("high", F.max(hashes).over(anchor))
+        .withColumn("first", F.first(here).over(content.orderBy("d", "at").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("claim", F.col("c").isNotNull() & (F.max(here).over(content) != F.min(here).over(content)))
+        .withColumn("single", F.col("low") == F.col("high"))
+        .filter(F.col("c").isNull() | F.col("claim") | ~F.col("single"))
+        .select("d", "at", "k", "c", "e", "claim", "single", (F.col("first") != here).alias("late"))
     )
     seen = written(seen, "suffix-pieces")
-    edges = seen.filter("k is not null")
+    squeezed = written(_squeezed(docs), "suffix-texts")
+    checked = written(_confirmed(squeezed, seen.filter("claim").select("k", "c", "e", "d", "at", "late", "single").distinct()), "suffix-checked")
+    false = checked.filter("late and not same").select("k").distinct()  # hashes equal, bytes not: the whole anchor is sorted
+    alone = seen.filter("c is not null and not claim").select("d", "at", "k")
+    kept = checked.filter("not late or not same").select("d", "at", "k", "single")
+    edges = alone.unionByName(kept.filter("not single").drop("single")).unionByName(kept.filter("single").join(false, "k", "left_semi").select("d", "at", "k"))
     crowd = edges.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {HOT}")
     edges = edges.join(crowd, "k", "left").withColumn("chunk", F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("d", "at"), F.ceil(F.col("n") / HOT))).otherwise(F.lit(0)).cast("int"))
     wanted = edges.groupBy("d").agg(F.collect_list(F.struct("at", "k", "chunk", F.col("n").isNotNull().alias("hot"))).alias("wanted"))  # of one document
@@ -343,13 +406,13 @@ def covered(docs: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    bodies = _squeezed(docs).join(wanted, "d").select("d", "row", "z", "wanted").mapInArrow(cut, "k long, chunk int, hot boolean, d long, at long, body binary")
+    bodies = squeezed.join(wanted, "d").select("d", "row", "z", "wanted").mapInArrow(cut, "k long, chunk int, hot boolean, d long, at long, body binary")
     found = written(_sorted_edges(bodies.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "d", "at")), "suffix-found")
     rivals = found.filter("window is not null")
     first = rivals.groupBy("window").agg(F.min(F.struct("d", "start")).alias("first"))
     late = rivals.join(first, "window").filter(F.struct("d", "start") != F.col("first"))
     late = late.select("d", F.shiftleft("start", 33).bitwiseOR(F.col("row")).alias("at"))
-    gone = seen.filter("k is null").select("d", "at").unionByName(found.filter("window is null").select("d", "at")).unionByName(late)
+    gone = seen.filter("c is null").select("d", "at").unionByName(checked.filter("late and same").select("d", "at")).unionByName(found.filter("window is null").select("d", "at")).unionByName(late)
     return gone.groupBy("d").agg(F.collect_list("at").alias("gone"))  # runs of one document
 
 

@@ -201,6 +201,25 @@ def test_suffixes_hot_anchor(spark, monkeypatch):
     assert all([(s["start"], s["end"]) for s in r["spans"]] == want[r["doc_id"]] for r in out)
 
 
+def test_suffix_pieces_survive_collisions(spark, monkeypatch):
+    """Pieces of one anchor whose content hashes are all equal are told apart by their bytes, in a batch and between tasks."""
+    real = suffixes.pieces_of
+
+    def weak(data):
+        start, more, anchors, *contents = real(data)
+        return (start, more, anchors, *[np.zeros_like(c) for c in contents])
+
+    monkeypatch.setattr(suffixes, "pieces_of", weak)
+    rng = random.Random(8)
+    tail = lambda n: "".join(rng.choice("klmnop") for _ in range(n))
+    texts = [tail(rng.randint(80, 120)) + PASSAGE[:n] + tail(rng.randint(80, 120)) for n in (60, 130) for _ in range(30)]
+    texts += texts[:5]
+    want = suffixes.brute_force([(i, t.encode()) for i, t in enumerate(texts)])
+    for parts in (1, 6):
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts, "doc_id")
+        assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in suffixes.remove_repeats(frame).collect()} == want
+
+
 def test_suffix_sort_survives_collisions(monkeypatch):
     data = np.frombuffer((PASSAGE[:200] + PASSAGE[:150] + "z" * 120).encode(), np.uint8)
     at = np.arange(len(data) - 99)
