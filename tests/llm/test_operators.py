@@ -289,6 +289,23 @@ def test_toxicity(spark, empty):
     assert len(spaced) == 200  # a long run of single characters is restored to its end
 
 
+@pytest.fixture(scope="module")
+def insulting(spark):
+    """A scorer over words of which some are toxic."""
+    rng = random.Random(10)
+    bad = ["idiot", "moron", "shit", "trash", "loser", "ass", "stupid"]
+    mild = ["water", "garden", "stone", "paper", "such", "you", "are", "a", "river", "light", "the"]
+    rows = [(i, " ".join([rng.choice(mild) for _ in range(20)] + ([rng.choice(bad)] if i % 3 == 0 else []))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return toxicity.fit(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int"))
+
+
+@pytest.mark.parametrize("noisy, word", [("1d10t", "idiot"), ("1d1ot", "idiot"), ("$h1t", "shit"), ("7r45h", "trash"), ("+r@sh", "trash"), ("1055er", "loser"), ("a$$", "ass"), ("idio+", "idiot"), ("(1d10t!!)", "idiot"), ("a$$!", "ass"), ("moooron", "moron")])
+def test_toxicity_reads_signs_at_the_edges(insulting, noisy, word):
+    assert word in insulting.weights and word in insulting.features(f"the {noisy} water")
+    assert insulting.score(f"the {noisy} water") > 0.3 > insulting.score("the 1st water, 100m wow! stone")
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
