@@ -306,6 +306,17 @@ def test_toxicity_reads_signs_at_the_edges(insulting, noisy, word):
     assert insulting.score(f"the {noisy} water") > 0.3 > insulting.score("the 1st water, 100m wow! stone")
 
 
+@pytest.mark.parametrize("words", ["such a stupid", "you are a moron", "the idiot", "you are such a loser river " * 6 + "trash"])
+def test_toxicity_cuts_drawn_apart_letters_into_words(insulting, words):
+    bad = words.split()[-1]
+    drawn, dotted = " ".join(words.replace(" ", "")), ".".join(words.replace(" ", ""))
+    for text in (drawn, "water " + drawn + " stone", dotted):
+        assert set(words.split()) <= insulting.features(text) and insulting.score(text) > 0.3, bad
+    run = "".join(words.split())
+    assert "".join(toxicity.restore_words(run, insulting.letters)) == run  # no letter is read twice or left out
+    assert insulting.score(" ".join("thewaterpaper")) < 0.3
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
