@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, flac, mixing, repair, sharding, simhash, sketch, suffixes, toxicity, urls
-from strandline.llm.common import table
+from strandline.llm import bpe, flac, mixing, periodic, quotient, repair, sharding, simhash, sketch, suffixes, toxicity, urls
+from strandline.llm.common import SPACE, table
 
 SHARDS = 40
 RANK_FILE, WORD_FILE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -76,6 +76,39 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare_edited(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by crc32 of the id, the words from one place on repeat the first few from there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def period(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, place(i).cast("int")))
+
+    words = F.regexp_extract_all("text", F.lit(f"({SPACE})"), F.lit(1))
+    planted = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.array_join(period(w), " ")).otherwise(F.lit("")))  # words are found once
+    return docs.select("doc_id", F.when(h % 10 == 0, F.get(planted, 0)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.with_runs(with_planted_period(table(spark, sf_dir, "documents", "doc_id", "text")))
+    steeper = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    best = found.withColumn("best", F.aggregate("runs", F.get("runs", 0), steeper))
+    shown = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(shown, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_quotient_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotient.exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_shard_interleaved, op2_filter_urls, op3_byte_bpe, op4_mix_sources, op5_flac_media, op6_simhash_pigeonring, op7_toxicity,
-        op8_suffix_dedup, op9_repair_shards, op10_scaled_sketch, pipeline,
+        op8_suffix_dedup, op9_repair_shards, op10_scaled_sketch, op11_periodic_runs, op12_quotient_dedup, pipeline,
     )
 }
 
@@ -171,3 +204,10 @@ SELECT doc_id, (octet_length(encode(text)) + 16)::BIGINT AS size, coalesce(text_
        (p - ((p * 40 // n) * n + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM placed LEFT JOIN crc USING (doc_id)
 """
+
+ORACLES["op12_quotient_dedup"] = """
+WITH docs AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), groups AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size, sha256(t) AS text_sha256 FROM docs GROUP BY t)
+SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, keep_id IS NULL) AS kept, text_sha256 FROM docs JOIN groups USING (t)
+"""
