@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import bpe, flac, mixing, periodic, quotient, repair, sharding, simhash, sketch, suffixes, toxicity, urls
-from strandline.llm.common import SPACE, table
+from strandline.llm import bpe, flac, mixing, periodic, quotient, repair, sharding, simhash, sketch, suffixes, toxicity, trie, urls
+from strandline.llm.common import SPACE, table, written
+from strandline.sequence import Sequence, with_position
 
 SHARDS = 40
 RANK_FILE, WORD_FILE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -109,6 +110,34 @@ def op12_quotient_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotient.exact_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def rebuilt_turns(conversations: DataFrame) -> DataFrame:
+    """(conv, at, a, b, bytes): each conversation begins with some first turns of the one whose id is the last multiple of five.
+
+    Turns without a conversation id belong to none. Turns of equal number are ordered by the hashes of what they say. Texts stay where
+    they are: only hashes and sizes move.
+    """
+    said = [F.coalesce(c, F.lit("")) for c in ("role", "text")]
+    turns = conversations.filter("conv_id IS NOT NULL").select(
+        F.col("conv_id").cast("long").alias("conv"), "turn", F.xxhash64(*said).alias("a"), F.xxhash64(F.lit("second"), *said).alias("b"), F.octet_length(said[1]).cast("long").alias("bytes"),
+    )
+    placed = written(with_position(turns, Sequence(("conv",), ("turn", "a", "b"), bucket="turn div 4096"), "pos").select("conv", "pos", "a", "b", "bytes"), "conversation-turns")
+    sizes = placed.groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
+    h = (F.crc32(F.col("conv").cast("string").cast("binary")) % 9).alias("h")
+    base = (F.col("conv") - F.col("conv") % 5).alias("base")
+    convs = sizes.select("conv", h, base).join(sizes.select(F.col("conv").alias("base"), F.col("n").alias("there")), "base", "left")
+    convs = written(convs.select("conv", "base", "h", F.least("h", F.coalesce("there", F.lit(0).cast("long"))).alias("lent")), "conversation-ids")
+    first = placed.filter("pos < 8").withColumnRenamed("conv", "base")
+    lent = first.join(convs.select("conv", "base", "h"), "base").filter("pos < h").select("conv", (F.col("pos") + 1).alias("at"), "a", "b", "bytes")
+    own = placed.join(convs.select("conv", "h", "lent"), "conv").filter("pos >= h").select("conv", (F.col("lent") + F.col("pos") - F.col("h") + 1).alias("at"), "a", "b", "bytes")
+    zero = F.lit(0).cast("long")
+    roots = convs.select("conv", *[zero.alias(c) for c in ("at", "a", "b", "bytes")])
+    return lent.unionByName(own).unionByName(roots)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(rebuilt_turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -119,7 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_shard_interleaved, op2_filter_urls, op3_byte_bpe, op4_mix_sources, op5_flac_media, op6_simhash_pigeonring, op7_toxicity,
-        op8_suffix_dedup, op9_repair_shards, op10_scaled_sketch, op11_periodic_runs, op12_quotient_dedup, pipeline,
+        op8_suffix_dedup, op9_repair_shards, op10_scaled_sketch, op11_periodic_runs, op12_quotient_dedup, op13_prefix_trie, pipeline,
     )
 }
 
