@@ -1,7 +1,6 @@
-"""Autoregressive models fitted by distributed least squares.
+"""Autoregressive models: fits from normal equations, one-step predictions and free runs.
 
-Normal equations are additive, so each task sums X'X and X'y over its rows with BLAS and only p x p
-numbers leave it. The driver solves a p x p system; p is the number of model terms and is checked.
+Sums come from ``normal``, the ordered part of a free run from ``recurrence``, the search over many models from ``grid``.
 """
 
 from __future__ import annotations
@@ -10,20 +9,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.functions.scalars import clip
-from strandline.operators.features import lag_columns, lag_terms, regressors, usable, warmup
-from strandline.sequence import Sequence, framed, ordered_fold, with_field, with_position
+from strandline.operators.features import lag_terms, regressors, usable
+from strandline.operators.normal import RidgePath, Sums, class_sums, collected, solve, total_sums
+from strandline.operators.recurrence import Recurrence, chunks_in
+from strandline.sequence import Sequence, with_field, with_position
 
-MAX_TERMS = 10_000
-JITTER = 1e-10
-SCALE_EPS = 1e-12
-SUM_SCHEMA = "combo int, i int, j int, s double"
+MAX_TERMS = 4_000  # a task holds the square of it in doubles (128 MB)
+FLAT = 1e-7  # a spread of less, in units of the first pass, counts as constant
 
 
 @dataclass(frozen=True)
@@ -61,15 +59,22 @@ class LinearModel:
         return max(self.na, self.nk + self.delays - 1 + self.reach if self.delays > 0 else 0)
 
 
+Term = tuple[int, int]  # (index of the base term, power); the intercept has power 0
+
+
+def additive_terms(n_base: int, degree: int, linear_only: int = 0) -> tuple[Term, ...]:
+    """Intercept, every base term, and powers up to ``degree`` of all base terms but the first ``linear_only``."""
+    return ((-1, 0), *[(k, p) for p in range(1, degree + 1) for k in range(n_base) if p == 1 or k >= linear_only])
+
+
 @dataclass(frozen=True)
 class PowerModel:
-    """Ridge model over an intercept, standardised lag terms and their powers."""
+    """Weighted sum of powers of standardised lag terms: one coefficient per (base term, power) of ``terms``."""
 
     base: LinearModel
     mean: tuple[float, ...]
     scale: tuple[float, ...]
-    degree: int
-    power_from: int
+    terms: tuple[Term, ...]
     alpha: float
     bounds: tuple[float, float]
     clip_predictions: bool = False
@@ -77,8 +82,17 @@ class PowerModel:
 
     @property
     def names(self) -> list[str]:
-        linear = self.base.names
-        return ["intercept", *linear, *[f"{n}^{p}" for p in range(2, self.degree + 1) for n in linear[self.power_from :]]]
+        base = self.base.names
+        return ["intercept" if p == 0 else base[k] if p == 1 else f"{base[k]}^{p}" for k, p in self.terms]
+
+    @property
+    def intercept(self) -> float:
+        return float(sum(v for (_, p), v in zip(self.terms, self.theta) if p == 0))
+
+    def polynomial(self, k: int) -> list[float]:
+        """Coefficients of the powers 1, 2, ... of one base term."""
+        mine = {p: v for (j, p), v in zip(self.terms, self.theta) if j == k and p > 0}
+        return [float(mine.get(p, 0.0)) for p in range(1, max(mine, default=0) + 1)]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -87,40 +101,32 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return values.reshape(len(flat), width)
 
 
-def _emit(sums: dict[int, np.ndarray], counts: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    for combo, g in sums.items():
-        i, j = np.triu_indices(len(g))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(i) + 1, combo, dtype=np.int32)),
-                pa.array(np.append(i, -1).astype(np.int32)),
-                pa.array(np.append(j, -1).astype(np.int32)),
-                pa.array(np.append(g[i, j], float(counts[combo]))),
-            ],
-            names=["combo", "i", "j", "s"],
-        )
+def _checked(terms: int) -> None:
+    if terms > MAX_TERMS:
+        raise ValueError(f"{terms} model terms exceed the budget of {MAX_TERMS}")
 
 
-def gram(df: DataFrame, phi: str, y: str, width: int) -> DataFrame:
-    """Upper triangle of [X y]'[X y] summed over all rows, as (combo=0, i, j, s); (-1, -1) holds n.
+def gram_sums(df: DataFrame, phi: str, y: str, width: int) -> DataFrame:
+    """Packed upper triangle of [X y]'[X y] over all rows, which must be finite: one row (class, task, n, low, high, sums)."""
+    _checked(width)
 
-    Rows must be finite. Each task keeps one matrix and emits it once.
-    """
-    if width > MAX_TERMS:
-        raise ValueError(f"{width} model terms exceed the limit of {MAX_TERMS}")
+    def classify(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
+        yield b"", np.column_stack([_matrix(batch.column(0), width), batch.column(1).to_numpy(zero_copy_only=False)])
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((width + 1, width + 1)), 0
+    return total_sums(class_sums(df.select(phi, F.col(y).cast("double").alias("y")), classify, width + 1))
+
+
+def gram(df: DataFrame, phi: str, y: str, width: int) -> DataFrame:
+    """The same sums as (i, j, s) with i <= j; (-1, -1) holds the number of rows."""
+    upper = np.triu_indices(width + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                z = np.column_stack([_matrix(batch.column(0), width), batch.column(1).to_numpy(zero_copy_only=False)])
-                total += z.T @ z
-                n += len(z)
-        if n:
-            yield from _emit({0: total}, {0: n})
+            for n, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                columns = [np.append(i, -1).astype(np.int32) for i in upper]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.append(sums.values.to_numpy(), float(n)))], names=["i", "j", "s"])
 
-    rows = df.select(phi, F.col(y).cast("double").alias("y"))
-    return rows.mapInArrow(partial, SUM_SCHEMA).groupBy("combo", "i", "j").agg(F.sum("s").alias("s"))
+    return gram_sums(df, phi, y, width).select("n", "sums").mapInArrow(run, "i int, j int, s double")
 
 
 def gram_sql(df: DataFrame, xs: list[str], y: str) -> DataFrame:
@@ -130,41 +136,22 @@ def gram_sql(df: DataFrame, xs: list[str], y: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for a, b in pairs])
 
 
-def _collect(sums: DataFrame, width: int) -> dict[int, tuple[np.ndarray, int]]:
-    """Driver side: (p + 1)^2 / 2 numbers per model."""
-    table = sums.toPandas()
-    out = {}
-    for combo, rows in table.groupby("combo"):
-        g = np.zeros((width + 1, width + 1))
-        body = rows[rows["i"] >= 0]
-        g[body["i"], body["j"]] = body["s"]
-        g = g + np.triu(g, 1).T
-        out[int(combo)] = (g, int(rows.loc[rows["i"] < 0, "s"].sum()))
+def _sums(df: DataFrame, phi: str, y: str, width: int) -> Sums:
+    out = Sums.nothing(width + 1)
+    for _, s in collected(gram_sums(df, phi, y, width), width + 1):
+        out.add(s)
     return out
 
 
-def solve(g: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    """Solve normal equations; a singular or ill-conditioned system gets a small diagonal jitter."""
-    if g.size == 0:
-        return np.empty(0)
-    try:
-        if np.linalg.cond(g) < 1.0 / np.finfo(float).eps:
-            return np.linalg.solve(g, rhs)
-    except np.linalg.LinAlgError:
-        pass
-    jitter = JITTER * max(float(np.trace(g)) / len(g), 1.0)
-    return np.linalg.solve(g + jitter * np.eye(len(g)), rhs)
-
-
 def fit_arx(df: DataFrame, seq: Sequence, y: str, xs: list[str], na: int, nb: int, nk: int, *, lags: int | None = None, reach: int = 0) -> LinearModel:
     """ARX by least squares, without intercept; ``lags`` and ``reach`` as ``input_reach`` gives them for a family of inputs."""
     shape = LinearModel(y, tuple(xs), na, nb, nk, (), 0, lags, reach)
     terms = shape.terms
+    _checked(len(terms))
     rows = regressors(df, seq, terms, shape.start).filter(usable("phi", y))
-    found = _collect(gram(rows, "phi", y, len(terms)), len(terms))
-    g, n = found.get(0, (np.zeros((len(terms) + 1, len(terms) + 1)), 0))
-    theta = solve(g[:-1, :-1], g[:-1, -1]) if n else np.zeros(len(terms))
-    return replace(shape, theta=tuple(float(v) for v in theta), n_samples=n)
+    sums = _sums(rows, "phi", y, len(terms))
+    theta = solve(sums.matrix[:-1, :-1], sums.matrix[:-1, -1]) if sums.n else np.zeros(len(terms))
+    return replace(shape, theta=tuple(float(v) for v in theta), n_samples=sums.n)
 
 
 def dot(phi: str, theta: tuple[float, ...] | list[float]) -> Column:
@@ -180,42 +167,20 @@ def predict_one_step(df: DataFrame, seq: Sequence, model: LinearModel, out: str
     return rows.withColumn(out, F.when(usable("phi", model.y), dot("phi", model.theta))).drop("phi")
 
 
-def _simulate(
-    df: DataFrame, keys: list[str], order_by: list[str], ar: list[float], y: str, drive: str, scored: str, *,
-    seed_missing: float, mode: str = "absolute", bounds: tuple[float, float] | None = None, out: str,
-) -> DataFrame:
-    """Recurrence over each chunk: y(t) = drive(t) + sum a_k y(t-k), fed with its own outputs.
+def _free_run(driven: DataFrame, seq: Sequence, recurrence: Recurrence, y: str, out: str) -> DataFrame:
+    """``driven`` has __drive, has_full_history and __at, the position in the chunk. Chunks run in order inside a task, side by side in a batch."""
 
-    Only the autoregressive part needs order; everything exogenous is in ``drive`` already.
-    """
-    na, schema = max(len(ar), 1), with_field(df, out, T.DoubleType())
-    low, high = bounds if bounds is not None else (-np.inf, np.inf)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges, states in chunks_in(batches, "__at", recurrence):
+            get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            truth, drive = get("__truth").astype(float), get("__drive").astype(float)
+            predicted = recurrence.run(drive[:, None], truth, get("has_full_history").astype(bool)[:, None], edges, states)[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(predicted, pa.float64())], names=[*batch.schema.names, out])
 
-    def start() -> list[float]:
-        return [np.nan] * na
-
-    def step(state: list[float], rows):
-        predicted = np.full(len(rows), np.nan)
-        truth = rows[y].to_numpy(dtype=float)
-        driven = rows[drive].to_numpy(dtype=float)
-        live = rows[scored].to_numpy(dtype=bool)
-        for t in range(len(rows)):
-            if live[t]:
-                value = driven[t]
-                for a, past in zip(ar, state):
-                    value += a * past
-                if mode == "delta":
-                    value += state[0]
-                if bounds is not None:
-                    value = min(max(value, low), high) if value == value else value
-                predicted[t] = value
-            else:
-                value = truth[t] if np.isfinite(truth[t]) else seed_missing
-            state.insert(0, value)
-            state.pop()
-        return rows.assign(**{out: predicted})
-
-    return ordered_fold(df, keys, order_by, start, step, schema)
+    rows = driven.drop(out).withColumn("__truth", F.col(y).cast("double"))
+    arranged = rows.repartition(*seq.keys).sortWithinPartitions(*seq.keys, *seq.order_by)
+    done = arranged.mapInArrow(run, with_field(arranged, out, T.DoubleType()))
+    return done.withColumn(out, F.when(~F.isnan(out), F.col(out))).drop("__drive", "__truth", "__at")
 
 
 def simulate_linear(
@@ -230,16 +195,15 @@ def simulate_linear(
 ) -> DataFrame:
     """Free-run simulation: warm-up rows are seeded with the truth, later lags are the model's own outputs.
 
-    The exogenous contribution is computed by Spark for all rows; the grouped Python step runs the
+    The exogenous contribution is computed by Spark for all rows; the grouped step runs the
     short recurrence only. mode="delta" adds the output to the previous value; bounds clip it.
     """
-    rows = regressors(df, seq, model.terms[model.na :], model.start)
+    rows = regressors(with_position(df, seq, "__at"), seq, model.terms[model.na :], model.start)
     driven = rows.withColumn("__drive", dot("phi", model.theta[model.na :])).drop("phi")
-    done = _simulate(
-        driven, list(seq.keys), list(seq.order_by), list(model.theta[: model.na]), model.y, "__drive", "has_full_history",
-        seed_missing=seed_missing, mode=mode, bounds=bounds, out=out,
-    )
-    return done.withColumn(out, F.when(~F.isnan(out), F.col(out))).drop("__drive")
+    ar = np.array(model.theta[: model.na]).reshape(1, model.na, 1)
+    low, high = bounds if bounds is not None else (-np.inf, np.inf)
+    recurrence = Recurrence(ar, np.zeros(model.na), np.ones(model.na), mode == "delta", low, high, seed=seed_missing)
+    return _free_run(driven, seq, recurrence, model.y, out)
 
 
 def predict_aligned(df: DataFrame, seq: Sequence, model: LinearModel) -> DataFrame:
@@ -247,221 +211,73 @@ def predict_aligned(df: DataFrame, seq: Sequence, model: LinearModel) -> DataFra
     return simulate_linear(predict_one_step(df, seq, model).drop("has_full_history"), seq, model)
 
 
-# --- grid search -----------------------------------------------------------------------------
+# --- powers of lag terms ----------------------------------------------------------------------
 
 
-def _grid_terms(y: str, xs: list[str], na: int, nb: int, nk_max: int) -> list[tuple[str, str, int]]:
-    """All (column, lag) regressors any combination of the grid uses."""
-    terms = [(f"a{k}", y, k) for k in range(1, na + 1)]
-    return terms + [(f"b_{x}_delay{k}", x, k) for x in xs for k in range(nk_max + nb)] if nb else terms
+def powers_of(x: np.ndarray, degree: int) -> np.ndarray:
+    """[1, x, x^2, ...]: a column per base term and power, powers in turn."""
+    parts, z = [np.ones((len(x), 1))], np.ones_like(x)
+    for _ in range(degree):
+        z = z * x
+        parts.append(z)
+    return np.hstack(parts)
 
 
-def grid_search(
-    train: DataFrame,
-    validation: DataFrame,
-    seq: Sequence,
-    y: str,
-    xs: list[str],
-    na_values: list[int],
-    nb_values: list[int],
-    nk_values: list[int],
-    *,
-    mode: str = "one_step_ahead",
-    metric: str = "rmse",
-) -> tuple[DataFrame, LinearModel]:
-    """Score every (na, nb, nk); returns (scores, best model).
-
-    One pass over the training rows fits all combinations: a row with every lag present enters one
-    shared Gram matrix whose sub-blocks serve every combination; rows short of some lag (chunk
-    starts, missing targets) enter only the combinations they are valid for. One more pass scores
-    all fitted models on the validation rows.
-    """
-    if mode not in ("one_step_ahead", "free_run"):
-        raise ValueError("mode must be one_step_ahead or free_run")
-    if metric not in ("rmse", "aic", "bic"):
-        raise ValueError("metric must be rmse, aic or bic")
-    spark = train.sparkSession
-    combos = [(na, nb, nk) for na in na_values for nb in nb_values for nk in nk_values]
-    terms = _grid_terms(y, xs, max(na_values), max(nb_values), max(nk_values))
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"{len(terms)} model terms exceed the limit of {MAX_TERMS}")
-    at = {(c, k): n for n, (_, c, k) in enumerate(terms)}
-    index = [[at[(c, k)] for _, c, k in lag_terms(y, xs, *combo)] for combo in combos]
-    starts = [warmup(*combo) for combo in combos]
-    width = len(terms)
-
-    def wide(df: DataFrame) -> DataFrame:
-        # NULLs inside the array become NaN in Arrow; __at is the row's position in its chunk.
-        rows = regressors(df, seq, terms, 0)
-        at_row = rows.select("phi", F.col(y).cast("double").alias("y"), F.col("__at").cast("bigint"))
-        return at_row.filter(F.col("y").isNotNull() & ~F.isnan("y"))
-
-    def positioned(df: DataFrame) -> DataFrame:
-        return with_position(df, seq, "__at")
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        counts: dict[int, int] = {}
-
-        def add(combo: int, z: np.ndarray) -> None:
-            if len(z):
-                sums[combo] = sums.get(combo, 0) + z.T @ z
-                counts[combo] = counts.get(combo, 0) + len(z)
+def standardised(sums: Sums, terms: tuple[Term, ...], n_base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means and spreads of the base terms, and the matrix that turns plain powers into powers of standardised terms.
 
+    ``sums`` are those of ``powers_of``: by the binomial theorem one pass over plain powers gives the sums of any standardisation.
+    """
+    slot = lambda k, p: 0 if p == 0 else 1 + (p - 1) * n_base + k
+    g, n = sums.matrix, sums.n
+    first = slice(1, 1 + n_base)
+    mean = g[0, first] / n
+    spread = np.sqrt(np.maximum(np.diag(g)[first] / n - mean**2, 0.0))
+    scale = np.where(spread > FLAT, spread, 1.0)
+    turn = np.zeros((len(terms), g.shape[0] - 1))
+    for row, (k, p) in enumerate(terms):
+        choose = 1.0
+        for q in range(p, -1, -1):  # (x - m)^p = sum of choose(p, q) x^q (-m)^(p - q)
+            turn[row, slot(k, q)] += choose * (-mean[k]) ** (p - q) / scale[k] ** p if p else 1.0
+            choose = choose * q / (p - q + 1)
+    return mean, scale, turn
+
+
+def transformed(sums: Sums, turn: np.ndarray) -> Sums:
+    """The sums after the columns but the target are turned by ``turn``."""
+    whole = np.zeros((len(turn) + 1, sums.matrix.shape[0]))
+    whole[:-1, :-1] = turn
+    whole[-1, -1] = 1.0
+    return Sums(sums.n, sums.low, sums.high, whole @ sums.matrix @ whole.T)
+
+
+def target_range(sums: Sums, margin: float) -> tuple[float, float]:
+    """The range of the targets, widened by ``margin`` times its width."""
+    pad = margin * (sums.high - sums.low)
+    return float(sums.low - pad), float(sums.high + pad)
+
+
+def rough_scales(rows: DataFrame, phi: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and spread per base term over the finite values of a first pass: powers of such values neither vanish nor explode."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, width))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(0), width)
-            z = np.column_stack([x, batch.column(1).to_numpy(zero_copy_only=False)])
-            position = batch.column(2).to_numpy(zero_copy_only=False)
-            ok = np.isfinite(z)
-            whole = ok.all(axis=1)
-            add(-1, z[whole])
-            z, ok, position = z[~whole], ok[~whole], position[~whole]
-            for k, columns in enumerate(index):
-                use = [*columns, width]
-                valid = ok[:, use].all(axis=1) & (position >= starts[k])
-                add(k, z[valid][:, use])
-        yield from _emit(sums, counts)
-
-    found = wide(positioned(train)).mapInArrow(partial, SUM_SCHEMA).groupBy("combo", "i", "j").agg(F.sum("s").alias("s"))
-    table = found.toPandas()
-    blocks = {}
-    for combo, rows in table.groupby("combo"):
-        size = width + 1 if combo == -1 else len(index[combo]) + 1
-        g = np.zeros((size, size))
-        body = rows[rows["i"] >= 0]
-        g[body["i"], body["j"]] = body["s"]
-        blocks[int(combo)] = (g + np.triu(g, 1).T, int(rows.loc[rows["i"] < 0, "s"].sum()))
-
-    models: dict[int, LinearModel] = {}
-    for k, combo in enumerate(combos):
-        use = [*index[k], width]
-        g, n = np.zeros((len(use), len(use))), 0
-        if -1 in blocks:
-            g, n = g + blocks[-1][0][np.ix_(use, use)], blocks[-1][1]
-        if k in blocks:
-            g, n = g + blocks[k][0], n + blocks[k][1]
-        if n > len(index[k]):
-            theta = solve(g[:-1, :-1], g[:-1, -1])
-            models[k] = LinearModel(y, tuple(xs), *combo, tuple(float(v) for v in theta), n)
-    if not models:
-        raise RuntimeError("no combination has enough training rows")
-
-    thetas = {k: np.asarray(m.theta) for k, m in models.items()}
-    sums_schema = "combo int, n long, e2 double, e1 double, y1 double, y2 double"
-
-    def summarise(combo: int, truth: np.ndarray, predicted: np.ndarray) -> tuple:
-        e = truth - predicted
-        return combo, len(truth), float(e @ e), float(np.abs(e).sum()), float(truth.sum()), float(truth @ truth)
-
-    def score_one_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(0), width)
-            truth = batch.column(1).to_numpy(zero_copy_only=False)
-            position = batch.column(2).to_numpy(zero_copy_only=False)
-            ok = np.isfinite(x)
-            for k, theta in thetas.items():
-                valid = ok[:, index[k]].all(axis=1) & (position >= starts[k])
-                if valid.any():
-                    out.append(summarise(k, truth[valid], x[valid][:, index[k]] @ theta))
-        if out:
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("combo", "n", "e2", "e1", "y1", "y2"), r)) for r in out],
-                schema=pa.schema(
-                    [("combo", pa.int32()), ("n", pa.int64())] + [(c, pa.float64()) for c in ("e2", "e1", "y1", "y2")]
-                ),
-            )
-
-    if mode == "one_step_ahead":
-        raw = wide(positioned(validation)).mapInArrow(score_one_step, sums_schema)
-    else:
-        raw = _free_run_sums(validation, seq, models, starts)
-    sums = raw.groupBy("combo").agg(*[F.sum(c).alias(c) for c in ("n", "e2", "e1", "y1", "y2")]).filter(F.col("n") > 0)
-
-    catalogue = spark.createDataFrame(
-        [(k, *combos[k], len(index[k]), models[k].n_samples) for k in models],
-        "combo int, na int, nb int, nk int, n_params int, n_train long",
-    )
-    n, sse = F.col("n"), F.col("e2")
-    sst = F.col("y2") - F.col("y1") * F.col("y1") / n
-    k_terms = F.col("n_params") + 1
-    deviance = n * (F.log(2.0 * np.pi * F.greatest(sse, F.lit(np.finfo(float).tiny)) / n) + 1.0)
-    scores = catalogue.join(sums, "combo").select(
-        "combo", "na", "nb", "nk", "n_params", "n_train", F.col("n").alias("n_samples"),
-        F.sqrt(sse / n).alias("rmse"), (F.col("e1") / n).alias("mae"),
-        F.when(sst > 0, 1 - sse / sst).alias("r2"),
-        F.when(sst > 0, 100.0 * (1 - F.sqrt(sse / sst))).alias("fit_pct"),
-        (deviance + 2.0 * k_terms).alias("aic"), (deviance + k_terms * F.log(n.cast("double"))).alias("bic"),
-    ).withColumn("selection_score", F.col(metric))
-    rows = scores.collect()  # one row per tried combination
-    usable_rows = [r for r in rows if r["selection_score"] is not None and np.isfinite(r["selection_score"])]
-    if not usable_rows:
-        raise RuntimeError("no combination produced a finite score")
-    best = min(usable_rows, key=lambda r: (r["selection_score"], r["combo"]))
-    return spark.createDataFrame(rows, scores.schema).drop("combo"), models[best["combo"]]
-
-
-def _free_run_sums(validation: DataFrame, seq: Sequence, models: dict[int, LinearModel], starts: list[int]) -> DataFrame:
-    """Error sums of every model's free run: one ordered pass simulates all models side by side."""
-    first = next(iter(models.values()))
-    y, xs = first.y, list(first.xs)
-    reach = max([m.nk + m.nb - 1 for m in models.values()] + [0])
-    lagged = framed(
-        with_position(validation, seq, "__at"), seq,
-        lambda w: lag_columns(w, xs, list(range(reach + 1)), "__{c}_{k}"), before=reach,
-    )
-    base = lagged.select(
-        *seq.keys, *seq.order_by, "__at", F.col(y).cast("double").alias("__y"),
-        *[F.col(f"__{x}_{k}").cast("double") for x in xs for k in range(reach + 1)],
-    )
-    spec = [
-        (k, m.na, np.asarray(m.theta[: m.na]), [f"__{x}_{d}" for _, x, d in m.terms[m.na :]], np.asarray(m.theta[m.na :]), starts[k])
-        for k, m in models.items()
-    ]
-
-    def start() -> dict[int, list[float]]:
-        return {k: [0.0] * max(na, 1) for k, na, *_ in spec}
-
-    def step(state, rows):
-        truth, position, out = rows["__y"].to_numpy(float), rows["__at"].to_numpy(), []
-        for k, na, ar, columns, b, t0 in spec:
-            drive = rows[columns].to_numpy(float) @ b if columns else np.zeros(len(rows))
-            past, predicted = state[k], np.full(len(rows), np.nan)
-            for t in range(len(rows)):
-                if position[t] >= t0:
-                    value = drive[t]
-                    for a, p in zip(ar, past):
-                        value += a * p
-                    predicted[t] = value
-                else:
-                    value = truth[t] if np.isfinite(truth[t]) else 0.0
-                past.insert(0, value)
-                past.pop()
-            ok = np.isfinite(truth) & np.isfinite(predicted)
-            if ok.any():
-                e = truth[ok] - predicted[ok]
-                out.append((k, int(ok.sum()), float(e @ e), float(np.abs(e).sum()), float(truth[ok].sum()), float(truth[ok] @ truth[ok])))
-        return pd.DataFrame(out, columns=["combo", "n", "e2", "e1", "y1", "y2"])
-
-    return ordered_fold(
-        base, seq.keys, seq.order_by, start, step, "combo int, n long, e2 double, e1 double, y1 double, y2 double"
-    )
-
-
-# --- additive power terms ---------------------------------------------------------------------
-
-
-def expanded_term_count(n_linear: int, degree: int, power_from: int) -> int:
-    return 1 + n_linear + (degree - 1) * (n_linear - power_from)
-
-
-def _expand(x: np.ndarray, mean: np.ndarray, scale: np.ndarray, degree: int, power_from: int) -> np.ndarray:
-    z = (x - mean) / scale
-    return np.hstack([np.ones((len(z), 1)), z, *[z[:, power_from:] ** p for p in range(2, degree + 1)]])
+            if batch.num_rows:
+                x = _matrix(batch.column(0), width)
+                ok = np.isfinite(x)
+                x = np.where(ok, x, 0.0)
+                total += np.stack([ok.sum(axis=0), x.sum(axis=0), (x * x).sum(axis=0)])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["s"])
+
+    parts = rows.select(phi).mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v"))
+    found = np.zeros(3 * width)
+    for r in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():  # three numbers per base term
+        found[r["i"]] = r["v"]
+    n, s, q = found.reshape(3, width)
+    n = np.maximum(n, 1)
+    spread = np.sqrt(np.maximum(q / n - (s / n) ** 2, 0.0))
+    return s / n, np.where(spread > 0, spread, 1.0)
 
 
 def fit_power_ridge(
@@ -484,70 +300,45 @@ def fit_power_ridge(
 ) -> PowerModel:
     """Ridge over standardised lag terms and their powers; the intercept is not penalised.
 
-    Two passes over the lag rows: sums for means and scales, then the Gram matrix of expanded terms.
+    Two passes over the lag rows: rough centres and spreads, then the sums of plain powers, from which the standardised ones follow.
     """
     if scope not in ("all", "exogenous_only"):
         raise ValueError("scope must be 'all' or 'exogenous_only'")
-    linear = LinearModel(y, tuple(xs), na, nb, nk, (), 0, lags, reach)
-    terms = linear.terms
-    p, power_from = len(terms), na if scope == "exogenous_only" else 0
-    size = expanded_term_count(p, degree, power_from)
-    if max_terms and size > max_terms:
-        raise ValueError(f"{size} expanded terms exceed the budget of {max_terms}")
-    rows = regressors(df, seq, terms, linear.start).filter(usable("phi", y)).select("phi", F.col(y).cast("double").alias(y))
-    # First pass: n, sums and sums of squares are the first row and diagonal of the Gram matrix of [1, x].
-    base = rows.withColumn("phi", F.concat(F.array(F.lit(1.0)), F.col("phi")))
-    g, n = _collect(gram(base, "phi", y, p + 1), p + 1).get(0, (None, 0))
-    if not n:
+    shape = LinearModel(y, tuple(xs), na, nb, nk, (), 0, lags, reach)
+    base = shape.terms
+    terms = additive_terms(len(base), degree, na if scope == "exogenous_only" else 0)
+    if max_terms and len(terms) > max_terms:
+        raise ValueError(f"{len(terms)} expanded terms exceed the budget of {max_terms}")
+    _checked(1 + degree * len(base))
+    rows = regressors(df, seq, base, shape.start).filter(usable("phi", y)).select("phi", F.col(y).cast("double").alias("y"))
+    centre, spread = rough_scales(rows, "phi", len(base))
+    width = 1 + degree * len(base)
+
+    def classify(batch: pa.RecordBatch) -> Iterator[tuple[bytes, np.ndarray]]:
+        w = powers_of((_matrix(batch.column(0), len(base)) - centre) / spread, degree)
+        yield b"", np.column_stack([w, batch.column(1).to_numpy(zero_copy_only=False)])
+
+    sums = Sums.nothing(width + 1)
+    for _, s in collected(total_sums(class_sums(rows, classify, width + 1)), width + 1):
+        sums.add(s)
+    if not sums.n:
         raise ValueError("no finite training rows")
-    mean = g[0, 1 : p + 1] / n
-    spread = np.sqrt(np.maximum(np.diag(g)[1 : p + 1] / n - mean**2, 0.0))
-    scale = np.where(spread > SCALE_EPS, spread, 1.0)
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, count, low, high = np.zeros((size + 1, size + 1)), 0, np.inf, -np.inf
-        for batch in batches:
-            if batch.num_rows:
-                truth = batch.column(1).to_numpy(zero_copy_only=False)
-                z = np.column_stack([_expand(_matrix(batch.column(0), p), mean, scale, degree, power_from), truth])
-                total += z.T @ z
-                count += len(z)
-        if count:
-            yield from _emit({0: total}, {0: count})
-
-    sums = rows.mapInArrow(partial, SUM_SCHEMA).groupBy("combo", "i", "j").agg(F.sum("s").alias("s"))
-    g, n = _collect(sums, size)[0]
-    left = g[:-1, :-1] + alpha * np.diag([0.0] + [1.0] * (size - 1))
-    theta = solve(left, g[:-1, -1])
-    low, high = rows.agg(F.min(y), F.max(y)).first()
-    pad = max(high - low, SCALE_EPS) * margin
+    mean, scale, turn = standardised(sums, terms, len(base))
+    theta = RidgePath(transformed(sums, turn)).solution(alpha)
     return PowerModel(
-        replace(linear, n_samples=n), tuple(mean.tolist()), tuple(scale.tolist()), degree, power_from, alpha,
-        (float(low - pad), float(high + pad)), clip_predictions, tuple(theta.tolist()),
+        replace(shape, n_samples=sums.n), tuple((centre + spread * mean).tolist()), tuple((spread * scale).tolist()), terms, alpha,
+        target_range(sums, margin), clip_predictions, tuple(theta.tolist()),
     )
 
 
-def _power_parts(model: PowerModel) -> tuple[list[list[float]], float]:
-    """Per base term, its coefficients by power 1..degree; and the intercept."""
-    p = len(model.mean)
-    coefficients = [[model.theta[1 + k]] for k in range(p)]
-    at = 1 + p
-    for _ in range(2, model.degree + 1):
-        for k in range(model.power_from, p):
-            coefficients[k].append(model.theta[at])
-            at += 1
-    return coefficients, float(model.theta[0])
-
-
 def _power_sum(phi: str, model: PowerModel, first: int, last: int) -> Column:
-    """Sum over terms first..last of their polynomial in the standardised value (Horner form)."""
-    coefficients, _ = _power_parts(model)
+    """Sum over base terms first..last of their polynomial in the standardised value (Horner form)."""
     out = F.lit(0.0)
     for slot, k in enumerate(range(first, last)):
         z = (F.col(phi)[slot] - F.lit(float(model.mean[k]))) / F.lit(float(model.scale[k]))
         poly = F.lit(0.0)
-        for c in reversed(coefficients[k]):
-            poly = (poly + F.lit(float(c))) * z
+        for c in reversed(model.polynomial(k)):
+            poly = (poly + F.lit(c)) * z
         out = out + poly
     return out
 
@@ -555,7 +346,7 @@ def _power_sum(phi: str, model: PowerModel, first: int, last: int) -> Column:
 def predict_one_step_powers(df: DataFrame, seq: Sequence, model: PowerModel, out: str = "y_pred_osa") -> DataFrame:
     base = model.base
     rows = regressors(df, seq, base.terms, base.start)
-    value = F.lit(float(model.theta[0])) + _power_sum("phi", model, 0, len(model.mean))
+    value = F.lit(model.intercept) + _power_sum("phi", model, 0, len(model.mean))
     if model.clip_predictions:
         value = clip(value, *model.bounds)
     return rows.withColumn(out, F.when(usable("phi", base.y), value)).drop("phi")
@@ -567,41 +358,12 @@ def simulate_powers(df: DataFrame, seq: Sequence, model: PowerModel, out: str =
     Spark evaluates the exogenous polynomial; the ordered step evaluates the autoregressive one.
     """
     base, na = model.base, model.base.na
-    rows = regressors(df, seq, base.terms[na:], base.start)
-    drive = F.lit(float(model.theta[0])) + _power_sum("phi", model, na, len(model.mean))
-    driven = rows.withColumn("__drive", drive).drop("phi")
-    coefficients = _power_parts(model)[0][:na]
-    mean, scale = model.mean[:na], model.scale[:na]
+    rows = regressors(with_position(df, seq, "__at"), seq, base.terms[na:], base.start)
+    driven = rows.withColumn("__drive", F.lit(model.intercept) + _power_sum("phi", model, na, len(model.mean))).drop("phi")
+    mine = [model.polynomial(k) for k in range(na)]
+    ar = np.zeros((1, na, max(map(len, mine), default=1)))
+    for k, c in enumerate(mine):
+        ar[0, k, : len(c)] = c
     low, high = model.bounds if model.clip_predictions else (-np.inf, np.inf)
-    y = base.y
-
-    def start() -> dict:
-        return {"past": [np.nan] * max(na, 1), "diverged": False}
-
-    def step(state, part):
-        truth, predicted = part[y].to_numpy(dtype=float), np.full(len(part), np.nan)
-        driven_by, live = part["__drive"].to_numpy(dtype=float), part["has_full_history"].to_numpy(dtype=bool)
-        past = state["past"]
-        with np.errstate(all="ignore"):
-            for t in range(len(part)):
-                value = np.nan
-                if not live[t]:
-                    value = truth[t] if np.isfinite(truth[t]) else 0.0
-                elif not state["diverged"] and np.isfinite(driven_by[t]) and np.isfinite(past[:na]).all():
-                    value = np.float64(driven_by[t])
-                    for k in range(na):
-                        z, poly = (past[k] - mean[k]) / scale[k], 0.0
-                        for c in reversed(coefficients[k]):
-                            poly = (poly + c) * z
-                        value += poly
-                    if np.isfinite(value):
-                        value = min(max(value, low), high)
-                        predicted[t] = value
-                    else:
-                        state["diverged"], value = True, np.nan
-                past.insert(0, value)
-                past.pop()
-        return part.assign(**{out: predicted})
-
-    done = ordered_fold(driven, seq.keys, seq.order_by, start, step, with_field(driven, out, T.DoubleType()))
-    return done.withColumn(out, F.when(~F.isnan(out), F.col(out))).drop("__drive")
+    recurrence = Recurrence(ar, np.array(model.mean[:na]), np.array(model.scale[:na]), False, low, high, strict=True)
+    return _free_run(driven, seq, recurrence, base.y, out)

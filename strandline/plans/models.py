@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import features, linear, metrics, split
+from strandline.operators import features, grid, linear, metrics, split
 from strandline.plans.jobs import Run
 from strandline.plans.registry import query
 from strandline.plans.splits import CHUNK_SQL, LENGTH, GAP, MIN_ROWS, chunks, with_roles
@@ -105,7 +105,8 @@ def simulate_delta(spark, sf_dir):
 
 
 POWER = linear.PowerModel(
-    linear.LinearModel(Y, (X,), 1, 1, 1, (), 0), (25.0, 0.05), (14.0, 0.03), 2, 1, 0.1, (0.0, 60.0), False, (25.0, 6.0, 3.0, -2.0)
+    linear.LinearModel(Y, (X,), 1, 1, 1, (), 0), (25.0, 0.05), (14.0, 0.03), linear.additive_terms(2, 2, 1), 0.1, (0.0, 60.0), False,
+    (25.0, 6.0, 3.0, -2.0),
 )
 POWER_STEP = "25.0 + 6.0 * ({prev} - 25.0) / 14.0 + 3.0 * (m.u1 - 0.05) / 0.03 - 2.0 * pow((m.u1 - 0.05) / 0.03, 2)"
 
@@ -151,7 +152,7 @@ def split_rows(spark, sf_dir):
 def grid_search(spark, sf_dir):
     rows = split_rows(spark, sf_dir)
     train, validation = (rows.filter(F.col("split_role") == r) for r in ("train", "validation"))
-    scores, _ = linear.grid_search(train, validation, CHUNK_SEQ, Y, [X, "l_tax"], [0, 1, 3], [0, 1, 3], [0, 1])
+    scores, _ = grid.grid_search(train, validation, CHUNK_SEQ, Y, [X, "l_tax"], [0, 1, 3], [0, 1, 3], [0, 1])
     return metrics.ranked(scores, "selection_score", "na", "nb", "nk")
 
 
@@ -159,7 +160,7 @@ def grid_search(spark, sf_dir):
 def grid_search_free_run(spark, sf_dir):
     rows = split_rows(spark, sf_dir)
     train, validation = (rows.filter(F.col("split_role") == r) for r in ("train", "validation"))
-    scores, _ = linear.grid_search(train, validation, CHUNK_SEQ, Y, [X], [0, 1, 2], [1], [0, 1], mode="free_run", metric="bic")
+    scores, _ = grid.grid_search(train, validation, CHUNK_SEQ, Y, [X], [0, 1, 2], [1], [0, 1], mode="free_run", metric="bic")
     return scores
 
 
@@ -230,7 +231,7 @@ def arx_run(spark, sf_dir) -> Run:
     """Fit on train chunks, predict and score the others, and gather every result table."""
     rows = split_rows(spark, sf_dir)
     train, validation = (rows.filter(F.col("split_role") == r) for r in ("train", "validation"))
-    scores, best = linear.grid_search(train, validation, CHUNK_SEQ, Y, [X, "l_tax"], [0, 1, 2], [1, 2], [0, 1])
+    scores, best = grid.grid_search(train, validation, CHUNK_SEQ, Y, [X, "l_tax"], [0, 1, 2], [1, 2], [0, 1])
     predicted = linear.predict_aligned(rows, CHUNK_SEQ, best)
     scored = metrics.metrics_by(
         predicted.filter("has_full_history"), Y, {"one_step_ahead": "y_pred_osa", "free_run": "y_pred_freerun"}, ("split_role",)

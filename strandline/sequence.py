@@ -18,14 +18,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 BUCKET = "__bucket"
 SEGMENT = "__segment"
 CORE = "__core"
@@ -267,6 +269,8 @@ def ordered_fold(
     keys, order_by = list(keys), list(order_by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pandas as pd  # only workers of recurrences pay for it
+
         current, state = None, None
         for rows in batches:
             if rows.empty:

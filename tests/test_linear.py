@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from strandline.functions.scalars import nan_to_null
-from strandline.operators import linear
+from strandline.operators import grid, linear
 from strandline.sequence import Sequence
 from tests.conftest import close, rows
 
@@ -60,7 +60,7 @@ def test_singular_system_gets_jitter():
 @pytest.mark.parametrize("metric", ["rmse", "bic"])
 def test_grid_search_equals_one_fit_per_combination(spark, metric):
     train, valid = series(1), series(2)
-    scores, best = linear.grid_search(
+    scores, best = grid.grid_search(
         frame(spark, train), frame(spark, valid), SEQ, "y", ["u", "w"], [0, 1, 3], [0, 1, 2], [0, 1, 4], metric=metric
     )
     got = {(r["na"], r["nb"], r["nk"]): r for r in scores.collect()}
@@ -106,7 +106,7 @@ def test_free_run(spark):
 
 def test_free_run_grid_scores(spark):
     train, valid = series(4), series(5)
-    scores, _ = linear.grid_search(frame(spark, train), frame(spark, valid), SEQ, "y", ["u", "w"], [0, 2], [1], [0], mode="free_run")
+    scores, _ = grid.grid_search(frame(spark, train), frame(spark, valid), SEQ, "y", ["u", "w"], [0, 2], [1], [0], mode="free_run")
     truth = {(r[0], r[1]): r[2] for r in valid}
     for r in scores.collect():
         phi, target, _ = regressors(train, r["na"], 1, 0)
@@ -150,7 +150,7 @@ def test_power_ridge_equals_numpy(spark, scope):
 
 def test_diverging_free_run_is_missing_to_the_end(spark):
     base = linear.LinearModel("y", ("u",), 1, 1, 0, (), 0)
-    model = linear.PowerModel(base, (0.0, 0.0), (1.0, 1.0), 2, 0, 0.0, (0.0, 1.0), False, (0.0, 0.0, 0.0, 1e200, 0.0))
+    model = linear.PowerModel(base, (0.0, 0.0), (1.0, 1.0), linear.additive_terms(2, 2), 0.0, (0.0, 1.0), False, (0.0, 0.0, 0.0, 1e200, 0.0))
     df = spark.createDataFrame([(1, i, 2.0, 1.0, 0.0) for i in range(5)], "c int, i int, y double, u double, w double")
     got = [v for _, v in rows(linear.simulate_powers(df, SEQ, model).select("i", "y_pred_freerun"))]
     assert got[0] is None and got[1] == 4e200 and got[2:] == [None, None, None]
