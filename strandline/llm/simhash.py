@@ -204,17 +204,23 @@ def jaccard(a: str | None, b: str | None) -> float:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(k, id, z): the hash of the words and the words themselves, compressed. ``docs`` has k and t."""
-    kind = docs.schema["k"].dataType.simpleString()
+    """``docs``, which has t and whatever else, with t replaced by two hashes of the words, a and b, and the words themselves, compressed as z."""
+    at = docs.columns.index("t")
+    kept = [c for c in docs.columns if c != "t"]
+    none = F.lit(None)
+    out = docs.select(*kept, none.cast("long").alias("a"), none.cast("long").alias("b"), none.cast("binary").alias("z"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            plain = [b" ".join((t or "").encode().lower().split()) for t in batch.column(1).to_pylist()]
-            ids = np.fromiter(map(xxhash.xxh64_intdigest, plain), np.uint64, len(plain)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), pa.array(map(pack, plain), pa.binary())], names=["k", "id", "z"])
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1000):
+                batch = whole.slice(s, 1000)
+                plain = [b" ".join((t or "").encode().lower().split()) for t in batch.column(at).to_pylist()]
+                a, b = (pa.array(np.fromiter(map(f, plain), np.uint64, len(plain)).view(np.int64)) for f in (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest))
+                others = [c for i, c in enumerate(batch.columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*others, a, b, pa.array(map(pack, plain), pa.binary())], names=[*kept, "a", "b", "z"])
 
-    return docs.select("k", "t").mapInArrow(run, f"k {kind}, id long, z binary")
+    return docs.mapInArrow(run, out.schema)
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -286,15 +292,14 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component_id): the smallest key reachable over pairs of texts whose five-word shingles have a Jaccard of 0.8 or more.
+def _near_components(rows: DataFrame) -> DataFrame:
+    """(a, b, root, low): per distinct text, told by both hashes, the component of near copies it is in and its smallest key.
 
-    All such pairs count: they share one of the rarest fifth of their shingles, and each pair that does is checked by its shingles.
-    Neighbours under a shingle are checked first, so that a large group of copies is mostly one component before the pairs between
-    components are. Texts of equal words are one; a text without words is like its equals only.
+    ``rows`` has k, a, b and z. Texts that share the first hash alone get another number in the graph.
     """
-    rows = written(_texts(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))), "near-rows")
-    texts = written(rows.groupBy("id").agg(F.min(F.coalesce(F.col("k").cast("long"), F.lit(NULL_ID))).alias("low"), F.min("z").alias("z")), "near-texts")
+    distinct = rows.groupBy("a", "b").agg(F.min(F.coalesce(F.col("k").cast("long"), F.lit(NULL_ID))).alias("low"), F.min("z").alias("z"))
+    clash = F.count(F.lit(1)).over(Window.partitionBy("a")) > 1
+    texts = written(distinct.withColumn("id", F.when(clash, F.col("a").bitwiseXOR(F.col("b"))).otherwise(F.col("a"))), "near-texts")
     members = _rarest(texts).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1").drop("m")
     members = written(members, "near-members")
     me = F.struct("id", "n", "pos")
@@ -316,18 +321,39 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     late = written(_alike(pairs, texts), "near-edges")
     if not late.isEmpty():
         joined = components(edges.unionByName(late))
+    return texts.join(joined, texts.id == joined.node, "left").select("a", "b", F.coalesce("root", "id").alias("root"), "low")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component_id): the smallest key reachable over pairs of texts whose five-word shingles have a Jaccard of 0.8 or more.
 
-    roots = texts.join(joined, texts.id == joined.node, "left").select("id", F.coalesce("root", "id").alias("root"), "low")
+    All such pairs count: they share one of the rarest fifth of their shingles, and each pair that does is checked by its shingles.
+    Neighbours under a shingle are checked first, so that a large group of copies is mostly one component before the pairs between
+    components are. Texts of equal words, told by two 64-bit hashes, are one; a text without words, null or empty, is like its equals only.
+    A null key is less than all others and returned as null where it is the smallest. Components that share their smallest key are told
+    apart by ``keep_one`` only. Repeated rows are each returned; other columns are not read; an empty table gives an empty table.
+    """
+    rows = written(_texts(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))), "near-rows")
+    roots = written(_near_components(rows), "near-roots")
     smallest = roots.groupBy("root").agg(F.min("low").alias("least"))
-    named = roots.join(smallest, "root").select("id", F.when(F.col("least") != NULL_ID, F.col("least")).alias("component_id"))
-    return rows.select("k", "id").join(named, "id").select(F.col("k").alias(key), "component_id")
+    named = roots.join(smallest, "root").select("a", "b", F.when(F.col("least") != NULL_ID, F.col("least")).alias("component_id"))
+    return rows.select("k", "a", "b").join(named, ["a", "b"]).select(F.col("k").alias(key), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component of near copies: that of the smallest key, and of repeated rows of that key one."""
-    found = near_copies(docs.select(key, text), key, text).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    kept = docs.join(found, docs[key].eqNullSafe(F.col("_k")), "left_semi")
+    """``docs`` with one row of each component of near copies (see ``near_copies``): of its texts the one with the smallest key.
+
+    Null keys come first. Where several texts or rows of a component share that key, the text of least hash stays, and of its rows one,
+    by a hash of their other columns. Rows without words, null or empty, are one component. Columns of any name and type are kept as they are.
+    """
     columns = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    once = kept.groupBy(F.col(key).alias("_k")).agg(F.min(row).alias("_row"))
-    return once.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    rows = written(_texts(boxed.select(F.col(f"row.`{key}`").alias("k"), F.col(f"row.`{text}`").alias("t"))), "near-rows")
+    roots = _near_components(rows)
+    stays = written(roots.groupBy("root").agg(F.min(F.struct("low", "a", "b")).alias("s")).select("s.*"), "near-stays")
+    # the texts are hashed once more, so that whole rows are moved only if they stay
+    again = _texts(boxed.select("row", F.coalesce(F.col(f"row.`{key}`").cast("long"), F.lit(NULL_ID)).alias("low"), F.col(f"row.`{text}`").alias("t"))).drop("z")
+    kept = again.join(stays, ["low", "a", "b"])
+    plain = [f.name for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    once = kept.groupBy("low", "a", "b").agg(F.min_by("row", F.xxhash64(*[F.col(f"row.`{c}`") for c in plain])).alias("row"))
+    return once.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])

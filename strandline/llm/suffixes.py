@@ -14,15 +14,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,22 +32,27 @@ HOT = 16384  # pieces of one anchor that one task sorts; the windows of further
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 _RANDOM = np.random.default_rng(20240501)
 BYTE = tuple(_RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False) for _ in BASES)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-_INVERSES: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+KNOWN = 1 << 18  # powers that a worker keeps; more are made when a text needs them, and go with it
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 SPAN_TYPE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-STEP = 1 << 22  # bytes of one document handled at a time, overlapping by a window
+SETTLED = 150_000  # pieces that a task settles together, and with them their texts
+SORTED = 1 << 19  # bytes of pieces that a task sorts together; more only where one group has more
+STEP = 1 << 20  # bytes of one document handled at a time, overlapping by a window
 
 
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64."""
-    if len(_POWERS[which]) < n:
-        size = 1 << (n - 1).bit_length()
-        inverse = np.uint64(pow(int(BASES[which]), -1, 1 << 64))
-        for store, factor in ((_POWERS, BASES[which]), (_INVERSES, inverse)):
-            x = np.full(size, factor, np.uint64)
-            x[0] = 1
-            store[which] = np.multiply.accumulate(x)
-    return _POWERS[which][:n], _INVERSES[which][:n]
+    if n <= KNOWN and which in _POWERS:
+        power, inverse = _POWERS[which]
+        return power[:n], inverse[:n]
+    made = []
+    for factor in (BASES[which], np.uint64(pow(int(BASES[which]), -1, 1 << 64))):
+        x = np.full(max(n, KNOWN), factor, np.uint64)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x, out=x))
+    if n <= KNOWN:
+        _POWERS[which] = (made[0], made[1])
+    return made[0][:n], made[1][:n]
 
 
 class Prefixes:
@@ -157,7 +160,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 found.append((k, c, e, np.full(len(k), d), _packed(start, more, np.int64(row)), start + total))
                 texts.append(data)
                 size, total = size + len(k), total + len(data)
-                if size > 400_000:
+                if size > SETTLED:
                     yield settle()
                     size = total = 0
         if found:
@@ -285,9 +288,9 @@ def _sorted_edges(pieces: DataFrame) -> DataFrame:
         place = np.concatenate([[0], np.cumsum((np.diff(d[piece][order]) != 0) | (np.diff(start[order]) != 0))])
         rank = np.empty(len(order), np.int64)
         rank[order] = place  # windows of the same key and start are equal in rank: neither is earlier
-        _, size = np.unique(bucket, return_inverse=True, return_counts=True)[1:]
-        which = np.unique(bucket, return_inverse=True)[1]
+        _, which, size = np.unique(bucket, return_inverse=True, return_counts=True)
         alone = size[which] == 1
+        del which
         gone = np.zeros(len(bucket), bool)
         some = np.flatnonzero(~alone)
         if len(some):
@@ -312,7 +315,7 @@ def _sorted_edges(pieces: DataFrame) -> DataFrame:
         for batch in batches:
             for k, chunk, hot, d, at, body in zip(*[batch.column(i).to_pylist() for i in range(6)]):
                 if (k, chunk) != last:
-                    if size > 3 << 19:  # whole groups of about so many bytes at a time
+                    if size > SORTED:  # whole groups of about so many bytes at a time
                         yield from sort(held)
                         held, size, group = [], 0, -1
                     last, group = (k, chunk), group + 1
@@ -482,14 +485,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(*[F.when(~F.col("empty"), F.col("text")).alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in rest], "n_bytes", "spans", "kept")
 
 
-def text_of(kept: Column) -> Column:
-    """Kept bytes as text: bytes that are no whole character, left at a cut, are dropped."""
+def with_text(cleaned: DataFrame, text: str = "text") -> DataFrame:
+    """``cleaned`` with the kept bytes as ``text`` where anything was cut; bytes that are no whole character, left at a cut, are dropped."""
+    at, cut, body = (cleaned.columns.index(c) for c in (text, "spans", "kept"))
 
-    @F.pandas_udf("string")
-    def decoded(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: b.decode("utf-8", "ignore"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 1000):
+                part = batch.slice(s, 1000)
+                texts = [b.decode("utf-8", "ignore") if found else t for t, found, b in zip(*[part.column(i).to_pylist() for i in (at, cut, body)])]
+                columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return decoded(kept)
+    return cleaned.mapInArrow(run, cleaned.schema)
 
 
 def digest_columns(cleaned: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -512,6 +520,3 @@ def brute_force(texts: list[tuple[int, bytes]]) -> dict[int, list[tuple[int, int
         out[d] = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
     return out
 
-
-def sha(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()
