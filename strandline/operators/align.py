@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.names import normalize_stem
-from strandline.sequence import Sequence, carry, join_stats
+from strandline.sequence import Sequence, carry
 
 
 def first_per_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
@@ -133,75 +133,86 @@ def interpolate_to(
     return both.filter(F.col("__kind") == 1).select(*base, *[value(c).alias(c) for c in columns])
 
 
-def match_sources(left: DataFrame, right: DataFrame, name: str, max_tokens: int = 12) -> DataFrame:
+GRAM = 3  # characters of the keys by which a name finds the names it lies in
+
+
+def _tokens(c: str) -> Column:
+    return F.array_distinct(F.split(F.col(c), "_"))
+
+
+def _grams(c: str, n: int) -> Column:
+    """The distinct substrings of ``n`` characters; none of a shorter text."""
+    last = F.length(c) - (n - 1)
+    every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+    return F.array_distinct(F.when(last > 0, every).otherwise(F.array().cast("array<string>")))
+
+
+def _contained(subs: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(sub, whole): every name of ``subs`` that lies in a different name of ``wholes``; both have ``stem``, distinct.
+
+    A name of GRAM characters or more is looked up by the one of its grams that fewest wholes have, so each whole gives as many
+    rows as it has characters. Shorter names, of which there are few, are looked up by themselves.
+    """
+    short = F.array_union(F.array(F.lit("")), F.array_union(_grams("whole", 1), _grams("whole", 2)))
+    named = wholes.select(F.col("stem").alias("whole"))
+    tiny = named.select("whole", F.explode(short).alias("sub")).join(subs.select(F.col("stem").alias("sub")), "sub")
+    held = named.select("whole", F.explode(_grams("whole", GRAM)).alias("gram"))
+    often = held.groupBy("gram").agg(F.count("*").alias("n"))
+    mine = subs.filter(F.length("stem") >= GRAM).select(F.col("stem").alias("sub"), F.explode(_grams("stem", GRAM)).alias("gram"))
+    # a gram that no whole has rules the name out: its count is then 0
+    keyed = mine.join(often, "gram", "left").groupBy("sub").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k"))
+    keyed = keyed.filter("k.n > 0").select("sub", F.col("k.gram").alias("gram"))
+    found = held.join(keyed, "gram").filter(F.contains("whole", "sub")).select("sub", "whole")
+    return tiny.select("sub", "whole").unionByName(found).filter("sub <> whole")
+
+
+def match_sources(left: DataFrame, right: DataFrame, name: str, frequent: int = 1000) -> DataFrame:
     """Best partner in ``right`` for every name in ``left`` (columns: name, match, score_class).
 
     Classes: 3 equal normalised stems, 2 one contains the other, 1 a shared token. Within class 2:
     more shared tokens, then closer lengths; within 1: more shared tokens, then closer token counts;
-    ties go to the greater name. No class, no match (NULL).
+    ties go to the greater name. No class, no match (NULL). Names may have any number of tokens.
 
-    No pair table is built. ``right`` is first reduced to its best name per stem; containment is an
-    equi-join on substrings, and shared tokens an equi-join on token subsets, each keeping only the
-    best partner per key before the join. Names of more than ``max_tokens`` tokens raise an error.
+    ``right`` is first reduced to its best name per stem. A token of at most ``frequent`` right stems leads to all of them. Stems
+    that share only more frequent tokens need not be compared one by one: they are compared as sets of frequent tokens, each set
+    standing for all right stems of equal size that have it. So no list of pairs grows with the square of a common token.
     """
     stems_l = left.select(F.col(name), normalize_stem(name).alias("stem")).distinct()
     stems_r = right.select(normalize_stem(name).alias("stem"), F.col(name)).groupBy("stem").agg(F.max(name).alias("best"))
     uniq_l = stems_l.select("stem").distinct()
-
-    def tokens(c: str) -> Column:
-        return F.array_distinct(F.split(F.col(c), "_"))
-
-    def substrings(c: str) -> Column:
-        n = F.length(c)
-        inner = F.expr(
-            f"flatten(transform(sequence(1, greatest(length({c}), 1)), i -> "
-            f"transform(sequence(1, greatest(length({c}) - i + 1, 1)), k -> substring({c}, i, k))))"
-        )
-        return F.array_distinct(F.concat(F.when(n > 0, inner).otherwise(F.array(F.lit(""))), F.array(F.lit(""))))
-
-    def subsets(c: str) -> Column:
-        t = tokens(c)
-        checked = F.when(F.size(t) > max_tokens, F.raise_error(F.lit(f"a name has more than {max_tokens} tokens"))).otherwise(
-            F.sort_array(t)
-        )
-        seed = F.array(F.array().cast("array<string>"))
-        return F.filter(
-            F.aggregate(checked, seed, lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x))))),
-            lambda s: F.size(s) > 0,
-        )
-
-    overlap = lambda a, b: F.size(F.array_intersect(tokens(a), tokens(b)))
-    rank = lambda k, a, b: F.struct(F.lit(k).alias("k"), a.alias("a"), b.alias("b"), F.col("best").alias("name"))
-
-    equal = uniq_l.join(stems_r, "stem").select("stem", rank(3, F.length("stem"), F.length("stem")).alias("r"))
-
-    gap = -F.abs(F.length("sub") - F.length("whole"))
-    inside_right = (
-        stems_r.select(F.col("stem").alias("whole"), "best", F.explode(substrings("stem")).alias("sub"))
-        .filter(F.col("sub") != F.col("whole"))
-        .groupBy("sub")
-        .agg(F.max(rank(2, overlap("sub", "whole"), gap)).alias("r"))
-    )
-    left_inside = uniq_l.join(inside_right, uniq_l["stem"] == inside_right["sub"]).select("stem", "r")
-    right_inside = (
-        uniq_l.select(F.col("stem").alias("whole"), F.explode(substrings("stem")).alias("sub"))
-        .filter(F.col("sub") != F.col("whole"))
-        .join(stems_r.withColumnRenamed("stem", "sub"), "sub")
-        .select(F.col("whole").alias("stem"), rank(2, overlap("sub", "whole"), gap).alias("r"))
+    rank = lambda k, a, b, c: F.struct(F.lit(k).alias("k"), a.alias("a"), b.alias("b"), F.col(c).alias("name"))
+    overlap = lambda a, b: F.size(F.array_intersect(_tokens(a), _tokens(b)))
+
+    equal = uniq_l.join(stems_r, "stem").select("stem", rank(3, F.length("stem"), F.length("stem"), "best").alias("r"))
+    inner = rank(2, overlap("sub", "whole"), -(F.length("whole") - F.length("sub")), "best").alias("r")
+    left_inside = _contained(uniq_l, stems_r).join(stems_r.withColumnRenamed("stem", "whole"), "whole").select(F.col("sub").alias("stem"), inner)
+    right_inside = _contained(stems_r, uniq_l).join(stems_r.withColumnRenamed("stem", "sub"), "sub").select(F.col("whole").alias("stem"), inner)
+
+    has_r = stems_r.select("best", F.col("stem").alias("other"), _tokens("stem").alias("theirs"), F.explode(_tokens("stem")).alias("token"))
+    has_l = uniq_l.select("stem", _tokens("stem").alias("mine"), F.explode(_tokens("stem")).alias("token"))
+    spread = has_r.groupBy("token").agg(F.count("*").alias("n"))
+    rare, common = spread.filter(F.col("n") <= frequent).select("token"), spread.filter(F.col("n") > frequent).select("token")
+    closeness = -F.abs(F.size("mine") - F.size("theirs"))
+    by_rare = has_l.join(has_r.join(rare, "token"), "token").select(
+        "stem", rank(1, F.size(F.array_intersect("mine", "theirs")), closeness, "best").alias("r")
     )
 
-    best_by_subset = (
-        stems_r.select("best", F.size(tokens("stem")).alias("n"), F.explode(subsets("stem")).alias("shared"))
-        .groupBy("shared", "n")
-        .agg(F.max("best").alias("best"))
-    )
-    sharing = (
-        uniq_l.select("stem", F.size(tokens("stem")).alias("n_left"), F.explode(subsets("stem")).alias("shared"))
-        .transform(lambda left: join_stats(left, best_by_subset, ["shared"], ["stem"], "inner"))
-        .select("stem", rank(1, F.size("shared"), -F.abs(F.col("n_left") - F.col("n"))).alias("r"))
+    def classes(has: DataFrame, own: str, tokens: str) -> DataFrame:
+        """Stems by their set of frequent tokens and how many tokens they have."""
+        sets = has.join(common, "token").groupBy(own).agg(F.sort_array(F.collect_set("token")).alias("set"), F.first(F.size(tokens)).alias("n"))
+        return sets
+
+    sets_l = classes(has_l, "stem", "mine")
+    sets_r = classes(has_r, "best", "theirs").groupBy("set", "n").agg(F.max("best").alias("best"))
+    kinds_l = sets_l.select("set", "n").distinct()
+    meet_l = kinds_l.select(F.col("set").alias("set_l"), F.col("n").alias("n_l"), F.explode("set").alias("token"))
+    meet_r = sets_r.select("set", "n", "best", F.explode("set").alias("token"))
+    kinds = meet_l.join(meet_r, "token").groupBy("set_l", "n_l").agg(
+        F.max(rank(1, F.size(F.array_intersect("set_l", "set")), -F.abs(F.col("n_l") - F.col("n")), "best")).alias("r")
     )
+    by_common = sets_l.join(kinds, (F.col("set") == F.col("set_l")) & (F.col("n") == F.col("n_l"))).select("stem", "r")
 
-    best = equal.union(left_inside).union(right_inside).union(sharing).groupBy("stem").agg(F.max("r").alias("r"))
+    best = equal.union(left_inside).union(right_inside).union(by_rare).union(by_common).groupBy("stem").agg(F.max("r").alias("r"))
     return stems_l.join(best, "stem", "left").select(
         F.col(name), F.col("r.name").alias("match"), F.coalesce(F.col("r.k"), F.lit(0)).alias("score_class")
     )

@@ -146,11 +146,11 @@ def interpolate(spark, sf_dir):
     return out.select("user_id", "event_id", near("value").alias("value"))
 
 
-@query(
-    "d7_match_sources",
-    f"""WITH l0 AS (SELECT DISTINCT {STEM_SQL} AS stem FROM customer),
+def match_sql(left: str, right: str) -> str:
+    """The best of all pairs; ``left`` and ``right`` select the distinct stems."""
+    return f"""WITH l0 AS ({left}),
     l AS (SELECT stem AS name, {NORM_SQL} AS norm FROM l0),
-    r0 AS (SELECT DISTINCT {RIGHT_SQL} AS stem FROM customer),
+    r0 AS ({right}),
     r AS (SELECT norm, MAX(name) AS name FROM (SELECT stem AS name, {NORM_SQL} AS norm FROM r0) GROUP BY norm),
     u AS (SELECT DISTINCT norm FROM l),
     p AS (SELECT u.norm, r.name, r.norm AS other,
@@ -160,8 +160,10 @@ def interpolate(spark, sf_dir):
     b AS (SELECT *, CASE WHEN cls = 3 THEN len(norm) ELSE ov END AS s1,
       CASE WHEN cls = 3 THEN len(other) WHEN cls = 2 THEN -abs(len(norm) - len(other)) ELSE -abs(nl::BIGINT - nr::BIGINT) END AS s2 FROM k WHERE cls > 0),
     w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY norm ORDER BY cls DESC, s1 DESC, s2 DESC, name DESC) AS rn FROM b)
-    SELECT l.name, w.name AS match, COALESCE(w.cls, 0)::INTEGER AS score_class FROM l LEFT JOIN w ON w.norm = l.norm AND w.rn = 1""",
-)
+    SELECT l.name, w.name AS match, COALESCE(w.cls, 0)::INTEGER AS score_class FROM l LEFT JOIN w ON w.norm = l.norm AND w.rn = 1"""
+
+
+@query("d7_match_sources", match_sql(f"SELECT DISTINCT {STEM_SQL} AS stem FROM customer", f"SELECT DISTINCT {RIGHT_SQL} AS stem FROM customer"))
 def match_sources(spark, sf_dir):
     customer = table(spark, sf_dir, "customer")
     left = customer.selectExpr(f"{STEM_SQL} AS name").distinct()
@@ -169,6 +171,26 @@ def match_sources(spark, sf_dir):
     return align.match_sources(left, right, "name")
 
 
+# Names of thirty tokens, some of them parts of longer ones.
+LONG_TOKENS = 30
+
+
+def _long_sql(multiplier: int, more: int) -> str:
+    return f"""SELECT DISTINCT array_to_string(list_transform(range({LONG_TOKENS} + (c_custkey % {more})::INTEGER),
+      lambda i: concat('t', (c_custkey * {multiplier} * (i + 3) + c_nationkey) % 997)), '_') AS stem FROM customer WHERE c_custkey % 3 < 2"""
+
+
+def long_names(spark, sf_dir, multiplier: int, more: int):
+    made = f"""array_join(transform(sequence(0, {LONG_TOKENS} - 1 + CAST(c_custkey % {more} AS INT)),
+      i -> concat('t', (c_custkey * {multiplier} * (i + 3) + c_nationkey) % 997)), '_') AS name"""
+    return table(spark, sf_dir, "customer").filter("c_custkey % 3 < 2").selectExpr(made).distinct()
+
+
+@query("d7_match_long_names", match_sql(_long_sql(1, 1), _long_sql(1, 4)))
+def match_long_names(spark, sf_dir):
+    return align.match_sources(long_names(spark, sf_dir, 1, 1), long_names(spark, sf_dir, 1, 4), "name")
+
+
 @query(
     "e2_column_maxima",
     "SELECT MAX(GREATEST(l_quantity - 25, 0)) AS max_a, MAX(GREATEST(-l_tax, 0)) + 0.0 AS max_b, NULL::DOUBLE AS max_c FROM lineitem",

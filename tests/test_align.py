@@ -89,3 +89,42 @@ def test_match_sources_against_all_pairs(spark):
     for a in left:
         (cls, _, _), best = max((_score(a, b), b) for b in right)
         assert got[a] == ((best, cls) if cls else (None, 0)), a
+
+
+def plain_match(left, right):
+    """The best of all pairs by the published order; stems are given as normalised."""
+    out = {}
+    for a in left:
+        best = (0,)
+        for b in right:
+            ta, tb = set(a.split("_")), set(b.split("_"))
+            both = len(ta & tb)
+            if a == b:
+                score = (3, len(a), len(b))
+            elif a in b or b in a:
+                score = (2, both, -abs(len(a) - len(b)))
+            else:
+                score = (1 if both else 0, both, -abs(len(ta) - len(tb)))
+            if score[0]:
+                best = max(best, (*score, b))
+        out[a] = (best[-1] if best[0] else None, best[0])
+    return out
+
+
+@pytest.mark.parametrize("frequent", [0, 2, 1000])
+def test_matching_equals_all_pairs(spark, frequent):
+    """Names of up to 40 tokens, very short ones, and tokens that most names share, rare or frequent by the limit."""
+    r = random.Random(frequent)
+    pool = [f"{c}{i}" for c in "abq" for i in range(25)] + ["fr", "we", "x"]
+    made = lambda: "_".join(["fr"] * (r.random() < 0.5) + r.sample(pool, r.choice([1, 2, 3, 8, 40])))
+    right = list({made() for _ in range(120)} | {"x", "a", "fr", "q1_q2"})
+    left = list({made() for _ in range(80)} | {right[0], right[1][1:-1].strip("_"), right[2] + "_tail", "zz", "r", "fr", "nothing-else".replace("-", "")})
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    got = {n: (m, c) for n, m, c in align.match_sources(frame(left), frame(right), "name", frequent).collect()}
+    assert got == plain_match(left, right)
+
+
+def test_matching_an_empty_side(spark):
+    some, none = spark.createDataFrame([("a_b",), ("",)], "name string"), spark.createDataFrame([], "name string")
+    assert rows(align.match_sources(some, none, "name")) == [("", None, 0), ("a_b", None, 0)]
+    assert align.match_sources(none, some, "name").count() == 0
