@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from strandline.functions.names import condition_label
@@ -100,13 +105,55 @@ def sequence_metadata(df: DataFrame, keys: list[str], target: str, order: list[s
     )
 
 
-def _shuffled_roles(rows: DataFrame, seq: Sequence, seed: int, keys: tuple[str, ...]) -> DataFrame:
-    """Role by position in the hash order of (seed, trial, chunk)."""
-    hashed = rows.withColumn("__h", F.xxhash64(F.lit(seed), "trial", "chunk_index", *keys))
-    at = with_position(hashed, seq, "__at")
-    train, validation = F.col("__counts.train"), F.col("__counts.validation")
-    role = F.when(F.col("__at") < train, "train").when(F.col("__at") < train + validation, "validation").otherwise("test")
-    return at.withColumn("split_role", role).drop("__h", "__at")
+# Shuffles are orders that any engine can repeat: a chunk has a number u below the prime PRIME by the md5 of seed and key, and trial t
+# sorts by (u * m + a) modulo PRIME, then by u, then by chunk, with m and a taken from the md5 of seed and t.
+PRIME = (1 << 31) - 1
+HELD_CHUNKS = 4_000_000  # chunks of a sequence that one task holds, 24 bytes each; longer ones are ranked over many tasks
+TRIAL_BLOCK = 1 << 22  # numbers of a block of trials that are sorted together
+
+
+def trial_numbers(seed: int, trial: int) -> tuple[int, int]:
+    digest = hashlib.md5(f"{seed}:trial:{trial}".encode()).hexdigest()
+    return int(digest[:12], 16) % (PRIME - 1) + 1, int(digest[12:24], 16) % PRIME
+
+
+def seeded_number(seed: int, keys: Iterable[str], digits: int = 15) -> Column:
+    """The first hexadecimal digits of the md5 of seed and keys, joined by colons (null as such), as a long."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, digits), 16, 10).cast("long")
+
+
+def _scores(rows: np.ndarray, means: np.ndarray, orders: np.ndarray, cuts: tuple[int, int]) -> np.ndarray:
+    """Score of each order (a row of ``orders``): how far the roles' row shares and means are from the sequence's."""
+    n, weights = len(rows), rows * means
+    total, spread = rows.sum(), means.std()
+    spread = max(spread if spread > 0 else 1.0, 1e-9)
+    upto_r = np.cumsum(rows[orders], axis=1)
+    upto_m = np.cumsum(weights[orders], axis=1)
+    edges = [0, cuts[0], cuts[0] + cuts[1], n]
+    score = np.zeros(len(orders))
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b > a:
+            r = upto_r[:, b - 1] - (upto_r[:, a - 1] if a else 0)
+            m = upto_m[:, b - 1] - (upto_m[:, a - 1] if a else 0)
+            score += 2.0 * np.abs(r / total - (b - a) / n) + 1.5 * np.abs(m / r - weights.sum() / total) / spread
+    return score
+
+
+def _best_order(u: np.ndarray, chunk: np.ndarray, rows: np.ndarray, means: np.ndarray, cuts: tuple[int, int], numbers: np.ndarray) -> tuple[np.ndarray, float]:
+    """The order of the best trial, and its score; the first of those equal to 12 digits wins."""
+    first = np.lexsort((chunk, u))
+    u, rows, means = u[first], rows[first], means[first]
+    block, best = max(1, TRIAL_BLOCK // max(1, len(u))), (np.inf, 0, 0.0)
+    for t in range(0, len(numbers), block):
+        m, a = numbers[t : t + block, :1], numbers[t : t + block, 1:]
+        score = _scores(rows, means, np.argsort((u * m + a) % PRIME, axis=1, kind="stable"), cuts)
+        rounded = np.round(score, 12)
+        at = int(np.argmin(rounded))
+        if rounded[at] < best[0]:
+            best = (float(rounded[at]), t + at, float(score[at]))
+    m, a = numbers[best[1]]
+    return first[np.argsort((u * m + a) % PRIME, kind="stable")], best[2]
 
 
 def assign_roles(
@@ -116,46 +163,100 @@ def assign_roles(
 
     The score weighs each role's row fraction (2.0) and target mean (1.5 per population std of the
     chunk means) against the sequence's; settings are constant within a sequence and cannot change
-    the winner. Shuffles are hash orders, so any cluster repeats them. Long sequences are ranked in
-    hash buckets: the hash spreads their chunks evenly over 1024 tasks per trial.
+    the winner. A missing target mean counts as the mean of the sequence's others.
+
+    The chunks of a sequence meet once, as numbers, in one task, which scores all trials in place: nothing grows with the trials. A
+    sequence of more than HELD_CHUNKS chunks is ranked trial by trial over many tasks instead, with the same result.
     """
     group = list(keys)
-    stats = meta.groupBy(*group).agg(
-        F.count("*").alias("__n"), F.sum("n_rows").alias("__rows"), F.coalesce(F.avg("target_mean"), F.lit(0.0)).alias("__fill")
-    )
-    filled = meta.join(stats, group).withColumn("__mean", F.coalesce("target_mean", "__fill"))
-    scale = filled.groupBy(*group).agg(
-        (F.sum(F.col("__mean") * F.col("n_rows")) / F.sum("n_rows")).alias("__global"), F.stddev_pop("__mean").alias("__sd")
-    )
-    ready = filled.join(scale, group).withColumn("__counts", role_counts(F.col("__n"), train, validation))
-    hashed = Sequence((*keys, "trial"), ("__h", "chunk_index"), "if(__n > 100000, shiftright(__h, 54), 0)")
-
-    tried = ready.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(max(1, trials) - 1)))).select(
-        *keys, "chunk_index", "trial", "n_rows", "__mean", "__n", "__rows", "__global", "__sd", "__counts"
-    )
-    roles = _shuffled_roles(tried, hashed, seed, keys)
+    numbers = np.array([trial_numbers(seed, t) for t in range(max(1, trials))], np.int64)
+    sizes = meta.groupBy(*group).agg(F.count("*").alias("__n")).withColumn("__counts", role_counts(F.col("__n"), train, validation))
+    slim = meta.select(*group, F.col("chunk_index").cast("long").alias("chunk_index"), F.col("n_rows").cast("double").alias("__rows"), F.col("target_mean").cast("double").alias("__mean"),
+                       (seeded_number(seed, [*keys, "chunk_index"], 12) % PRIME).alias("__u"))
+    ready = _same(slim, sizes, group)
+    roles = _held_roles(ready.filter(F.col("__n") <= HELD_CHUNKS), group, numbers)
+    roles = roles.unionByName(_spread_roles(ready.filter(F.col("__n") > HELD_CHUNKS), group, numbers))
+    return _same(meta, roles, [*group, "chunk_index"])
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which a NULL key meets a NULL key."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(named[f"__right_{k}"])
+    return left.join(named, on).drop(*[f"__right_{k}" for k in keys])
+
+
+def _held_roles(ready: DataFrame, group: list[str], numbers: np.ndarray) -> DataFrame:
+    """(keys, chunk_index, split_role, score), one sequence after another."""
+    kinds = [ready.schema[k] for k in group]
+    schema = T.StructType([*kinds, T.StructField("chunk_index", T.LongType()), T.StructField("split_role", T.StringType()), T.StructField("score", T.DoubleType())])
+    names = np.array(ROLES)
+
+    def solved(key: pa.RecordBatch, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        get = lambda c: np.concatenate([p.column(p.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for p in parts])
+        chunk, rows, means, u = get("chunk_index"), get("__rows"), get("__mean").astype(float), get("__u")
+        known = means[~np.isnan(means)]
+        means = np.where(np.isnan(means), known.mean() if len(known) else 0.0, means)
+        cuts = tuple(int(parts[0].column(parts[0].schema.get_field_index(c))[0].as_py()) for c in ("__t", "__v"))
+        order, score = _best_order(u, chunk, rows, means, cuts, numbers)
+        role = np.full(len(order), 2)
+        role[order[: cuts[0] + cuts[1]]] = 1
+        role[order[: cuts[0]]] = 0
+        same = [pa.concat_arrays([p.column(i) for p in parts]) for i in range(len(group))]
+        return pa.RecordBatch.from_arrays([*same, pa.array(chunk), pa.array(names[role]), pa.array(np.full(len(chunk), score))], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        for batch in batches:
+            begins = np.flatnonzero(batch.column(batch.schema.get_field_index("__first")).to_numpy(zero_copy_only=False))
+            edges = [0, *[b for b in begins.tolist() if b], batch.num_rows]
+            for i, (s, e) in enumerate(zip(edges[:-1], edges[1:])):
+                if s == e:
+                    continue
+                if parts and s in begins:
+                    yield solved(parts[0], parts)
+                    parts = []
+                parts.append(batch.slice(s, e - s))
+        if parts:
+            yield solved(parts[0], parts)
+
+    first = F.row_number().over(Window.partitionBy(*group).orderBy("chunk_index")) == 1
+    arranged = ready.select(*group, "chunk_index", "__rows", "__mean", "__u", F.col("__counts.train").alias("__t"), F.col("__counts.validation").alias("__v"), first.alias("__first"))
+    return arranged.mapInArrow(run, schema)
+
+
+def _spread_roles(ready: DataFrame, group: list[str], numbers: np.ndarray) -> DataFrame:
+    """The same for sequences too long for one task: every trial is a sequence of its own, ranked in buckets of the order."""
+    fills = ready.groupBy(*group).agg(F.coalesce(F.avg("__mean"), F.lit(0.0)).alias("__fill"), F.sum("__rows").alias("__total"))
+    filled = _same(ready, fills, group).withColumn("__mean", F.coalesce("__mean", "__fill"))
+    scale = filled.groupBy(*group).agg((F.sum(F.col("__mean") * F.col("__rows")) / F.sum("__rows")).alias("__global"), F.stddev_pop("__mean").alias("__sd"))
+    filled = _same(filled, scale, group)
+    table = ready.sparkSession.createDataFrame([(t, int(m), int(a)) for t, (m, a) in enumerate(numbers)], "__t int, __m long, __a long")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        placed = rows.join(F.broadcast(table), "__t").withColumn("__o", (F.col("__u") * F.col("__m") + F.col("__a")) % PRIME)  # as many rows as trials
+        at = with_position(placed, Sequence((*group, "__t"), ("__o", "__u", "chunk_index"), "shiftright(__o, 21)"), "__at")
+        t, v = F.col("__counts.train"), F.col("__counts.validation")
+        return at.withColumn("split_role", F.when(F.col("__at") < t, ROLES[0]).when(F.col("__at") < t + v, ROLES[1]).otherwise(ROLES[2]))
+
+    tried = ranked(filled.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(len(numbers) - 1)))))
     score, sums = F.lit(0.0), []
     spread = F.greatest(F.when(F.col("__sd") > 0, F.col("__sd")).otherwise(F.lit(1.0)), F.lit(1e-9))
     for r in ROLES:
         here = F.col("split_role") == r
         sums += [
-            F.count_if(here).alias(f"__k_{r}"),
-            F.sum(F.when(here, F.col("n_rows")).otherwise(0)).alias(f"__r_{r}"),
-            F.sum(F.when(here, F.col("n_rows") * F.col("__mean")).otherwise(0.0)).alias(f"__m_{r}"),
+            F.count_if(here).alias(f"__k_{r}"), F.sum(F.when(here, F.col("__rows")).otherwise(0.0)).alias(f"__r_{r}"),
+            F.sum(F.when(here, F.col("__rows") * F.col("__mean")).otherwise(0.0)).alias(f"__m_{r}"),
         ]
-        share = F.abs(F.col(f"__r_{r}") / F.col("__rows") - F.col(f"__k_{r}") / F.col("__n"))
+        share = F.abs(F.col(f"__r_{r}") / F.col("__total") - F.col(f"__k_{r}") / F.col("__n"))
         shift = F.abs(F.col(f"__m_{r}") / F.col(f"__r_{r}") - F.col("__global"))
         score = score + F.when(F.col(f"__k_{r}") > 0, 2.0 * share + 1.5 * shift / spread).otherwise(F.lit(0.0))
-    scored = roles.groupBy(*group, "trial", "__rows", "__n", "__global", "__sd").agg(*sums).withColumn("score", score)
-    best = (
-        scored.groupBy(*group)
-        .agg(F.min_by(F.struct("trial", "score"), F.struct(F.round("score", 12), "trial")).alias("b"))
-        .select(*group, F.col("b.trial").alias("trial"), F.col("b.score").alias("score"))
-    )
-    # The winning shuffle is recomputed from its trial number; the tried rows are never joined back.
-    return _shuffled_roles(ready.join(best, group), hashed, seed, keys).drop(
-        "__mean", "__n", "__rows", "__fill", "__global", "__sd", "__counts", "trial"
-    )
+    scored = tried.groupBy(*group, "__t", "__total", "__n", "__global", "__sd").agg(*sums).withColumn("score", score)
+    best = scored.groupBy(*group).agg(F.min_by(F.struct("__t", "score"), F.struct(F.round("score", 12), F.col("__t"))).alias("__b"))
+    won = _same(filled, best.select(*group, F.col("__b.__t").alias("__t"), F.col("__b.score").alias("score")), group)
+    return ranked(won).select(*group, "chunk_index", "split_role", "score")
 
 
 def split_manifest(
@@ -217,36 +318,30 @@ def distinct_conditions(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def shuffle_order(df: DataFrame, key: list[str], seed: int, out: str = "shuffle_rank") -> DataFrame:
-    """Seeded order of rows: a range-partitioned global sort by hash."""
-    return df.withColumn(out, F.xxhash64(F.lit(seed), *key)).orderBy(out, *key)
+    """Seeded order of rows: a range-partitioned global sort by the md5 of seed and key."""
+    return df.withColumn(out, seeded_number(seed, key)).orderBy(out, *key)
+
+
+SAMPLE_BITS = 16  # leading bits of a seeded number that name its bucket: 65 536 counts at most
 
 
-def sample_n(df: DataFrame, key: list[str], n: int, seed: int, edge_rows: int = 1_000_000) -> DataFrame:
-    """Exactly ``n`` rows (all, if fewer), the same on every cluster: the n smallest seeded key hashes.
+def sample_n(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
+    """Exactly ``n`` rows (all, if fewer), the same on every cluster: those of the n smallest seeded numbers of their key.
 
-    Counts per hash prefix (at most 1 024 numbers a round) locate the prefix that holds the n-th row.
-    Rows below it pass a plain filter; only inside it are rows ranked, at most ``edge_rows`` of them.
+    ``key`` tells rows apart. Rows are counted per bucket of the number; buckets that lie wholly below the cut pass as they are, and
+    only in the one that holds the cut, a 65 536th of all rows, are rows ranked. All of it is one plan without a look at the data.
     """
-    hashed = df.withColumn("__h", F.xxhash64(F.lit(seed), *key))
-    prefix = lambda bits: F.shiftright("__h", bits)
-    bits, taken, inside, chosen = 64, 0, hashed, None
-    while bits > 4:
-        bits -= 10
-        counts = sorted(inside.groupBy(prefix(bits).alias("p")).count().collect())
-        at = None
-        for p, size in counts:
-            if taken + size > n:
-                at = p
-                break
-            taken += size
-        if at is None:
-            return df
-        below = inside.filter(prefix(bits) < at)
-        chosen = below if chosen is None else chosen.unionByName(below)
-        inside = inside.filter(prefix(bits) == at)
-        if size <= edge_rows:
-            break
-    return chosen.unionByName(inside.orderBy("__h", *key).limit(n - taken)).drop("__h")
+    bucket = F.shiftright("__h", 60 - SAMPLE_BITS)
+    hashed = df.withColumn("__h", seeded_number(seed, key)).withColumn("__bucket", bucket)
+    counts = hashed.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # of the counts only
+    placed = counts.withColumn("__upto", before).filter(F.col("__upto") - F.col("__n") < n)
+    inside = hashed.join(F.broadcast(placed), "__bucket")
+    whole = inside.filter(F.col("__upto") <= n)
+    cut = inside.filter(F.col("__upto") > n)
+    rank = F.row_number().over(Window.partitionBy("__bucket").orderBy("__h", *key))
+    last = cut.withColumn("__rank", rank).filter(F.col("__rank") <= n - (F.col("__upto") - F.col("__n"))).drop("__rank")
+    return whole.unionByName(last).select(*df.columns)
 
 
 def balanced_weights(df: DataFrame, group: list[str], out: str = "weight") -> DataFrame:

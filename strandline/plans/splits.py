@@ -58,7 +58,35 @@ def role_counts(spark, sf_dir):
     return rows.select("c_custkey", split.role_counts("n").alias("r")).select("c_custkey", "r.*")
 
 
-@query("i4_assign_roles")
+PRIME = split.PRIME
+ROLES_SQL = f"""
+meta AS (SELECT l_suppkey, chunk_index, COUNT(*)::DOUBLE AS n_rows, AVG(l_quantity) AS mean,
+  ('0x' || substr(md5(concat_ws(':', '42', l_suppkey, chunk_index)), 1, 12))::BIGINT % {PRIME} AS u FROM c GROUP BY l_suppkey, chunk_index),
+whole AS (SELECT l_suppkey, COUNT(*) AS n, SUM(n_rows) AS total, SUM(mean * n_rows) / SUM(n_rows) AS overall,
+  GREATEST(CASE WHEN stddev_pop(mean) > 0 THEN stddev_pop(mean) ELSE 1 END, 1e-9) AS spread FROM meta GROUP BY l_suppkey),
+cuts AS (SELECT *, CASE WHEN n >= 3 THEN GREATEST(1, round_even(n * 0.6, 0)) ELSE 1 END AS tr,
+  CASE WHEN n >= 3 THEN GREATEST(1, round_even(n * 0.2, 0)) WHEN n = 2 THEN 1 ELSE 0 END AS va FROM whole),
+trials AS (SELECT t, ('0x' || substr(md5('42:trial:' || t), 1, 12))::BIGINT % {PRIME - 1} + 1 AS m, ('0x' || substr(md5('42:trial:' || t), 13, 12))::BIGINT % {PRIME} AS a
+  FROM range(__TRIALS__) x(t)),
+ordered AS (SELECT meta.*, cuts.* EXCLUDE (l_suppkey), t, ROW_NUMBER() OVER (PARTITION BY meta.l_suppkey, t ORDER BY (u * m + a) % {PRIME}, u, chunk_index) AS place
+  FROM meta JOIN cuts USING (l_suppkey), trials),
+roles AS (SELECT *, CASE WHEN place <= tr THEN 'train' WHEN place <= tr + va THEN 'validation' ELSE 'test' END AS role FROM ordered),
+sums AS (SELECT l_suppkey, t, role, any_value(n) AS n, any_value(total) AS total, any_value(overall) AS overall, any_value(spread) AS spread, COUNT(*) AS k,
+  SUM(n_rows) AS r, SUM(n_rows * mean) AS w FROM roles GROUP BY l_suppkey, t, role),
+scores AS (SELECT l_suppkey, t, SUM(2.0 * abs(r / total - k::DOUBLE / n) + 1.5 * abs(w / r - overall) / spread) AS score FROM sums GROUP BY l_suppkey, t),
+won AS (SELECT l_suppkey, t, score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY round(score, 12), t) AS k FROM scores) WHERE k = 1)
+"""
+
+
+def roles_sql(trials: int) -> str:
+    """CHUNK_SQL and the table ``roles`` of all trials with the winners in ``won``."""
+    return CHUNK_SQL + "," + ROLES_SQL.replace("__TRIALS__", str(trials))
+
+
+@query(
+    "i4_assign_roles",
+    roles_sql(2000) + f"SELECT l_suppkey, chunk_index::BIGINT AS chunk_index, role AS split_role, {near_sql('score')} AS score FROM roles JOIN won USING (l_suppkey, t)",
+)
 def assign_roles(spark, sf_dir):
     return with_roles(spark, sf_dir, trials=2000).select("l_suppkey", "chunk_index", "split_role", near("score").alias("score"))
 
@@ -90,13 +118,17 @@ def split_manifest(spark, sf_dir):
     )
 
 
-@query("i6_apply_manifest", CHUNK_SQL + f"SELECT {LINE_KEY}, chunk_index::BIGINT AS chunk_index, sample_index FROM c")
+@query(
+    "i6_apply_manifest",
+    roles_sql(200) + f"""SELECT {LINE_KEY}, c.chunk_index::BIGINT AS chunk_index, sample_index, role AS split_role
+    FROM c JOIN (SELECT l_suppkey, chunk_index, role FROM roles JOIN won USING (l_suppkey, t)) w USING (l_suppkey, chunk_index)""",
+)
 def apply_manifest(spark, sf_dir):
     from strandline.operators.features import sample_index
 
     rows = sample_index(lines(spark, sf_dir), line_seq(spark, sf_dir))
     out = split.apply_manifest(rows, with_roles(spark, sf_dir), ("l_suppkey",), LENGTH, GAP, "sample_index")
-    return out.filter(F.col("split_role").isin(*split.ROLES)).select(*KEY, "chunk_index", "sample_index")
+    return out.select(*KEY, "chunk_index", "sample_index", "split_role")
 
 
 @query("c10_trim_start", CHUNK_SQL + f"SELECT {LINE_KEY} FROM c WHERE sample_index - source_row_start >= 10")
@@ -155,12 +187,15 @@ def distinct_conditions(spark, sf_dir):
     return split.distinct_conditions(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"])
 
 
-@query("g5_sample_n")
+SEEDED_SQL = f"('0x' || substr(md5(concat_ws(':', '42', {LINE_KEY})), 1, 15))::BIGINT"
+
+
+@query("g5_sample_n", f"SELECT {LINE_KEY}, l_quantity FROM lineitem ORDER BY {SEEDED_SQL}, {LINE_KEY} LIMIT 1000")
 def sample_n(spark, sf_dir):
-    return split.sample_n(lines(spark, sf_dir), KEY, 1000, 42)
+    return split.sample_n(lines(spark, sf_dir), KEY, 1000, 42).select(*KEY, "l_quantity")
 
 
-@query("g6_shuffle_order")
+@query("g6_shuffle_order", f"SELECT {LINE_KEY}, {SEEDED_SQL} AS shuffle_rank FROM lineitem ORDER BY shuffle_rank, {LINE_KEY}")
 def shuffle_order(spark, sf_dir):
     return split.shuffle_order(lines(spark, sf_dir).select(*KEY), KEY, 42)
 

@@ -77,7 +77,36 @@ def test_exact_median_from_counts(spark):
 def test_sample_is_exact_and_repeatable(df):
     a = rows(split.sample_n(df, ["k", "i"], 37, 1))
     assert len(a) == 37
-    narrow = split.sample_n(df, ["k", "i"], 37, 1, edge_rows=1)
-    assert rows(narrow) == a == rows(df.orderBy(F.xxhash64(F.lit(1), "k", "i")).limit(37))
+    assert a == rows(df.orderBy(split.seeded_number(1, ["k", "i"])).limit(37))
+    for n in (0, 1, 1399, 1400):
+        assert split.sample_n(df, ["k", "i"], n, 1).count() == n
     assert split.sample_n(df, ["k", "i"], 10_000, 1).count() == df.count()
     assert a == rows(split.sample_n(df.repartition(3), ["k", "i"], 37, 1))
+
+
+def test_sample_with_few_buckets(df, monkeypatch):
+    """With one bucket, or many rows in the one that holds the cut, the ranks decide."""
+    monkeypatch.setattr(split, "SAMPLE_BITS", 0)
+    assert rows(split.sample_n(df, ["k", "i"], 37, 1)) == rows(df.orderBy(split.seeded_number(1, ["k", "i"])).limit(37))
+    monkeypatch.setattr(split, "SAMPLE_BITS", 2)
+    assert rows(split.sample_n(df, ["k", "i"], 900, 1)) == rows(df.orderBy(split.seeded_number(1, ["k", "i"])).limit(900))
+
+
+def test_long_sequences_get_the_same_roles(spark, df, monkeypatch):
+    """Ranked over many tasks, trial by trial, or in one task: equal roles, also for a NULL key and missing means."""
+    meta = split.chunk_metadata(split.chunk(df, SEQ, 20, 1, 5), ("k",), "y")
+    meta = meta.withColumn("k", F.when(F.col("k") != "b", F.col("k"))).withColumn("target_mean", F.when(F.col("chunk_index") % 7 != 3, F.col("target_mean")))
+    held = rows(split.assign_roles(meta, ("k",), trials=40).select("k", "chunk_index", "split_role", F.round("score", 9)), "k", "chunk_index")
+    monkeypatch.setattr(split, "HELD_CHUNKS", 10)
+    assert rows(split.assign_roles(meta, ("k",), trials=40).select("k", "chunk_index", "split_role", F.round("score", 9)), "k", "chunk_index") == held
+    assert len(held) == meta.count() and None in {r[0] for r in held}
+
+
+def test_trials_are_not_rows(df):
+    """The plan of the held path explodes nothing: its rows are the chunks, whatever the number of trials."""
+    meta = split.chunk_metadata(split.chunk(df, SEQ, 100, 5, 40), ("k",), "y")
+    slim = meta.select("k", "chunk_index", F.col("n_rows").cast("double").alias("__rows"), F.col("target_mean").alias("__mean"), F.lit(1).cast("long").alias("__u"),
+                       split.role_counts(F.lit(3)).alias("__counts"))
+    numbers = split.np.array([split.trial_numbers(42, t) for t in range(2000)])
+    plan = split._held_roles(slim, ["k"], numbers)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan and plan.count("MapInArrow") == 1
