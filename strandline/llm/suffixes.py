@@ -3,8 +3,7 @@
 1. Anchors. In every window of 100 bytes the 24-byte string of least hash is its anchor (the first of equals), so equal windows
    have the same anchor at the same place. The windows of one anchor occurrence are a run of starts; the bytes they cover are its
    piece. A document of n bytes has about n / 35 pieces.
-2. Pieces of one anchor and equal content are settled by their first occurrence: hashes of two bases find them, their bytes
-   confirm it. A task settles its own before the shuffle, so copied pages and passages reach it once per task, not once per
+2. Pieces of one anchor and equal content are settled by their first occurrence: 64-bit hashes find them, their bytes confirm it. A task settles its own before the shuffle, so copied pages and passages reach it once per task, not once per
    document. Pieces that hashes alone call equal go to the sort.
 3. What is left are first occurrences whose anchor also occurs with other content: the edges of repeated passages. Their bytes
    are fetched, and a suffix sort of their windows finds equal ones. Suffixes are compared by the polynomial hashes of their
@@ -35,7 +34,7 @@ BYTE = tuple(_RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 KNOWN = 1 << 18  # powers that a worker keeps; more are made when a text needs them, and go with it
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 SPAN_TYPE = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-SETTLED = 150_000  # pieces that a task settles together, and with them their texts
+SETTLED = 200_000  # pieces that a task settles together, and with them their texts
 SORTED = 1 << 19  # bytes of pieces that a task sorts together; more only where one group has more
 STEP = 1 << 20  # bytes of one document handled at a time, overlapping by a window
 
@@ -73,8 +72,8 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def pieces_of(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Per anchor occurrence: first window start, number of further starts, hash of the anchor, two hashes of the piece."""
-    starts, more, anchors, contents, others = [], [], [], [], []
+    """Per anchor occurrence: first window start, number of further starts, hash of the anchor, hash of the piece."""
+    starts, more, anchors, contents = [], [], [], []
     windows = len(data) - LENGTH + 1
     for s in range(0, max(0, windows), STEP):
         part = data[s : min(len(data), s + STEP + LENGTH - 1)]
@@ -96,10 +95,9 @@ def pieces_of(data: np.ndarray) -> tuple[np.ndarray, ...]:
         placed = place.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
         starts.append(run + s), more.append(count - 1), anchors.append(grams[at[run]])
         contents.append(_mixed(second.of(run, count + LENGTH - 1) + placed))
-        others.append(_mixed(first.of(run, count + LENGTH - 1) + placed))
     if not starts:
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 3
-    return tuple(np.concatenate(x) for x in (starts, more, anchors, contents, others))
+        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
+    return tuple(np.concatenate(x) for x in (starts, more, anchors, contents))
 
 
 def _packed(start: np.ndarray, more: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -119,10 +117,10 @@ def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarr
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(k, c, e, d, at): pieces that are first in their batch, and with null ``c`` those that are not.
+    """(k, c, d, at): pieces that are first in their batch, and with null ``c`` those that are not.
 
-    The latter are spread by a hash of their place; their bytes have been compared with those of an earlier piece. ``c`` and ``e``
-    are hashes of the piece in 64 bits each, of two bases.
+    The latter are spread by a hash of their place; their bytes have been compared with those of an earlier piece. ``c`` is a hash of
+    the piece, of another base than its anchor's ``k``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +129,12 @@ def _anchors(docs: DataFrame) -> DataFrame:
         size = total = 0
 
         def settle() -> pa.RecordBatch:
-            k, c, e, d, at, begin = (np.concatenate(x) for x in zip(*found))
+            k, c, d, at, begin = (np.concatenate(x) for x in zip(*found))
             data = np.concatenate(texts)
             found.clear(), texts.clear()
-            order = np.lexsort((at, d, e, c, k))
-            k, c, e, d, at, begin = k[order], c[order], e[order], d[order], at[order], begin[order]
-            alike = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1]) & (e[1:] == e[:-1])])
+            order = np.lexsort((at, d, c, k))
+            k, c, d, at, begin = k[order], c[order], d[order], at[order], begin[order]
+            alike = np.concatenate([[False], (k[1:] == k[:-1]) & (c[1:] == c[:-1])])
             pairs = np.flatnonzero(alike)
             length = (at >> 26 & 127) + LENGTH
             same = length[pairs] == length[pairs - 1]
@@ -148,7 +146,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 again[i] = again[i - 1]
             k = np.where(again, _mixed(d.astype(np.uint64) * BASES[0] ^ at.astype(np.uint64)), k)
             return pa.RecordBatch.from_arrays(
-                [pa.array(k.view(np.int64)), pa.array(c.view(np.int64), mask=again), pa.array(e.view(np.int64), mask=again), pa.array(d), pa.array(at)], names=["k", "c", "e", "d", "at"]
+                [pa.array(k.view(np.int64)), pa.array(c.view(np.int64), mask=again), pa.array(d), pa.array(at)], names=["k", "c", "d", "at"]
             )
 
         for batch in batches:
@@ -156,8 +154,8 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 data = np.frombuffer(text.encode(), np.uint8) if text else np.empty(0, np.uint8)
                 if len(data) < LENGTH:
                     continue
-                start, more, k, c, e = pieces_of(data)
-                found.append((k, c, e, np.full(len(k), d), _packed(start, more, np.int64(row)), start + total))
+                start, more, k, c = pieces_of(data)
+                found.append((k, c, np.full(len(k), d), _packed(start, more, np.int64(row)), start + total))
                 texts.append(data)
                 size, total = size + len(k), total + len(data)
                 if size > SETTLED:
@@ -166,7 +164,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
         if found:
             yield settle()
 
-    return docs.select("d", "row", "text").mapInArrow(run, "k long, c long, e long, d long, at long")
+    return docs.select("d", "row", "text").mapInArrow(run, "k long, c long, d long, at long")
 
 
 # --- the suffix sort
@@ -270,6 +268,14 @@ def _runs(d: np.ndarray, start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray
     return (np.concatenate([x[1][x[2]] for x in at]), np.concatenate([x[0][x[2]] for x in at])) if at else (d, start)
 
 
+def _eight(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, as a number."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(8):
+        out = (out << np.uint64(8)) | data[at + i]
+    return out
+
+
 def _sorted_edges(pieces: DataFrame) -> DataFrame:
     """(d, at, window, start, row): with null ``window`` runs to remove; else windows of hot anchors, the first of their chunk."""
 
@@ -284,13 +290,17 @@ def _sorted_edges(pieces: DataFrame) -> DataFrame:
         start, row = (at >> 33)[piece] + inside, (at & ((1 << 26) - 1))[piece]
         # equal windows hold their anchor at the same place, so the bucket is the anchor and that place
         bucket = group[piece] * 128 + ((np.array(offsets_of(body, length))[piece] - inside) & 127)
+        # so are their first and last bytes: what is left in a bucket is mostly equal
+        head, tail = (_eight(data, begin[piece] + inside + s) for s in (0, LENGTH - 8))
+        order = np.lexsort((tail, head, bucket))
+        changed = (np.diff(bucket[order]) != 0) | (head[order][1:] != head[order][:-1]) | (tail[order][1:] != tail[order][:-1])
+        bucket[order] = np.concatenate([[0], np.cumsum(changed)])
+        del head, tail
         order = np.lexsort((start, d[piece]))
         place = np.concatenate([[0], np.cumsum((np.diff(d[piece][order]) != 0) | (np.diff(start[order]) != 0))])
         rank = np.empty(len(order), np.int64)
         rank[order] = place  # windows of the same key and start are equal in rank: neither is earlier
-        _, which, size = np.unique(bucket, return_inverse=True, return_counts=True)
-        alone = size[which] == 1
-        del which
+        alone = np.bincount(bucket)[bucket] == 1
         gone = np.zeros(len(bucket), bool)
         some = np.flatnonzero(~alone)
         if len(some):
@@ -336,13 +346,13 @@ def offsets_of(body: list[bytes], length: np.ndarray) -> list[int]:
 
 
 def _confirmed(squeezed: DataFrame, claims: DataFrame) -> DataFrame:
-    """``claims`` (k, c, e, d, at, late, single) with ``same``: whether the bytes of the piece are those of its group's first."""
-    wanted = claims.groupBy("d").agg(F.collect_list(F.struct("at", "k", "c", "e", "late", "single")).alias("wanted"))  # of one document
-    names = ["k", "c", "e", "d", "at", "late", "single", "body"]
+    """``claims`` (k, c, d, at, late, single) with ``same``: whether the bytes of the piece are those of its group's first."""
+    wanted = claims.groupBy("d").agg(F.collect_list(F.struct("at", "k", "c", "late", "single")).alias("wanted"))  # of one document
+    names = ["k", "c", "d", "at", "late", "single", "body"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        types = (*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.binary())
+        types = (*[pa.int64()] * 4, pa.bool_(), pa.bool_(), pa.binary())
         for batch in batches:
             out: list[tuple] = []
             for d, row, z, pieces in zip(*[batch.column(i).to_pylist() for i in range(4)]):
@@ -351,7 +361,7 @@ def _confirmed(squeezed: DataFrame, claims: DataFrame) -> DataFrame:
                     at = p["at"]
                     if at & ((1 << 26) - 1) == row:
                         s = at >> 33
-                        out.append((p["k"], p["c"], p["e"], d, at, p["late"], p["single"], raw[s : s + (at >> 26 & 127) + LENGTH]))
+                        out.append((p["k"], p["c"], d, at, p["late"], p["single"], raw[s : s + (at >> 26 & 127) + LENGTH]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
@@ -359,33 +369,33 @@ def _confirmed(squeezed: DataFrame, claims: DataFrame) -> DataFrame:
         group, first = None, b""
         for batch in batches:
             same = []
-            for k, c, e, body in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 7)]):
-                if (k, c, e) != group:
-                    group, first = (k, c, e), body
+            for k, c, body in zip(*[batch.column(i).to_pylist() for i in (0, 1, 6)]):
+                if (k, c) != group:
+                    group, first = (k, c), body
                 same.append(body == first)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(same, pa.bool_())], names=[*names[:7], "same"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(same, pa.bool_())], names=[*names[:6], "same"])
 
-    plain = "k long, c long, e long, d long, at long, late boolean, single boolean"
+    plain = "k long, c long, d long, at long, late boolean, single boolean"
     bodies = squeezed.select("d", "row", "z").join(wanted, "d").select("d", "row", "z", "wanted").mapInArrow(cut, f"{plain}, body binary")
-    return bodies.repartition("k", "c", "e").sortWithinPartitions("k", "c", "e", "d", "at").mapInArrow(compare, f"{plain}, same boolean")
+    return bodies.repartition("k", "c").sortWithinPartitions("k", "c", "d", "at").mapInArrow(compare, f"{plain}, same boolean")
 
 
 def covered(docs: DataFrame) -> DataFrame:
     """(d, row, gone): per document with anything to remove the packed runs of window starts. ``docs`` has d, row and text."""
-    settled = _anchors(docs).repartition("k").sortWithinPartitions("k", "c", "e", "d", "at")
-    anchor, content = Window.partitionBy("k"), Window.partitionBy("k", "c", "e")
-    here, hashes = F.struct("d", F.shiftright("at", 33)), F.struct("c", "e")
+    settled = _anchors(docs).repartition("k").sortWithinPartitions("k", "c", "d", "at")
+    anchor, content = Window.partitionBy("k"), Window.partitionBy("k", "c")
+    here = F.struct("d", F.shiftright("at", 33))
     seen = (
-        settled.withColumn("low", F.min(hashes).over(anchor)).withColumn("high", F.max(hashes).over(anchor))
+        settled.withColumn("low", F.min("c").over(anchor)).withColumn("high", F.max("c").over(anchor))
         .withColumn("first", F.first(here).over(content.orderBy("d", "at").rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("claim", F.col("c").isNotNull() & (F.max(here).over(content) != F.min(here).over(content)))
         .withColumn("single", F.col("low") == F.col("high"))
         .filter(F.col("c").isNull() | F.col("claim") | ~F.col("single"))
-        .select("d", "at", "k", "c", "e", "claim", "single", (F.col("first") != here).alias("late"))
+        .select("d", "at", "k", "c", "claim", "single", (F.col("first") != here).alias("late"))
     )
     seen = written(seen, "suffix-pieces")
     squeezed = written(_squeezed(docs), "suffix-texts")
-    checked = written(_confirmed(squeezed, seen.filter("claim").select("k", "c", "e", "d", "at", "late", "single").distinct()), "suffix-checked")
+    checked = written(_confirmed(squeezed, seen.filter("claim").select("k", "c", "d", "at", "late", "single").distinct()), "suffix-checked")
     false = checked.filter("late and not same").select("k").distinct()  # hashes equal, bytes not: the whole anchor is sorted
     alone = seen.filter("c is not null and not claim").select("d", "at", "k")
     kept = checked.filter("not late or not same").select("d", "at", "k", "single")
