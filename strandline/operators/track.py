@@ -95,17 +95,28 @@ def coast(state: TrackerState, frames: int, rules: TrackRules) -> None:
 
 
 def _near(tracks: list[Track], xs: list[float], ys: list[float], radius: float) -> list[tuple[float, int, int]]:
-    """(distance, track, detection) within the radius, nearest first."""
-    if len(tracks) * len(xs) <= 256:
-        near = [
-            (d, i, j) for i, t in enumerate(tracks) for j, (x, y) in enumerate(zip(xs, ys))
-            if (d := math.hypot(x - t.x, y - t.y)) <= radius
-        ]
-    else:
-        tx, ty = np.array([t.x for t in tracks]), np.array([t.y for t in tracks])
-        distance = np.hypot(np.asarray(xs)[None, :] - tx[:, None], np.asarray(ys)[None, :] - ty[:, None])
-        i, j = np.nonzero(distance <= radius)
-        near = list(zip(distance[i, j].tolist(), i.tolist(), j.tolist()))
+    """(distance, track, detection) within the radius, nearest first.
+
+    Tracks lie in square cells of the radius, so a detection looks at nine cells: the work grows with the pairs that are near.
+    """
+    if not tracks or not xs:
+        return []
+    cell = max(radius, 1e-9)
+    homes: dict[tuple[int, int], list[int]] = {}
+    for i, t in enumerate(tracks):
+        if math.isfinite(t.x) and math.isfinite(t.y):  # an object without coordinates is near nothing
+            homes.setdefault((math.floor(t.x / cell), math.floor(t.y / cell)), []).append(i)
+    near = []
+    for j, (x, y) in enumerate(zip(xs, ys)):
+        if not (math.isfinite(x) and math.isfinite(y)):
+            continue
+        cx, cy = math.floor(x / cell), math.floor(y / cell)
+        for a in (cx - 1, cx, cx + 1):
+            for b in (cy - 1, cy, cy + 1):
+                for i in homes.get((a, b), ()):
+                    d = math.hypot(x - tracks[i].x, y - tracks[i].y)
+                    if d <= radius:
+                        near.append((d, i, j))
     near.sort()
     return near
 
@@ -152,13 +163,13 @@ def step_frame(state: TrackerState, frame: int, xs: list[float], ys: list[float]
     return advance(state, xs, ys, rules)
 
 
-def episodes(df: DataFrame, seq: Sequence, frame: str, max_missed: int, out: str = "episode") -> DataFrame:
+def episodes(df: DataFrame, seq: Sequence, frame: str, max_missed: int, out: str = "episode", ends=None) -> DataFrame:
     """Number the independent stretches of each key.
 
     After more than ``max_missed`` frames without detections every track has ended, so what follows
-    depends on nothing before: an exact cut that lets one busy source run as many tasks.
+    depends on nothing before: an exact cut that lets one busy source run as many tasks. ``ends`` adds window columns of the same stage.
     """
-    gap = framed(df, seq, lambda w: {"__step": F.col(frame) - F.lag(frame).over(w.order)}, before=1)
+    gap = framed(df, seq, lambda w: {"__step": F.col(frame) - F.lag(frame).over(w.order), **(ends(w) if ends else {})}, before=1, after=1 if ends else 0)
     cut = F.when(F.col("__step") > max_missed + 1, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     return running_sum(gap, seq, {out: cut}).drop("__step")
 
@@ -187,34 +198,30 @@ def track_objects(
     tick = tick or frame
     seq = Sequence(keys, (frame, detection), bucket)
     columns = list(dict.fromkeys([*keys, frame, tick, detection, x, y, *passthrough]))
-    rows = episodes(df.select(*columns), seq, tick, rules.max_missed)
+    # A frame may straddle two Arrow batches, so its last row is marked and the frame is processed once that has been seen.
+    last = lambda w: {"__last": ~F.col(frame).eqNullSafe(F.lead(frame).over(w.order))}
+    rows = episodes(df.select(*columns), seq, tick, rules.max_missed, ends=last)
     rows = rows.withColumns({x: F.col(x).cast("int"), y: F.col(y).cast("int")})
-    whole = [*keys, "episode", frame]
 
     def start() -> dict:
         return {"tracker": TrackerState(), "held": None}
 
-    # A frame may straddle two Arrow batches, so a frame is processed once its last row has been seen.
-    sized = rows.join(rows.groupBy(*whole).agg(F.count("*").alias("__size")), whole)
-
     def step(state, part: pd.DataFrame) -> pd.DataFrame:
         part = part if state["held"] is None else pd.concat([state["held"], part], ignore_index=True)
         state["held"], hits, ids = None, [], []
-        frames, size = part[tick].tolist(), part["__size"].tolist()
+        frames, stops = part[tick].tolist(), (np.flatnonzero(part["__last"].to_numpy(dtype=bool)) + 1).tolist()
         xs, ys, at = part[x].astype(float).tolist(), part[y].astype(float).tolist(), 0
-        while at < len(part):
-            end = at + size[at]
-            if end > len(part):
-                state["held"] = part.iloc[at:]
-                break
+        for end in stops:
             for d, track in step_frame(state["tracker"], frames[at], xs[at:end], ys[at:end], rules):
                 hits.append(at + d)
                 ids.append(track)
             at = end
-        return part.iloc[hits].drop(columns="__size").assign(track_in_episode=np.asarray(ids, dtype=np.int64))
+        if at < len(part):
+            state["held"] = part.iloc[at:]
+        return part.iloc[hits].drop(columns="__last").assign(track_in_episode=np.asarray(ids, dtype=np.int64))
 
-    schema = with_field(rows, "track_in_episode", T.LongType())
-    done = ordered_fold(sized.select(*rows.columns, "__size"), [*keys, "episode"], [frame, detection], start, step, schema)
+    schema = with_field(rows.drop("__last"), "track_in_episode", T.LongType())
+    done = ordered_fold(rows.select(*[c for c in rows.columns if c != "__last"], "__last"), [*keys, "episode"], [frame, detection], start, step, schema)
     return done.withColumn("track_key", F.struct("episode", F.col("track_in_episode").alias("n"))).drop(
         "episode", "track_in_episode"
     )

@@ -194,15 +194,15 @@ STREAM_RULES = track.TrackRules(radius=40.0, max_missed=3, min_hits=2, min_displ
 DELAY = "1 day"
 
 
-def replay(spark, sf_dir, kind, build):
+def replay(spark, sf_dir, kind, build, shape=stream_rows):
     """Replay the events table as a stream to its end and return what it emitted, written to the shared folder."""
     source = table(spark, sf_dir, "events")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.STATE_STORE)
     feed = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out, checkpoint, ended = fresh(spark, kind), fresh(spark, f"{kind}-state"), fresh(spark, f"{kind}-end")
-    marker = ordered.end_marker(stream_rows(source), DELAY)
+    marker = ordered.end_marker(shape(source), DELAY)
     marker.write.parquet(ended)
-    rows = stream_rows(feed).unionByName(spark.readStream.schema(marker.schema).parquet(ended))
+    rows = shape(feed).unionByName(spark.readStream.schema(marker.schema).parquet(ended))
     running = (
         build(rows).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
         .trigger(availableNow=True).start(out)
@@ -211,6 +211,73 @@ def replay(spark, sf_dir, kind, build):
     return spark.read.parquet(out)
 
 
+def single_track_sql(rows: str, rules: track.TrackRules, order: str) -> str:
+    """Tracks of objects (key, frame, item, x, y) that are seen alone in their frames: one filter, step by step.
+
+    ``rules`` must have a radius that no step exceeds. Over n frames without a match the covariance has a closed form.
+    """
+    q, r, s0 = rules.process_noise, rules.measurement_noise, rules.initial_variance
+    return f"""WITH RECURSIVE seen AS ({rows}),
+    s AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY key ORDER BY {order}) AS rn FROM seen),
+    t AS (SELECT key, rn, frame, item, x, y, x::DOUBLE AS px, y::DOUBLE AS py, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, {s0!r}::DOUBLE AS pp, 0.0::DOUBLE AS pv, {s0!r}::DOUBLE AS vv,
+        x AS fx, y AS fy, 1 AS hits, FALSE AS confirmed, 0 AS id FROM s WHERE rn = 1
+      UNION ALL SELECT key, rn, frame, item, x, y, CASE WHEN live THEN qx + gp * (x - qx) ELSE x END, CASE WHEN live THEN qy + gp * (y - qy) ELSE y END,
+        CASE WHEN live THEN vx + gv * (x - qx) ELSE 0 END, CASE WHEN live THEN vy + gv * (y - qy) ELSE 0 END,
+        CASE WHEN live THEN a * (1 - gp) ELSE {s0!r} END, CASE WHEN live THEN b * (1 - gp) ELSE 0 END, CASE WHEN live THEN c - gv * b ELSE {s0!r} END,
+        CASE WHEN live THEN fx ELSE x END, CASE WHEN live THEN fy ELSE y END, CASE WHEN live THEN hits + 1 ELSE 1 END,
+        live AND (confirmed OR (hits + 1 >= {rules.min_hits} AND sqrt((x - fx) ** 2 + (y - fy) ** 2) >= {rules.min_displacement} AND y - fy >= {rules.min_vertical})),
+        CASE WHEN live THEN id ELSE id + 1 END
+      FROM (SELECT *, a / (a + {r!r}) AS gp, b / (a + {r!r}) AS gv FROM (
+        SELECT n.key, n.rn, n.frame, n.item, n.x, n.y, t.vx, t.vy, t.fx, t.fy, t.hits, t.confirmed, t.id, n.frame - t.frame - 1 <= {rules.max_missed} AS live,
+          t.px + (n.frame - t.frame) * t.vx AS qx, t.py + (n.frame - t.frame) * t.vy AS qy,
+          t.pp + 2 * (m * t.pv + t.vv * m * (m - 1) / 2 + {q!r} * m * (m - 1) * (m - 2) / 6) + m * t.vv + {q!r} * m * (m - 1) / 2 + m * {q!r} AS a,
+          t.pv + m * t.vv + {q!r} * m * (m - 1) / 2 AS b, t.vv + m * {q!r} AS c
+        FROM t JOIN s n ON n.key = t.key AND n.rn = t.rn + 1, LATERAL (SELECT (n.frame - t.frame)::DOUBLE AS m))))
+    """
+
+
+ALONE_RULES = track.TrackRules(radius=1e6, max_missed=3, min_hits=2, min_displacement=8.0, min_vertical=2.0, initial_variance=0.25)
+
+
+@query(
+    "j1_track_alone",
+    single_track_sql(
+        f"""SELECT l_suppkey AS key, date_diff('day', DATE '1995-01-01', l_shipdate) AS frame, detection AS item, l_quantity::INTEGER AS x, round(l_discount * 200)::INTEGER AS y
+        FROM (SELECT *, ROW_NUMBER() OVER ({W_LINE}) - 1 AS detection, ROW_NUMBER() OVER (PARTITION BY l_suppkey, l_shipdate ORDER BY l_orderkey, l_linenumber, l_partkey) AS k
+          FROM lineitem) WHERE k = 1""", ALONE_RULES, "frame",
+    ) + "SELECT key AS l_suppkey, frame, item AS detection, x, y, (DENSE_RANK() OVER (PARTITION BY key ORDER BY id) - 1)::INTEGER AS track_id FROM t WHERE confirmed",
+)
+def track_alone(spark, sf_dir):
+    """The first detection of every ship day: one object at a time, over days without any."""
+    seen = observations(spark, sf_dir).drop("l_returnflag")
+    first = seen.groupBy("l_suppkey", "day").agg(F.min(F.struct("detection", "x", "y")).alias("d")).select("l_suppkey", F.col("day").alias("frame"), "d.*")
+    tracked = track.track_objects(first, ("l_suppkey",), "frame", "x", "y", "detection", ALONE_RULES, line_seq(spark, sf_dir).along("frame", ("frame",)).bucket)
+    return track.compact_ids(cut_lineage(tracked), ("l_suppkey",), "track_key", ["frame"]).select("l_suppkey", "frame", "detection", "x", "y", "track_id")
+
+
+LANES = 16
+
+
+def lane_rows(events):
+    """Events dealt to lanes in turn: each is alone in its frame; views are left out, so frames are missing."""
+    return events.filter("event_type <> 'view'").select(
+        (F.col("event_id") % LANES).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("event_time"), F.expr(f"event_id div {LANES}").alias("frame"),
+        F.col("event_id").alias("item"), F.col("value").alias("a"), F.get_json_object("props", "$.k").try_cast("double").alias("b"),
+    )
+
+
+@query(
+    "m1_track_stream_alone",
+    single_track_sql(
+        f"""SELECT (event_id % {LANES})::VARCHAR AS key, event_id // {LANES} AS frame, event_id AS item, trunc(value)::INTEGER AS x,
+        trunc(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE))::INTEGER AS y FROM events WHERE event_type <> 'view'""", ALONE_RULES, "frame",
+    ) + """SELECT t.key, t.frame, t.item, e.value AS a, TRY_CAST(json_extract_string(e.props, '$.k') AS DOUBLE) AS b, t.id::DOUBLE AS result
+    FROM t JOIN events e ON e.event_id = t.item WHERE t.confirmed""",
+)
+def track_stream_alone(spark, sf_dir):
+    return replay(spark, sf_dir, "m1-alone", lambda rows: ordered.track_stream(rows, DELAY, ALONE_RULES), lane_rows)
+
+
 @query("m1_track_stream")
 def track_stream(spark, sf_dir):
     return replay(spark, sf_dir, "m1", lambda rows: ordered.track_stream(rows, DELAY, STREAM_RULES))

@@ -25,39 +25,52 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 class _Ordered(StatefulProcessor):
-    """Buffers (time, frame, item, a, b) rows per key; subclasses consume them in order.
+    """Keeps (frame, item, a, b) rows per key in a map by event time; subclasses consume them in order.
 
-    One timer waits for the earliest held row; when it fires, every row the watermark has passed is
-    consumed. All rows of a frame must share one event time.
+    One timer waits for the earliest time; when it fires, the times that the watermark has passed are taken out of the map, and
+    nothing else is read or written again but their names. All rows of a frame must share one event time.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, frame long, item long, a double, b double")
-        self.memory = handle.getValueState("memory", "body string")
+        self.waiting = handle.getMapState("waiting", "at long", "rows string")
+        self.memory = handle.getValueState("memory", "body string, timer long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = [r for part in rows for r in part[["at", "frame", "item", "a", "b"]].itertuples(index=False, name=None) if r[1] != END]
+        held: dict[int, list[tuple]] = {}
+        for part in rows:
+            for at, *row in part[["at", "frame", "item", "a", "b"]].itertuples(index=False, name=None):
+                if row[0] != END:
+                    held.setdefault(int(at), []).append(tuple(row))
         if not held:
             return iter(())
-        self.waiting.appendList(held)
-        self.handle.registerTimer(int(min(r[0] for r in held)))
+        for at, new in held.items():
+            known = json.loads(self.waiting.getValue((at,))[0]) if self.waiting.exists() and self.waiting.containsKey((at,)) else []
+            self.waiting.updateValue((at,), (json.dumps(known + new),))
+        body, timer = self.memory.get() if self.memory.exists() else (None, None)
+        first = min(held)
+        if timer is None or first < timer:
+            if timer is not None:
+                self.handle.deleteTimer(int(timer))
+            self.handle.registerTimer(first)
+            self.memory.update((body, first))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready, later = [r for r in rows if r[0] <= upto], [r for r in rows if r[0] > upto]
-        if not ready:
-            return iter(())
+        times = sorted(k[0] for k in self.waiting.keys())
+        ready = []
+        for at in times:
+            if at > upto:
+                break
+            ready += sorted(map(tuple, json.loads(self.waiting.getValue((at,))[0])), key=lambda r: r[:2])
+            self.waiting.removeKey((at,))
+        later = [at for at in times if at > upto][:1]
         if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(int(later[0][0]))
-        else:
-            self.waiting.clear()
-        body = json.loads(self.memory.get()[0]) if self.memory.exists() else None
-        out, body = self.consume(body, ready)
-        self.memory.update((json.dumps(body),))
+            self.handle.registerTimer(int(later[0]))
+        body = self.memory.get()[0] if self.memory.exists() else None
+        out, state = self.consume(json.loads(body) if body else None, ready)
+        self.memory.update((json.dumps(state), later[0] if later else None))
         frame = pd.DataFrame(out, columns=["frame", "item", "a", "b", "result"])
         frame.insert(0, "key", str(key[0]))
         return iter([frame] if len(frame) else [])
@@ -80,12 +93,12 @@ class TrackerProcessor(_Ordered):
         out, at = [], 0
         while at < len(rows):
             end = at
-            while end < len(rows) and rows[end][1] == rows[at][1]:
+            while end < len(rows) and rows[end][0] == rows[at][0]:
                 end += 1
             frame = rows[at:end]
-            xs, ys = [float(int(r[3])) for r in frame], [float(int(r[4])) for r in frame]
-            for d, track in step_frame(state, frame[0][1], xs, ys, self.rules):
-                out.append((frame[d][1], frame[d][2], frame[d][3], frame[d][4], float(track)))
+            xs, ys = [float(int(r[2])) for r in frame], [float(int(r[3])) for r in frame]
+            for d, track in step_frame(state, frame[0][0], xs, ys, self.rules):
+                out.append((*frame[d], float(track)))
             at = end
         return out, {"next": state.next_id, "frame": state.frame, "tracks": [astuple(t) for t in state.tracks]}
 
@@ -98,7 +111,7 @@ class JumpProcessor(_Ordered):
 
     def consume(self, body, rows):
         past, out = list(body or []), []
-        for _, frame, item, a, b in rows:
+        for frame, item, a, b in rows:
             seen = [v for v in past if v is not None]
             jump = False
             if len(seen) >= self.min_periods and a == a:

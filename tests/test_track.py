@@ -140,3 +140,28 @@ def test_speed_needs_a_positive_step(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 2, 6.0, 8.0), (1, 2, 0.0, 0.0)], "t int, f int, x double, y double")
     out = track.track_speed(df, Sequence(("t",), ("f", "x"), None), "f", "x", "y")
     assert sorted(r["speed"] for r in out.collect()) == [0.0]
+
+
+@pytest.mark.parametrize("radius", [0.5, 7.0, 1e6])
+def test_cells_find_the_near_pairs(radius):
+    """The cell grid gives what comparing everything with everything gives, in the same order."""
+    rng = np.random.default_rng(4)
+    tracks = [track.Track(i, float(x), float(y), 0, 0, 0, 0, 0, 0, 0) for i, (x, y) in enumerate(rng.uniform(-60, 60, (70, 2)).round(1))]
+    xs, ys = rng.uniform(-60, 60, (2, 90)).round(1).tolist()
+    want = sorted((d, i, j) for i, t in enumerate(tracks) for j, (x, y) in enumerate(zip(xs, ys)) if (d := float(np.hypot(x - t.x, y - t.y))) <= radius)
+    got = track._near(tracks, xs, ys, radius)
+    assert [g[1:] for g in got] == [w[1:] for w in want] and np.allclose([g[0] for g in got], [w[0] for w in want])
+    assert track._near(tracks[:1], [float("nan")], [1.0], radius) == [] and track._near([], xs, ys, radius) == []
+
+
+def test_a_frame_of_many_detections():
+    """Two frames of 10 000 objects each: every object is matched with itself, in time that grows with the near pairs only."""
+    import time
+
+    side = np.arange(100) * 30.0
+    xs, ys = (a.ravel().tolist() for a in np.meshgrid(side, side))
+    rules, state = track.TrackRules(radius=20.0, min_hits=2, min_displacement=0.0, min_vertical=0.0), track.TrackerState()
+    start = time.perf_counter()
+    assert track.step_frame(state, 0, xs, ys, rules) == []
+    moved = track.step_frame(state, 1, [x + 3 for x in xs], [y + 4 for y in ys], rules)
+    assert sorted(moved) == [(i, i) for i in range(10_000)] and time.perf_counter() - start < 10
