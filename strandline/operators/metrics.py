@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import all_finite
-from strandline.sequence import Sequence, framed
+from strandline.functions.scalars import all_finite, is_finite
+from strandline.operators.features import regressors
+from strandline.sequence import Sequence
 
 ERROR_COLUMNS = ("n_samples", "rmse", "mae", "bias", "r2", "rrse", "fit_pct", "nrmse", "mape")
 
@@ -56,11 +60,12 @@ def metrics(
     zero_threshold: float | None = None,
     high_threshold: float | None = None,
     strict: bool = False,
+    also: list[Column] = (),
 ) -> DataFrame:
     """RMSE, MAE, bias, R2, RRSE, fit %, NRMSE and MAPE of finite pairs, by any dimensions.
 
     n_params adds AIC and BIC; zero_threshold adds zero-class rates and scores; high_threshold adds
-    the same metrics over truths at least that high. ``strict`` scores a group with any non-finite
+    the same metrics over truths at least that high; ``also`` are further aggregates of the same pass. ``strict`` scores a group with any non-finite
     pair as the worst possible. Undefined values are NULL; NULL group keys form their own groups.
     Partial aggregation makes hot groups cheap: one row per group and task is shuffled.
     """
@@ -89,7 +94,7 @@ def metrics(
         aggs += _summary(F.when(high, y), F.when(high, e), "high_")
     if strict:
         aggs.append(F.count_if(~ok).alias("__bad"))
-    out = base.groupBy(*keys).agg(*aggs)
+    out = base.groupBy(*keys).agg(*aggs, *also)
     if not strict:
         return out
     worst = {"rmse": math.inf, "mae": math.inf, "r2": -math.inf, "fit_pct": -math.inf}
@@ -106,15 +111,8 @@ def metrics_by(df: DataFrame, truth: str, predictions: dict[str, str], dims: tup
     long = df.select(*dims, F.col(truth).cast("double").alias("truth"), modes.alias("m")).select(
         *dims, "truth", "m.mode", "m.prediction"
     )
-    scored = metrics(long, "truth", "prediction", ("mode", *dims))
-    means = long.groupBy("mode", *dims).agg(
-        F.avg("truth").alias("truth_mean"), F.avg("prediction").alias("prediction_mean"), F.count("*").alias("n_rows")
-    )
-    on = None
-    for c in ("mode", *dims):
-        same = scored[c].eqNullSafe(means[c])
-        on = same if on is None else on & same
-    return scored.join(means, on).drop(*[means[c] for c in ("mode", *dims)])
+    more = [F.avg("truth").alias("truth_mean"), F.avg("prediction").alias("prediction_mean"), F.count("*").alias("n_rows")]
+    return metrics(long, "truth", "prediction", ("mode", *dims), also=more)
 
 
 def _correlation(a: Column, b: Column) -> Column:
@@ -133,23 +131,36 @@ def pearson(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = (), out: str
 def lag_correlations(df: DataFrame, seq: Sequence, y: str, xs: list[str], max_lag: int) -> DataFrame:
     """Correlation of ``y`` with each input at lags 0..max_lag, over all sequences; lags stay inside one.
 
-    All lags come from one window pass and all correlations from one map-side-combined aggregate.
+    All lags of a row are one array from one window pass. A task adds up the pairs of all lags side by side and writes its sums once,
+    so no row is multiplied by the number of lags. Values are counted from the least of their column, so a constant gives exact zeros.
     """
-    names = {(x, k): f"__{i}_{k}" for i, x in enumerate(xs) for k in range(max_lag + 1)}
-    lagged = framed(
-        df.select(*dict.fromkeys([*seq.keys, *seq.order_by, y, *xs, *([seq.position] if seq.position else [])])),
-        seq,
-        lambda w: {n: (F.lag(x, k).over(w.order) if k else F.col(x)).cast("double") for (x, k), n in names.items()},
-        before=max_lag,
-    )
-    # One narrow aggregate over (input, lag) rows: hundreds of wide aggregates would defeat code generation.
-    long = lagged.select(
-        F.col(y).cast("double").alias("__y"),
-        F.inline(F.array(*[F.struct(F.lit(x).alias("input"), F.lit(k).alias("lag"), F.col(n).alias("__x")) for (x, k), n in names.items()])),
-    )
-    both = F.col("__x").isNotNull() & F.col("__y").isNotNull()
-    a, b = F.when(both, F.col("__x")), F.when(both, F.col("__y"))
-    return long.groupBy("input", "lag").agg(_correlation(a, b).alias("r"), F.count(a).alias("n_pairs"))
+    terms = [(f"{x}_{k}", x, k) for x in xs for k in range(max_lag + 1)]
+    low = df.agg(*[F.min(F.when(is_finite(c), F.col(c).cast("double"))).alias(f"m{i}") for i, c in enumerate([y, *xs])]).first()
+    least_y, least_x = low["m0"] or 0.0, np.repeat([low[f"m{i + 1}"] or 0.0 for i in range(len(xs))], max_lag + 1)
+    kept = dict.fromkeys([*seq.keys, *seq.order_by, y, *xs, *([seq.position] if seq.position else [])])
+    rows = regressors(df.select(*kept), seq, terms, 0).select("phi", F.col(y).cast("double").alias("y"))
+    names = ("n", "x", "y", "xx", "yy", "xy")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(names), len(terms)))
+        for batch in batches:
+            for s in range(0, batch.num_rows, 4096):
+                part = batch.slice(s, 4096)
+                x = part.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, len(terms)) - least_x
+                v = part.column(1).to_numpy(zero_copy_only=False).astype(float) - least_y
+                both = np.isfinite(x) & np.isfinite(v)[:, None]
+                x, w = np.where(both, x, 0.0), np.where(both, v[:, None], 0.0)
+                total += np.stack([both.sum(axis=0), x.sum(axis=0), w.sum(axis=0), (x * x).sum(axis=0), (w * w).sum(axis=0), (x * w).sum(axis=0)])
+        yield pa.RecordBatch.from_arrays([pa.array([total.T.ravel()], pa.list_(pa.float64()))], names=["s"])
+
+    parts = rows.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v"))
+    at, what = F.floor(F.col("i") / len(names)).cast("int"), F.col("i") % len(names)
+    sums = parts.groupBy(at.alias("at")).agg(*[F.sum(F.when(what == k, F.col("v"))).alias(name) for k, name in enumerate(names)])
+    n = F.col("n")
+    sides = [F.col("xx") - F.col("x") * F.col("x") / n, F.col("yy") - F.col("y") * F.col("y") / n]
+    r = F.when((n >= 2) & (sides[0] > 0) & (sides[1] > 0), (F.col("xy") - F.col("x") * F.col("y") / n) / F.sqrt(sides[0] * sides[1]))
+    listed = F.array(*[F.lit(x) for x in xs])
+    return sums.select(F.get(listed, F.floor(F.col("at") / (max_lag + 1)).cast("int")).alias("input"), (F.col("at") % (max_lag + 1)).cast("int").alias("lag"), r.alias("r"), n.cast("long").alias("n_pairs"))
 
 
 def target_bounds(df: DataFrame, y: str, low: float | None = None, margin: float = 0.0, relative: bool = False) -> DataFrame:

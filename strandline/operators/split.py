@@ -313,6 +313,16 @@ def condition_coverage(df: DataFrame, condition: list[str], role: str = "split_r
     ).drop("__hit", *[f"__{c}" for c in condition])
 
 
+def unseen_conditions(df: DataFrame, condition: list[str], role: str = "split_role") -> DataFrame:
+    """The conditions outside training that training does not have, with their rows: what a warning lists. NULLs match NULLs."""
+    trained = df.filter(F.col(role) == "train").select(*[F.col(c).alias(f"__{c}") for c in condition]).distinct()
+    others = df.filter(F.col(role) != "train").groupBy(*condition).agg(F.count("*").alias("n_rows"))  # few rows before the join
+    on = F.lit(True)
+    for c in condition:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return others.join(trained, on, "left_anti")
+
+
 def distinct_conditions(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns).distinct().orderBy(*columns)
 

@@ -262,3 +262,22 @@ def align_downsample(spark, sf_dir):
         detections, flags, spec, [("width", F.when(F.col("anomaly") != 1, F.col("width")))],
     )
     return out.select("user_id", "frame_number", near("t", 4).alias("t"), near("k").alias("k"), near("width").alias("width"), "anomaly")
+
+
+@query(
+    "align_upsample_job",
+    NEAREST_SQL + f""", src AS (SELECT user_id, t, value AS v FROM ev WHERE event_type = 'view'),
+    lo AS (SELECT g.*, s.t AS t0, s.v AS v0 FROM asg g ASOF LEFT JOIN src s ON g.user_id = s.user_id AND g.t >= s.t),
+    both_sides AS (SELECT l.*, s.t AS t1, s.v AS v1 FROM lo l ASOF LEFT JOIN src s ON l.user_id = s.user_id AND l.t <= s.t)
+    SELECT user_id, event_id, frame_number, k, 0::INTEGER AS anomaly,
+    {near_sql('CASE WHEN t0 IS NULL THEN v1 WHEN t1 IS NULL OR t0 = t1 THEN v0 ELSE v0 + (v1 - v0) / (t1 - t0) * (t - t0) END')} AS width FROM both_sides""",
+)
+def align_upsample(spark, sf_dir):
+    """Frame values carried to the samples: interpolated between frames, with the flags of the nearest one."""
+    f = frames(spark, sf_dir)
+    detections = f.select("user_id", "frame_number", F.col("value").alias("width"), F.col("frame_number").alias("event_id"))
+    spec = AlignSpec(event_seq(spark, sf_dir), "t", "frame_number", "frame_time", ("k",), ("width",), (), "event_id", mode="upsample")
+    out = align_experiments(
+        samples(spark, sf_dir).select("user_id", "event_id", "t", "k"), f.select("user_id", "frame_number", "frame_time"), detections, None, spec
+    )
+    return out.select("user_id", "event_id", "frame_number", "k", "anomaly", near("width").alias("width"))

@@ -141,12 +141,45 @@ def variants(spark, sf_dir):
     return files.union_all(*parts).withColumn("b", near("b"))
 
 
-@query("a8_write_run")
+def _run_sql() -> str:
+    from strandline.plans.splits import roles_sql
+
+    return roles_sql(50) + """, m AS (SELECT l_suppkey, chunk_index, role FROM roles JOIN won USING (l_suppkey, t)), n AS (SELECT COUNT(*) AS rows FROM c)
+    SELECT 'predictions' AS name, rows FROM n UNION ALL SELECT 'grid', 12 UNION ALL SELECT 'metrics', 6 UNION ALL SELECT 'config', 7
+    UNION ALL SELECT 'manifest ' || role, COUNT(*) FROM m GROUP BY role UNION ALL SELECT 'terms without coefficient', 0"""
+
+
+@query("a8_write_run", _run_sql())
 def run_export(spark, sf_dir):
+    """Every table of a run, read back: its rows, the chunks of each role, and whether the coefficients fit the written orders."""
     from strandline.plans.models import arx_run
 
     path = write_run(arx_run(spark, sf_dir), fresh(spark, "a8"))
-    return spark.read.parquet(f"{path}/coefficients")
+    read = {n: spark.read.parquet(f"{path}/{n}") for n in ("predictions", "grid", "metrics", "manifest", "coefficients")}
+    config = spark.read.json(f"{path}/config")
+    counted = [read[n].agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n in ("predictions", "grid", "metrics")]
+    counted.append(config.agg(F.lit("config").alias("name"), F.count("*").alias("rows")))
+    counted.append(read["manifest"].groupBy(F.concat(F.lit("manifest "), "split_role").alias("name")).agg(F.count("*").alias("rows")))
+    orders = F.sum(F.when(F.col("name") == "na", F.col("value").cast("long")).when(F.col("name") == "nb", 2 * F.col("value").cast("long")))
+    missing = config.agg(orders.alias("wanted")).select("wanted", F.lit(read["coefficients"].count()).alias("there"))
+    counted.append(missing.select(F.lit("terms without coefficient").alias("name"), (F.col("wanted") - F.col("there")).alias("rows")))
+    return files.union_all(*counted)
+
+
+@query(
+    "a9_discover_frames",
+    """SELECT concat('c_nationkey_', c_nationkey) AS source_name, CASE WHEN c_custkey % 2 = 0 THEN 'backlit' ELSE 'laserlit' END AS mode, 1::BIGINT AS images
+    FROM customer GROUP BY ALL""",
+)
+def discover_frames(spark, sf_dir):
+    """A tree of folders written from the table, with other files beside the images, scanned for its sources."""
+    root = fresh(spark, "a9")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    for folder, rest in (("Backlit", 0), ("other", 1)):
+        rows = customer.filter(F.col("c_custkey") % 2 == rest).repartition("c_nationkey")  # one file a folder
+        for extension in ("jpg", "txt"):
+            rows.write.partitionBy("c_nationkey").option("extension", extension).mode("append").csv(f"{root}/{folder}")
+    return files.discover_frames(spark, root).groupBy("source_name", "mode").agg(F.count("*").alias("images"))
 
 
 PATH_SQL = """concat('/data/', CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Backlit' ELSE 'other' END, '/',

@@ -163,6 +163,16 @@ def condition_coverage(spark, sf_dir):
     return out.select("o_orderkey", "condition_seen_in_train", "is_extrapolation_condition")
 
 
+@query(
+    "d9_unseen_conditions",
+    CONDITION_SQL + """, t AS (SELECT DISTINCT o_orderstatus, feed FROM s WHERE split_role = 'train')
+    SELECT s.o_orderstatus, s.feed, COUNT(*) AS n_rows FROM s WHERE split_role <> 'train'
+      AND NOT EXISTS (SELECT 1 FROM t WHERE t.o_orderstatus = s.o_orderstatus AND t.feed IS NOT DISTINCT FROM s.feed) GROUP BY ALL""",
+)
+def unseen_conditions(spark, sf_dir):
+    return split.unseen_conditions(conditions(spark, sf_dir), ["o_orderstatus", "feed"])
+
+
 @query(
     "e3_sequence_settings",
     f"SELECT l_suppkey, {near_sql('MEDIAN(l_linenumber::DOUBLE)')} AS l_linenumber, {near_sql('MEDIAN(l_tax)')} AS l_tax FROM lineitem GROUP BY l_suppkey",
