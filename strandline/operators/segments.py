@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,80 +63,108 @@ def top_candidates(df: DataFrame, keys: list[str], length: str, order: str, thre
     return two.withColumn("__max", longest).filter((F.col("rank") == 1) | (F.col("__max") < threshold)).drop("__max")
 
 
-def best_pair(
-    df: DataFrame, keys: list[str], order: str, *,
-    angle_tolerance: float, min_x: float, max_x: float, head: int = 64,
-) -> DataFrame:
+class _Longest:
+    """The longest of the segments entered so far whose place lies in a range: a tree of least ranks over places."""
+
+    def __init__(self, n: int) -> None:
+        self.size, self.none = 1 << max(0, n - 1).bit_length(), n
+        self.least = [n] * (2 * self.size)
+
+    def enter(self, place: int, rank: int) -> None:
+        at = place + self.size
+        while at and self.least[at] > rank:
+            self.least[at] = rank
+            at //= 2
+
+    def ranked(self, first: int, last: int) -> Iterator[int]:
+        """Ranks of the places first <= place < last, in ascending order, made as they are asked for."""
+        a, b, open_ = first + self.size, last + self.size, []
+        while a < b:
+            if a & 1:
+                open_.append((self.least[a], a))
+                a += 1
+            if b & 1:
+                b -= 1
+                open_.append((self.least[b], b))
+            a, b = a // 2, b // 2
+        heapq.heapify(open_)
+        while open_:
+            rank, at = heapq.heappop(open_)
+            if rank >= self.none:
+                return
+            if at >= self.size:
+                yield rank
+            else:
+                for child in (2 * at, 2 * at + 1):
+                    heapq.heappush(open_, (self.least[child], child))
+
+
+def find_best_pair(
+    length: np.ndarray, angle: np.ndarray, x: np.ndarray, y_min: np.ndarray, y_max: np.ndarray, home: np.ndarray,
+    angle_tolerance: float, min_x: float, max_x: float,
+) -> tuple[int, int] | None:
+    """(earlier, later) rank of the compatible pair of greatest total length whose later member is at home; arrays are in order of rank.
+
+    Segments enter in order of rank and look for the longest one entered that lies ``min_x`` to ``max_x`` beside them. Once no
+    further pair can be longer, the rest is not looked at.
+    """
+    places = np.argsort(x, kind="stable")
+    beside = x[places]
+    place_of = np.empty(len(x), np.int64)
+    place_of[places] = np.arange(len(x))
+    slack = 1e-9 * (1.0 + float(np.abs(x).max(initial=0.0)) + max_x)
+    bounds = [np.searchsorted(beside, x + d, side) for d, side in ((-max_x - slack, "left"), (-min_x + slack, "right"), (min_x - slack, "left"), (max_x + slack, "right"))]
+    tree, best, score = _Longest(len(x)), None, -math.inf
+    lengths, angles, xs, lows, highs = (v.tolist() for v in (length, angle, x, y_min, y_max))
+    for i, mine in enumerate(lengths):
+        if mine + lengths[0] <= score:
+            break
+        if home[i]:
+            for k in (0, 2):
+                for j in tree.ranked(int(bounds[k][i]), int(bounds[k + 1][i])):
+                    if mine + lengths[j] < score or (mine + lengths[j] == score and (best is None or best[1] != i or best[0] <= j)):
+                        break
+                    if abs(angles[i] - angles[j]) <= angle_tolerance and highs[i] >= lows[j] and highs[j] >= lows[i] and min_x <= abs(xs[i] - xs[j]) <= max_x:
+                        best, score = (j, i), mine + lengths[j]
+                        break
+        tree.enter(int(place_of[i]), i)
+    return best
+
+
+def best_pair(df: DataFrame, keys: list[str], order: str, *, angle_tolerance: float, min_x: float, max_x: float) -> DataFrame:
     """Per key, the compatible segment pair of greatest total length, left segment first.
 
     Compatible: angles within tolerance, y-extents overlapping, mean x between ``min_x`` and
     ``max_x`` apart. Ties go to the pair whose later (then earlier) member ranks first by length.
 
-    Pairs are never enumerated per key. The ``head`` longest segments are paired first; a better pair
-    must hold a segment beyond the head, and both its members must be longer than best - longest, so
-    only those survivors are paired, on equal angle and x bands.
+    A key's segments are dealt to bands of angle, each with copies of its neighbours', so that a pair is found in the band of its
+    later member. Inside a band no pairs are listed: see ``find_best_pair``. A band of one key is in one task, 60 bytes a segment.
     """
-    width_a, width_x = max(angle_tolerance, 1e-6), max(max_x, 1e-6)
-    columns = [*keys, order, "length", "angle", "mean_x", "y_min", "y_max", "x1", "y1", "x2", "y2"]
-    segments = cut_lineage(df.select(*columns))  # read four times below
-    by_length = Window.partitionBy(*keys).orderBy(F.col("length").desc(), F.col(order))
-    top = segments.withColumn("rank", F.row_number().over(by_length)).filter(F.col("rank") <= head)
-
-    def banded(rows: DataFrame, spread: bool) -> DataFrame:
-        a, x = F.floor(F.col("angle") / width_a), F.floor(F.col("mean_x") / width_x)
-        if not spread:
-            return rows.withColumns({"__a": a, "__x": x})
-        near = F.sequence(F.lit(-1), F.lit(1))
-        return rows.withColumn("__a", F.explode(F.transform(near, lambda k: a + k))).withColumn(
-            "__x", F.explode(F.transform(near, lambda k: x + k))
-        )
-
-    def pairs(rows: DataFrame, other: DataFrame, first: Column) -> DataFrame:
-        left = banded(rows, True).select(*keys, "__a", "__x", F.struct(*[c for c in rows.columns if c not in keys]).alias("l"))
-        right = banded(other, False).select(*keys, "__a", "__x", F.struct(*[c for c in other.columns if c not in keys]).alias("r"))
-        gap = F.abs(F.col("l.mean_x") - F.col("r.mean_x"))
-        return left.join(right, [*keys, "__a", "__x"]).filter(
-            first
-            & (F.abs(F.col("l.angle") - F.col("r.angle")) <= angle_tolerance)
-            & (F.col("l.y_max") >= F.col("r.y_min"))
-            & (F.col("r.y_max") >= F.col("l.y_min"))
-            & gap.between(min_x, max_x)
-        ).select(*keys, "l", "r", (F.col("l.length") + F.col("r.length")).alias("score"))
-
-    def best(rows: DataFrame) -> DataFrame:
-        later = F.when(_ranks_before("l", "r", order), F.col("r")).otherwise(F.col("l"))
-        earlier = F.when(_ranks_before("l", "r", order), F.col("l")).otherwise(F.col("r"))
-        key = F.struct(
-            (-F.col("score")).alias("s"), (-later["length"]).alias("ll"), later[order].alias("lo"),
-            (-earlier["length"]).alias("el"), earlier[order].alias("eo"),
-        )
-        return rows.groupBy(*keys).agg(F.min_by(F.struct("score", "l", "r"), key).alias("b"))
-
-    head_rows = top.drop("rank")
-    found = best(pairs(head_rows, head_rows, _ranks_before("l", "r", order)))
-    bound = (
-        segments.groupBy(*keys).agg(F.max("length").alias("__longest"), F.count("*").alias("__n"))
-        .filter(F.col("__n") > head)
-        .join(found.select(*keys, F.col("b.score").alias("__found")), keys, "left")
+    band = F.floor(F.col("angle") / max(angle_tolerance, 1e-6)).cast("long")
+    near = df.select(*keys, order, "length", "angle", "mean_x", "y_min", "y_max", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])).alias("__step"), band.alias("__own"))
+    dealt = near.withColumns({"__band": F.col("__own") + F.col("__step"), "__home": F.col("__step") == 0})
+    wanted = ["length", "angle", "mean_x", "y_min", "y_max"]
+    side = f"struct<o:{df.schema[order].dataType.simpleString()},length:double,mean_x:double>"
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def solve(group: pa.Table) -> pa.Table:
+        ranked = group.sort_by([("length", "descending"), (order, "ascending")])
+        arrays = [ranked.column(c).to_numpy().astype(float) for c in wanted]
+        found = find_best_pair(*arrays, ranked.column("__home").to_numpy().astype(bool), angle_tolerance, min_x, max_x)
+        columns = {k: ranked.column(k).slice(0, 0 if found is None else 1) for k in keys}
+        ends = [[] if found is None else [{"o": ranked.column(order)[i].as_py(), "length": float(arrays[0][i]), "mean_x": float(arrays[2][i])}] for i in found or (0, 0)]
+        kind = pa.struct([("o", ranked.schema.field(order).type), ("length", pa.float64()), ("mean_x", pa.float64())])
+        return pa.table({**columns, "e": pa.array(ends[0], kind), "l": pa.array(ends[1], kind)})
+
+    found = dealt.groupBy(*keys, "__band").applyInArrow(solve, f"{kinds}, e {side}, l {side}")
+    score = F.col("e.length") + F.col("l.length")
+    first = F.struct((-score).alias("s"), (-F.col("l.length")).alias("ll"), F.col("l.o").alias("lo"), (-F.col("e.length")).alias("el"), F.col("e.o").alias("eo"))
+    best = found.groupBy(*keys).agg(F.min_by(F.struct(score.alias("score"), "e", "l"), first).alias("b"))
+    swap = (F.col("b.l.mean_x") < F.col("b.e.mean_x"))
+    return best.select(
+        *keys, F.col("b.score").alias("score"), F.when(swap, F.col("b.l.o")).otherwise(F.col("b.e.o")).alias(f"left_{order}"),
+        F.when(swap, F.col("b.e.o")).otherwise(F.col("b.l.o")).alias(f"right_{order}"),
     )
-    survivors = (
-        segments.join(bound, keys)
-        .filter(F.col("__found").isNull() | (F.col("length") > F.col("__found") - F.col("__longest")))
-        .select(*columns)
-    )
-    rest = best(pairs(survivors, survivors, _ranks_before("l", "r", order)))
-    joined = found.select(*keys, "b").unionByName(rest)
-    final = best(joined.select(*keys, "b.l", "b.r", "b.score"))
-    swap = F.col("b.l.mean_x") <= F.col("b.r.mean_x")
-    left, right = F.when(swap, F.col("b.l")).otherwise(F.col("b.r")), F.when(swap, F.col("b.r")).otherwise(F.col("b.l"))
-    return final.select(
-        *keys, F.col("b.score").alias("score"), left[order].alias(f"left_{order}"), right[order].alias(f"right_{order}")
-    )
-
-
-def _ranks_before(a: str, b: str, order: str) -> Column:
-    la, lb = F.col(f"{a}.length"), F.col(f"{b}.length")
-    return (la > lb) | ((la == lb) & (F.col(f"{a}.{order}") < F.col(f"{b}.{order}")))
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, keys: list[str], v: str) -> DataFrame:
@@ -170,35 +202,76 @@ def _principal(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy:
     return F.cos(angle), F.sin(angle), x0, y0
 
 
-def _on_one_line(max_distance: float, max_gap: float) -> Column:
-    """Do segments ``l`` and ``r`` fit a common line closely, with a small gap along it?
+def on_one_line(one: np.ndarray, others: np.ndarray, max_distance: float, max_gap: float) -> np.ndarray:
+    """Which of the others (rows x1, y1, x2, y2) fit a common line with one, or each with its own one, closely and with a small gap along it."""
+    both = np.hstack([np.broadcast_to(np.atleast_2d(one), others.shape), others])
+    x, y = both[:, 0::2], both[:, 1::2]
+    x0, y0 = x.mean(axis=1, keepdims=True), y.mean(axis=1, keepdims=True)
+    dx, dy = x - x0, y - y0
+    angle = 0.5 * np.arctan2(2.0 * (dx * dy).sum(axis=1, keepdims=True), (dx * dx - dy * dy).sum(axis=1, keepdims=True))
+    vx, vy = np.cos(angle), np.sin(angle)
+    off = np.abs(dy * vx - dx * vy).max(axis=1)
+    along = dx * vx + dy * vy
+    mine, theirs = along[:, :2], along[:, 2:]
+    gap = np.maximum(theirs.min(axis=1) - mine.max(axis=1), mine.min(axis=1) - theirs.max(axis=1))
+    return (off <= max_distance) & (gap <= max_gap)
 
-    Written with lambda variables, which are computed once each: spelled out, the fitted line would be
-    repeated at every use and the generated code would not compile.
-    """
-    point = lambda s, k: F.struct(F.col(f"{s}.x{k}").cast("double").alias("x"), F.col(f"{s}.y{k}").cast("double").alias("y"))
-    points = F.array(point("l", 1), point("l", 2), point("r", 1), point("r", 2))
-    names = ("sx", "sy", "sxx", "syy", "sxy")
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in names])
-
-    def add(a: Column, p: Column) -> Column:
-        terms = (p["x"], p["y"], p["x"] * p["x"], p["y"] * p["y"], p["x"] * p["y"])
-        return F.struct(*[(a[n] + t).alias(n) for n, t in zip(names, terms)])
 
-    def line(a: Column) -> Column:
-        fitted = _principal(F.lit(4.0), *[a[n] for n in names])
-        return F.struct(*[c.alias(n) for c, n in zip(fitted, ("vx", "vy", "x0", "y0"))])
+def spanning_links(ends: np.ndarray, angle: np.ndarray, home: np.ndarray, tolerance: float, max_distance: float, max_gap: float) -> list[tuple[int, int]]:
+    """Links that connect what all links of a home segment with any other would connect: fewer than there are segments.
 
-    def fits(f: Column) -> Column:
-        off = F.transform(points, lambda p: F.abs((p["y"] - f["y0"]) * f["vx"] - (p["x"] - f["x0"]) * f["vy"]))
-        along = F.transform(points, lambda p: (p["x"] - f["x0"]) * f["vx"] + (p["y"] - f["y0"]) * f["vy"])
-        gap = F.transform(
-            F.array(along),
-            lambda t: F.greatest(F.least(t[2], t[3]) - F.greatest(t[0], t[1]), F.least(t[0], t[1]) - F.greatest(t[2], t[3]), F.lit(0.0)),
-        )[0]
-        return (F.array_max(off) <= max_distance) & (gap <= max_gap)
-
-    return F.exists(F.array(F.aggregate(points, zero, add, line)), fits)
+    A home segment is compared with those not yet in its group, so a dense cell is mostly one group after its first members.
+    """
+    group, out = np.arange(len(ends)), []
+    for i in np.flatnonzero(home).tolist():
+        open_ = np.flatnonzero((group != group[i]) & (np.abs(angle - angle[i]) <= tolerance))
+        if not len(open_):
+            continue
+        met = open_[on_one_line(ends[i], ends[open_], max_distance, max_gap)]
+        if len(met):
+            groups, first = np.unique(group[met], return_index=True)
+            out += [(i, int(j)) for j in met[first]]
+            group[np.isin(group, groups)] = group[i]
+    return out
+
+
+FEW = 48  # segments of a cell up to which all its pairs are tested side by side with those of other cells
+
+
+def cell_links(cell: np.ndarray, key: np.ndarray, ends: np.ndarray, angle: np.ndarray, home: np.ndarray, tolerance: float, max_distance: float, max_gap: float) -> np.ndarray:
+    """Rows (i, j) of links that span the groups of every cell; rows of a cell stand together, rows of another ``key`` are never linked."""
+    edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+    starts, sizes, out = edges[:-1], np.diff(edges), []
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
+        i, j = np.triu_indices(size, 1)
+        at = starts[sizes == size][:, None]
+        left, right = (at + i).ravel(), (at + j).ravel()
+        near = (home[left] | home[right]) & (np.abs(angle[left] - angle[right]) <= tolerance) & (key[left] == key[right])
+        left, right = left[near], right[near]
+        if len(left):
+            met = on_one_line(ends[left], ends[right], max_distance, max_gap)
+            out.append(np.column_stack([left[met], right[met]]))
+    for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        for k in np.unique(key[s : s + n]):
+            mine = s + np.flatnonzero(key[s : s + n] == k)
+            found = spanning_links(ends[mine], angle[mine], home[mine], tolerance, max_distance, max_gap)
+            if found:
+                out.append(mine[np.array(found)])
+    if not out:
+        return np.empty((0, 2), np.int64)
+    links, root, kept = np.concatenate(out), {}, []
+
+    def top(v: int) -> int:
+        while root.get(v, v) != v:
+            root[v] = v = root.get(root[v], root[v])
+        return v
+
+    for a, b in links.tolist():  # what is linked already needs no second link
+        x, y = top(a), top(b)
+        if x != y:
+            root[y] = x
+            kept.append((a, b))
+    return np.array(kept, np.int64)
 
 
 def merge_segments(
@@ -208,41 +281,50 @@ def merge_segments(
 
     Two segments belong together if their angles agree, all four endpoints lie within
     ``max_distance`` of their common fitted line, and their projections on it are at most ``max_gap``
-    apart. Identical segments are counted once with a weight. Candidates are found by an equi-join on
-    angle bands and grid cells: mergeable segments come within sqrt(gap^2 + 4 distance^2) of each other.
+    apart. Identical segments are counted once with a weight. Candidates meet in angle bands and grid
+    cells: mergeable segments come within sqrt(gap^2 + 4 distance^2) of each other. A cell gives links that
+    span its groups, fewer than its segments, however dense it is.
     """
     ends = ["x1", "y1", "x2", "y2"]
     unique = describe_segments(df.select(*keys, *ends)).groupBy(*keys, *ends, "angle").agg(F.count("*").alias("weight"))
     unique = cut_lineage(unique.withColumn("segment", F.format_string("%010d,%010d,%010d,%010d", *[F.col(c) + 1_000_000_000 for c in ends])))
     reach = math.sqrt(max_gap**2 + 4 * max_distance**2)
     cell, band = max(reach, 64.0), max(angle_tolerance, 1e-6)
-
-    def on_grid(rows: DataFrame, pad: float, reach_bands: int) -> DataFrame:
-        at = lambda v: F.floor(v / cell).cast("int")
-        placed = rows.withColumns(
-            {
-                "gx": at(F.least("x1", "x2") - pad), "gy": at(F.least("y1", "y2") - pad),
-                "hx": at(F.greatest("x1", "x2") + pad), "hy": at(F.greatest("y1", "y2") + pad),
-                "ga": F.floor(F.col("angle") / band).cast("int"),
-            }
-        )
-        spread = placed.withColumn("__gx", F.explode(F.sequence("gx", "hx"))).withColumn("__gy", F.explode(F.sequence("gy", "hy")))
-        return spread.withColumn("__ga", F.explode(F.sequence(F.col("ga") - reach_bands, F.col("ga") + reach_bands)))
-
-    payload, cells = F.struct("segment", "angle", "gx", "gy", *ends), ["__gx", "__gy", "__ga"]
-    left = on_grid(unique, reach, 1).select(*keys, *cells, payload.alias("l"))
-    right = on_grid(unique, 0.0, 0).select(*keys, *cells, payload.alias("r"))
-    # A pair may share many cells; it is looked at in the first one only.
-    met = left.join(right, [*keys, *cells]).filter(
-        (F.col("l.segment") < F.col("r.segment"))
-        & (F.abs(F.col("l.angle") - F.col("r.angle")) <= angle_tolerance)
-        & (F.col("__gx") == F.greatest("l.gx", "r.gx"))
-        & (F.col("__gy") == F.greatest("l.gy", "r.gy"))
-    )
-    linked = met.filter(_on_one_line(max_distance, max_gap)).select(
-        *keys, F.col("l.segment").alias("a"), F.col("r.segment").alias("b")
-    )
-    both = linked.unionByName(linked.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
+    at = lambda v: F.floor(v / cell).cast("int")
+    low, high = (F.least("x1", "x2"), F.least("y1", "y2")), (F.greatest("x1", "x2"), F.greatest("y1", "y2"))
+    placed = unique.withColumn("ga", F.floor(F.col("angle") / band).cast("int"))
+    spread = placed.withColumn("__gx", F.explode(F.sequence(at(low[0] - reach), at(high[0] + reach)))).withColumn("__gy", F.explode(F.sequence(at(low[1] - reach), at(high[1] + reach))))
+    spread = spread.withColumn("__ga", F.explode(F.sequence(F.col("ga") - 1, F.col("ga") + 1)))
+    home = F.col("__gx").between(at(low[0]), at(high[0])) & F.col("__gy").between(at(low[1]), at(high[1])) & (F.col("__ga") == F.col("ga"))
+    cells = spread.withColumn("__home", home).withColumns({"__cell": F.xxhash64(*keys, "__gx", "__gy", "__ga"), "__key": F.xxhash64(F.lit("key"), *keys)})
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: pa.Table) -> pa.RecordBatch | None:
+            get = lambda c: rows.column(c).to_numpy()
+            points = np.column_stack([get(c).astype(float) for c in ends])
+            found = cell_links(get("__cell"), get("__key"), points, get("angle"), get("__home").astype(bool), angle_tolerance, max_distance, max_gap)
+            if not len(found):
+                return None
+            one, other = (pa.array(found[:, i]) for i in (0, 1))
+            columns = [*[rows.column(k).take(one) for k in keys], rows.column("segment").take(one), rows.column("segment").take(other)]
+            return pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], names=[*keys, "a", "b"])
+
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            cell = held.column("__cell").to_numpy()
+            whole = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on
+            if whole and (out := links(held.slice(0, whole))) is not None:
+                yield out
+            held = held.slice(whole)
+        if held is not None and held.num_rows and (out := links(held)) is not None:
+            yield out
+
+    sent = cells.select(*keys, "__cell", "__key", "segment", "angle", *ends, "__home").repartition("__cell").sortWithinPartitions("__cell", "segment")
+    linked = sent.mapInArrow(run, f"{kinds}, a string, b string").distinct()
+    both = linked.unionByName(linked.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     groups = connected_components(unique, both, keys, "segment")
 
     member = unique.join(groups, [*keys, "segment"])

@@ -164,11 +164,49 @@ def best_pair(spark, sf_dir):
     return out.withColumn("score", near("score"))
 
 
-@query("j5_merge_segments")
+def _axis_sql(n: str) -> str:
+    """Direction and centre of the line through points with the sums sx, sy, sxx, syy, sxy."""
+    theta = f"0.5 * atan2(2.0 * (sxy - sx * sy / {n}), (sxx - sx * sx / {n}) - (syy - sy * sy / {n}))"
+    return f"cos({theta}) AS vx, sin({theta}) AS vy, sx / {n} AS x0, sy / {n} AS y0"
+
+
+def _sums_sql(points: list[tuple[str, str]]) -> str:
+    total = lambda f: " + ".join(f"({f(x, y)})::DOUBLE" for x, y in points)
+    parts = {"sx": lambda x, y: x, "sy": lambda x, y: y, "sxx": lambda x, y: f"{x} * {x}", "syy": lambda x, y: f"{y} * {y}", "sxy": lambda x, y: f"{x} * {y}"}
+    return ", ".join(f"{total(f)} AS {n}" for n, f in parts.items())
+
+
+ENDS_SQL = [("ax1", "ay1"), ("ax2", "ay2"), ("bx1", "by1"), ("bx2", "by2")]
+MERGE_SQL = SEGMENT_SQL.replace("WITH r AS", "WITH RECURSIVE r AS") + f""",
+u AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (ORDER BY l_suppkey, x1, y1, x2, y2) AS id
+  FROM (SELECT l_suppkey, x1, y1, x2, y2, any_value(angle) AS angle, COUNT(*) AS w FROM s GROUP BY l_suppkey, x1, y1, x2, y2)),
+q AS (SELECT a.id AS ia, b.id AS ib, a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2
+  FROM u a JOIN u b ON a.l_suppkey = b.l_suppkey AND a.id < b.id AND abs(a.angle - b.angle) <= 0.05
+  AND a.x1 - 80 <= GREATEST(b.x1, b.x2) + 80 AND LEAST(b.x1, b.x2) - 80 <= GREATEST(a.x1, a.x2) + 80),
+f AS (SELECT *, {_axis_sql('4')} FROM (SELECT *, {_sums_sql(ENDS_SQL)} FROM q)),
+g AS (SELECT ia, ib, {", ".join(f"abs(({y} - y0) * vx - ({x} - x0) * vy) AS o{i}, ({x} - x0) * vx + ({y} - y0) * vy AS t{i}" for i, (x, y) in enumerate(ENDS_SQL))} FROM f),
+e AS MATERIALIZED (SELECT ia, ib FROM g WHERE GREATEST(o0, o1, o2, o3) <= 2 AND GREATEST(LEAST(t2, t3) - GREATEST(t0, t1), LEAST(t0, t1) - GREATEST(t2, t3), 0) <= 5),
+e2 AS MATERIALIZED (SELECT ia, ib FROM e UNION ALL SELECT ib, ia FROM e),
+reach AS (SELECT id AS a, id AS b FROM u UNION SELECT reach.a, e2.ib FROM reach JOIN e2 ON e2.ia = reach.b),
+member AS (SELECT u.*, c.comp FROM u JOIN (SELECT a, MIN(b) AS comp FROM reach GROUP BY a) c ON c.a = u.id),
+pt AS MATERIALIZED (SELECT l_suppkey, comp, w, UNNEST([x1, x2])::DOUBLE AS x, UNNEST([y1, y2])::DOUBLE AS y FROM member),
+ln AS MATERIALIZED (SELECT l_suppkey, comp, n / 2 AS support, {_axis_sql('n')}
+  FROM (SELECT l_suppkey, comp, SUM(w)::DOUBLE AS n, SUM(w * x) AS sx, SUM(w * y) AS sy, SUM(w * x * x) AS sxx, SUM(w * y * y) AS syy, SUM(w * x * y) AS sxy FROM pt GROUP BY l_suppkey, comp)),
+sp AS (SELECT ln.*, t0, t1 FROM ln JOIN (SELECT comp, MIN((x - x0) * vx + (y - y0) * vy) AS t0, MAX((x - x0) * vx + (y - y0) * vy) AS t1 FROM pt JOIN ln USING (l_suppkey, comp) GROUP BY comp) USING (comp)),
+en AS (SELECT l_suppkey, support, round_even(x0 + t0 * vx, 0)::INTEGER AS a, round_even(y0 + t0 * vy, 0)::INTEGER AS b, round_even(x0 + t1 * vx, 0)::INTEGER AS c,
+  round_even(y0 + t1 * vy, 0)::INTEGER AS d FROM sp),
+od AS (SELECT l_suppkey, support, CASE WHEN k THEN c ELSE a END AS x1, CASE WHEN k THEN d ELSE b END AS y1, CASE WHEN k THEN a ELSE c END AS x2, CASE WHEN k THEN b ELSE d END AS y2
+  FROM (SELECT *, d < b OR (d = b AND c < a) AS k FROM en))
+SELECT l_suppkey, support::BIGINT AS support_count, x1, y1, x2, y2, {near_sql('sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)')} AS length FROM od WHERE sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) >= 30
+"""
+
+
+@query("j5_merge_segments", MERGE_SQL)
 def merge_segments(spark, sf_dir):
-    return segments.merge_segments(
+    out = segments.merge_segments(
         raw_segments(spark, sf_dir), ["l_suppkey"], angle_tolerance=0.05, max_gap=5.0, max_distance=2.0, min_length=30.0
     )
+    return out.select("l_suppkey", "support_count", "x1", "y1", "x2", "y2", near("length").alias("length"))
 
 
 # --- streams ----------------------------------------------------------------------------------
