@@ -160,7 +160,8 @@ class Words:
     """The tokenizer behind two caches: words between white space, and the pieces its own pattern splits them into.
 
     White space never lies inside a piece, so a text's ids are those of its words, and a word's those of its pieces. Texts with
-    signs that Python and the tokenizer do not agree to be white space are given to the tokenizer whole.
+    signs that Python and the tokenizer do not agree to be white space, or with one of its added tokens in any case, are given to the
+    tokenizer whole, so its own rules for those tokens hold.
     """
 
     _of: dict[bytes, Words] = {}
@@ -169,7 +170,7 @@ class Words:
 
     def __init__(self, file: bytes) -> None:
         self.tokenizer = Tokenizer.from_buffer(file)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]
         self.closes = np.zeros(self.size, bool)
@@ -215,11 +216,15 @@ class Words:
         for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             words[w] = np.array(e.ids, "<u4").tobytes()
 
+    def _has_added(self, text: str) -> bool:
+        low = text.lower()
+        return any(t in low for t in self.added)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.words) > self.KEPT:
             self.words.clear(), self.plain.clear()
-        sure = [t.split() if t and not self.UNSURE.search(t) else None for t in texts]
+        sure = [t.split() if t and not self.UNSURE.search(t) and not self._has_added(t) else None for t in texts]
         new = set().union(*[w for w in sure if w]).difference(self.words)
         if new:
             self._learn(list(new))

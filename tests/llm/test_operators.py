@@ -236,7 +236,6 @@ def test_suffix_sort_survives_collisions(monkeypatch):
 def test_repair_files(docs, empty):
     file = public_tokenizers.path(queries.WORD_FILE)
     library = Tokenizer.from_file(file)
-    library.encode_special_tokens = True
     shards = repair.write_shards(docs, file)
     read = repair.read_shards(shards).collect()
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
