@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,18 +97,12 @@ def condition_label(columns: list[tuple[str, Column]]) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def feature_group(c: Column | str) -> Column:
-    """Family of a feature, from its name."""
-    c = col(c)
-    return (
-        F.when(c.contains("voltage") & c.contains("current"), "voltage_current_interaction")
-        .when(c.startswith("voltage"), "voltage")
-        .when(c.startswith("current"), "current")
-        .when(c.startswith("wfs"), "wfs")
-        .when(c.startswith("ctdw"), "ctdw")
-        .when(c.contains("wfs"), "wfs_interaction")
-        .otherwise("other")
-    )
+def labelled(c: Column | str, rules: Sequence[tuple[str, str]], otherwise: str) -> Column:
+    """The label of the first rule (pattern, label) whose pattern is found in the text."""
+    text, out = col(c), F.lit(otherwise)
+    for pattern, label in reversed(list(rules)):
+        out = F.when(text.rlike(pattern), label).otherwise(out)
+    return out
 
 
 def acquisition_mode(path: Column | str) -> Column:

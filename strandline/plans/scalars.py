@@ -313,6 +313,13 @@ FEATURE_SQL = """CASE WHEN l_linenumber = 1 THEN 'voltage_to_current_ratio' WHEN
  ELSE l_returnflag END"""
 
 
+# The groups under which importances of features are reported, by what their names hold.
+FEATURE_GROUPS = (
+    ("voltage.*current|current.*voltage", "voltage_current_interaction"), ("^voltage", "voltage"), ("^current", "current"), ("^wfs", "wfs"), ("^ctdw", "ctdw"),
+    ("wfs", "wfs_interaction"),
+)
+
+
 @query(
     "b26_feature_group",
     f"""WITH f AS (SELECT {LINE_KEY}, {FEATURE_SQL} AS f FROM lineitem)
@@ -321,7 +328,7 @@ FEATURE_SQL = """CASE WHEN l_linenumber = 1 THEN 'voltage_to_current_ratio' WHEN
     WHEN starts_with(f, 'ctdw') THEN 'ctdw' WHEN contains(f, 'wfs') THEN 'wfs_interaction' ELSE 'other' END AS grp FROM f""",
 )
 def feature_group(spark, sf_dir):
-    return lines(spark, sf_dir, "l_returnflag").select(*KEY, names.feature_group(F.expr(FEATURE_SQL)).alias("grp"))
+    return lines(spark, sf_dir, "l_returnflag").select(*KEY, names.labelled(F.expr(FEATURE_SQL), FEATURE_GROUPS, "other").alias("grp"))
 
 
 @query("b27_conform", f"SELECT l_quantity AS meas_time, l_linenumber::INTEGER AS frame_number, NULL::DOUBLE AS current FROM lineitem")
