@@ -182,6 +182,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 # --- near copies by their shingle sets, for keep_one
 
+HELD = 200_000  # shingles of compared texts that a worker holds, but for the two at hand
+STAYS = 1 << 20  # rows of five numbers that are sent to every task at most
 WORDS, SAMPLE, OFTEN, LISTED = 5, 5_000, 3, 200_000  # shingle length; texts counted, least count and most shingles of the order of shingles
 
 
@@ -203,12 +205,13 @@ def jaccard(a: str | None, b: str | None) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """``docs``, which has t and whatever else, with t replaced by two hashes of the words, a and b, and the words themselves, compressed as z."""
+def _texts(docs: DataFrame, words: bool = True) -> DataFrame:
+    """``docs``, which has t and whatever else, with t replaced by two hashes of the words, a and b, and, if asked, the words themselves, compressed as z."""
     at = docs.columns.index("t")
     kept = [c for c in docs.columns if c != "t"]
     none = F.lit(None)
-    out = docs.select(*kept, none.cast("long").alias("a"), none.cast("long").alias("b"), none.cast("binary").alias("z"))
+    out = docs.select(*kept, none.cast("long").alias("a"), none.cast("long").alias("b"), *([none.cast("binary").alias("z")] if words else []))
+    names, schema = out.columns, out.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -218,9 +221,10 @@ def _texts(docs: DataFrame) -> DataFrame:
                 plain = [b" ".join((t or "").encode().lower().split()) for t in batch.column(at).to_pylist()]
                 a, b = (pa.array(np.fromiter(map(f, plain), np.uint64, len(plain)).view(np.int64)) for f in (xxhash.xxh64_intdigest, xxhash.xxh3_64_intdigest))
                 others = [c for i, c in enumerate(batch.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*others, a, b, pa.array(map(pack, plain), pa.binary())], names=[*kept, "a", "b", "z"])
+                packed = [pa.array(map(pack, plain), pa.binary())] if words else []
+                yield pa.RecordBatch.from_arrays([*others, a, b, *packed], names=names)
 
-    return docs.mapInArrow(run, out.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -282,7 +286,7 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             held: dict[int, set[bytes]] = {}
             good = []
             for a, b, za, zb in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-                if len(held) > 500:
+                if len(held) > 500 or sum(map(len, held.values())) > HELD:
                     held.clear()
                 x, y = (held[i] if i in held else held.setdefault(i, set(_grams(unpack(z).split()))) for i, z in ((a, za), (b, zb)))
                 both = len(x & y)
@@ -347,13 +351,21 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     by a hash of their other columns. Rows without words, null or empty, are one component. Columns of any name and type are kept as they are.
     """
     columns = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    rows = written(_texts(boxed.select(F.col(f"row.`{key}`").alias("k"), F.col(f"row.`{text}`").alias("t"))), "near-rows")
-    roots = _near_components(rows)
-    stays = written(roots.groupBy("root").agg(F.min(F.struct("low", "a", "b")).alias("s")).select("s.*"), "near-stays")
-    # the texts are hashed once more, so that whole rows are moved only if they stay
-    again = _texts(boxed.select("row", F.coalesce(F.col(f"row.`{key}`").cast("long"), F.lit(NULL_ID)).alias("low"), F.col(f"row.`{text}`").alias("t"))).drop("z")
-    kept = again.join(stays, ["low", "a", "b"])
     plain = [f.name for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
-    once = kept.groupBy("low", "a", "b").agg(F.min_by("row", F.xxhash64(*[F.col(f"row.`{c}`") for c in plain])).alias("row"))
-    return once.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    low = F.coalesce(F.col(f"row.`{key}`").cast("long"), F.lit(NULL_ID)).alias("low")
+    told = [low, F.xxhash64(*[F.col(f"row.`{c}`") for c in plain]).alias("h"), F.col(f"row.`{text}`").alias("t")]
+    rows = written(_texts(boxed.select(F.col(f"row.`{key}`").alias("k"), *told)), "near-rows")
+    stays = _near_components(rows).groupBy("root").agg(F.min(F.struct("low", "a", "b")).alias("s")).select("s.*")
+    ones = rows.groupBy("low", "a", "b", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("low", "a", "b").agg(F.min(F.struct("h", "n")).alias("r"))
+    chosen = written(stays.join(ones, ["low", "a", "b"]).select("low", "a", "b", "r.h", "r.n"), "near-stays")
+    # the texts are hashed once more: rows are told by numbers, and only rows that occur more than once are moved
+    again = _texts(boxed.select("row", *told), words=False)
+    small = chosen.count() <= STAYS
+    at = ["low", "h", "a", "b"]
+    once = chosen.filter("n = 1").select(*at)
+    kept = again.join(F.broadcast(once) if small else once, at, "left_semi").select("row")
+    more = chosen.filter("n > 1").select(*at)
+    if not more.isEmpty():
+        kept = kept.unionByName(again.join(F.broadcast(more) if small else more, at, "left_semi").dropDuplicates(at).select("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
