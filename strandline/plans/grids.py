@@ -10,21 +10,30 @@ from pyspark.sql import functions as F
 from strandline.operators import grid, linear
 from strandline.plans.models import CHUNK_SEQ, X, Y
 from strandline.plans.registry import ORACLES, query
-from strandline.plans.splits import CHUNK_SQL, chunks
+from strandline.plans.splits import CHUNK_SQL, chunks, roles_sql
 from strandline.plans.stand_ins import near, near_sql
 from strandline.session import cut_lineage
 
 ORDERS = ([0, 1, 3, 5, 10, 25, 50], [0, 1, 3, 5, 10, 25, 50], [0, 1, 2, 3, 4, 5])  # fixed values: the published 294 combinations
 
-STRIPED_SQL = CHUNK_SQL + f""",
-m AS MATERIALIZED (SELECT l_suppkey, chunk_index, sample_index - source_row_start AS p, {Y} AS y,
-  CASE WHEN (l_suppkey + chunk_index) % 5 < 3 THEN 'train' WHEN (l_suppkey + chunk_index) % 5 = 3 THEN 'validation' ELSE 'test' END AS role,
-  {", ".join(f"LAG({Y}, {k}) OVER w AS y{k}" for k in (1, 2))},
+
+def lag_rows_sql(head: str, role: str, source: str = "c") -> str:
+    """CTEs up to ``m``: chunk rows with their role and the lags that the candidates use."""
+    return head + f""",
+m AS MATERIALIZED (SELECT l_suppkey, chunk_index, sample_index - source_row_start AS p, {Y} AS y, {role} AS role,
+  {", ".join(f"LAG({Y}, {k}) OVER w AS y{k}" for k in (1, 2, 3))},
   {", ".join(f"LAG({c}, {k}) OVER w AS {n}{k}" for c, n in ((X, "u"), ("l_tax", "v")) for k in range(4))}
-  FROM c WINDOW w AS (PARTITION BY l_suppkey, chunk_index ORDER BY sample_index))
+  FROM {source} WINDOW w AS (PARTITION BY l_suppkey, chunk_index ORDER BY sample_index))
 """
 
 
+STRIPED_SQL = lag_rows_sql(CHUNK_SQL, "CASE WHEN (l_suppkey + chunk_index) % 5 < 3 THEN 'train' WHEN (l_suppkey + chunk_index) % 5 = 3 THEN 'validation' ELSE 'test' END")
+SHUFFLED_SQL = lag_rows_sql(
+    roles_sql(50) + ", placed AS (SELECT l_suppkey, chunk_index, role AS placed_role FROM roles JOIN won USING (l_suppkey, t))",
+    "placed_role", "c JOIN placed USING (l_suppkey, chunk_index)",
+)
+
+
 @dataclass(frozen=True)
 class SqlModel:
     """A candidate as SQL expressions over ``m``: base terms, the first usable row, powers of standardised terms and a penalty."""
@@ -58,6 +67,9 @@ def solved_sql(models: list[SqlModel]) -> str:
         cells = [(i, j) for i in range(len(terms)) for j in range(len(terms))]
         penalty = lambda i, j: f" + {x.alpha!r}" if i == j and i > 0 and x.powers is not None else ""  # noqa: B023, E731
         values = [f"SUM({terms[i]} * {terms[j]}){penalty(i, j)}" for i, j in cells] + [f"SUM({t} * y)" for t in terms]
+        if not terms:
+            out[-1] = f"d{k} AS MATERIALIZED (SELECT role, l_suppkey, chunk_index, p, y FROM m WHERE p >= {x.start})"
+            continue
         rows, columns = [i for i, _ in cells] + list(range(len(terms))), [j for _, j in cells] + [-1] * len(terms)
         sums.append(f"SELECT {k} AS m, UNNEST({rows}) AS i, UNNEST({columns}) AS j, UNNEST([{', '.join(values)}]) AS v FROM d{k} WHERE role = 'train'")
     out.append(f"g0 AS MATERIALIZED ({' UNION ALL '.join(sums)})")
@@ -69,15 +81,23 @@ def solved_sql(models: list[SqlModel]) -> str:
     return ",\n" + ",\n".join(out)
 
 
-def scored_sql(models: list[SqlModel], labels: list[str]) -> str:
+def errors_sql(e: str, y: str, n_params: int) -> str:
+    """Further errors of a model, with its information criteria."""
+    deviance = f"COUNT({e}) * (ln(2 * pi() * SUM(pow({e}, 2)) / COUNT({e})) + 1)"
+    return f"""{near_sql(f"AVG(abs({e}))", 5)} AS mae, {near_sql(f"1 - SUM(pow({e}, 2)) / (COUNT({e}) * var_pop(CASE WHEN {e} IS NOT NULL THEN {y} END))", 5)} AS r2,
+    {near_sql(f"{deviance} + 2 * {n_params + 1}", 2)} AS aic, {near_sql(f"{deviance} + {n_params + 1} * ln(COUNT({e}))", 2)} AS bic"""
+
+
+def scored_sql(models: list[SqlModel], labels: list[str], head: str = STRIPED_SQL, more: bool = False) -> str:
     """One row per model: its label columns, training rows and validation error, one step ahead."""
     parts = []
     for k, (x, label) in enumerate(zip(models, labels)):
-        predicted = " + ".join(f"w[{i + 1}] * {t}" for i, t in enumerate(_terms(x)))
+        predicted = " + ".join(f"w[{i + 1}] * {t}" for i, t in enumerate(_terms(x))) or "0"
+        extra = f", {errors_sql(f'(y - ({predicted}))', 'y', len(_terms(x)))}" if more else ""
         parts.append(f"""SELECT {label}, {len(_terms(x))} AS n_params, (SELECT COUNT(*) FROM d{k} WHERE role = 'train') AS n_train, COUNT(*) AS n_samples,
-        {near_sql(f'sqrt(AVG(pow(y - ({predicted}), 2)))', 5)} AS rmse, 'ok' AS status
+        {near_sql(f'sqrt(AVG(pow(y - ({predicted}), 2)))', 5)} AS rmse, 'ok' AS status{extra}
         FROM d{k}, (SELECT list(v ORDER BY i) AS w FROM theta WHERE m = {k}) WHERE role = 'validation'""")
-    return STRIPED_SQL + solved_sql(models) + " UNION ALL ".join(parts)
+    return head + solved_sql(models) + " UNION ALL ".join(parts)
 
 
 def striped(spark, sf_dir):
@@ -114,7 +134,7 @@ def grid_orders(spark, sf_dir):
 FREE_ORDERS = [(na, 1, nk) for na in (0, 1, 2) for nk in (0, 1)]
 
 
-def free_run_sql() -> str:
+def free_run_sql(head: str = STRIPED_SQL, more: bool = False) -> str:
     models = [SqlModel(lagged(*o, "u"), max(o[0], o[2])) for o in FREE_ORDERS]
     runs, scores = [], []
     for k, ((na, nb, nk), x) in enumerate(zip(FREE_ORDERS, models)):
@@ -123,9 +143,10 @@ def free_run_sql() -> str:
           UNION ALL SELECT role, l_suppkey, chunk_index, -1, NULL, NULL, 0.0, 0.0 FROM m WHERE p = 0 AND {x.start} = 0
           UNION ALL SELECT m.role, m.l_suppkey, m.chunk_index, m.p, m.y, CASE WHEN m.p >= {x.start} THEN {step} END, CASE WHEN m.p >= {x.start} THEN {step} ELSE m.y END, s.v1
           FROM f{k} s JOIN m ON m.l_suppkey = s.l_suppkey AND m.chunk_index = s.chunk_index AND m.p = s.p + 1, (SELECT list(v ORDER BY i) AS w FROM theta WHERE m = {k}))""")
+        extra = f", {errors_sql('(y - out)', 'y', na + 1)}" if more else ""
         scores.append(f"""SELECT {na} AS na, {nb} AS nb, {nk} AS nk, {na + 1} AS n_params, (SELECT COUNT(*) FROM d{k} WHERE role = 'train') AS n_train,
-        COUNT(out) AS n_samples, {near_sql('sqrt(AVG(pow(y - out, 2)))', 5)} AS rmse, 'ok' AS status FROM f{k} WHERE role = 'validation'""")
-    head = STRIPED_SQL.replace("WITH r AS", "WITH RECURSIVE r AS")
+        COUNT(out) AS n_samples, {near_sql('sqrt(AVG(pow(y - out, 2)))', 5)} AS rmse, 'ok' AS status{extra} FROM f{k} WHERE role = 'validation'""")
+    head = head.replace("WITH r AS", "WITH RECURSIVE r AS")
     return head + solved_sql(models) + ",\n" + ",\n".join(runs) + " UNION ALL ".join(scores)
 
 
@@ -197,9 +218,16 @@ def _ridge_oracle() -> str:
     x = SqlModel(lagged(2, 2, 0, "uv"), 2, linear.additive_terms(6, 3, 2), 1.0)
     base = linear.LinearModel(Y, (X, "l_tax"), 2, 2, 0, (), 0)
     names = linear.PowerModel(base, (), (), x.powers, 1.0, (0.0, 0.0)).names
-    every_row = STRIPED_SQL.replace("m AS MATERIALIZED (SELECT l_suppkey", "m AS MATERIALIZED (SELECT * REPLACE ('train' AS role) FROM (SELECT l_suppkey") + ")"
+    every_row = lag_rows_sql(CHUNK_SQL, "'train'")
     listed = ", ".join(f"'{n}'" for n in names)
     return every_row + solved_sql([x]) + f"SELECT ([{listed}])[i + 1] AS name, {near_sql('v')} AS value FROM theta"
 
 
 ORACLES["k2_fit_power_ridge"] = _ridge_oracle()
+
+
+SEARCHED = [(na, nb, nk) for na in (0, 1, 3) for nb in (0, 1, 3) for nk in (0, 1)]
+ORACLES["k3_grid_search"] = scored_sql(
+    [SqlModel(lagged(*o, "uv"), max(o[0], o[2] + o[1] - 1 if o[1] else 0)) for o in SEARCHED], [f"{na} AS na, {nb} AS nb, {nk} AS nk" for na, nb, nk in SEARCHED], SHUFFLED_SQL, True
+)
+ORACLES["k3_grid_search_free_run"] = free_run_sql(SHUFFLED_SQL, True)

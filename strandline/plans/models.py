@@ -148,12 +148,18 @@ def split_rows(spark, sf_dir):
     return cut_lineage(rows.join(roles, ["l_suppkey", "chunk_index"]))
 
 
+def shown_scores(scores):
+    """Scores of a search, rounded for a comparison."""
+    digits = {"rmse": 5, "mae": 5, "r2": 5, "aic": 2, "bic": 2}
+    return scores.select("na", "nb", "nk", "n_params", "n_train", "n_samples", "status", *[near(c, d).alias(c) for c, d in digits.items()])
+
+
 @query("k3_grid_search")
 def grid_search(spark, sf_dir):
     rows = split_rows(spark, sf_dir)
     train, validation = (rows.filter(F.col("split_role") == r) for r in ("train", "validation"))
     scores, _ = grid.grid_search(train, validation, CHUNK_SEQ, Y, [X, "l_tax"], [0, 1, 3], [0, 1, 3], [0, 1])
-    return metrics.ranked(scores, "selection_score", "na", "nb", "nk")
+    return shown_scores(metrics.ranked(scores, "selection_score", "na", "nb", "nk"))
 
 
 @query("k3_grid_search_free_run")
@@ -161,7 +167,7 @@ def grid_search_free_run(spark, sf_dir):
     rows = split_rows(spark, sf_dir)
     train, validation = (rows.filter(F.col("split_role") == r) for r in ("train", "validation"))
     scores, _ = grid.grid_search(train, validation, CHUNK_SEQ, Y, [X], [0, 1, 2], [1], [0, 1], mode="free_run", metric="bic")
-    return scores
+    return shown_scores(scores)
 
 
 @query("k3_live_inputs")
