@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import lean
+
 NONE = np.int64(1 << 40)  # rank of a pair that does not merge
 CLASSES = (2, 4, 8, 12, 16, 24, 32, 64, 128)  # row lengths; longer pieces go through the heap, with the same result
 KEPT = 200_000  # distinct pieces a worker remembers before it starts anew
@@ -230,7 +232,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", i
             arrays[out] = pa.array(codec.encode(batch.column(at).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def decode(rows: DataFrame, ranks_file: str, pattern: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
@@ -247,7 +249,7 @@ def decode(rows: DataFrame, ranks_file: str, pattern: str, ids: str = "ids", out
             arrays[to] = pa.array([codec.decode(x or []) for x in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(lean(run), rows.schema)
 
 
 def digests(docs: DataFrame, ranks_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,4 +283,4 @@ def digests(docs: DataFrame, ranks_file: str, pattern: str, key: str = "doc_id",
                 names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

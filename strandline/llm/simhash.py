@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import NULL_ID, written
+from strandline.llm.common import NULL_ID, lean, written
 
 SEGMENTS, WIDTH, DIFFER = 4, 16, 3
 BUDGET = tuple(i * DIFFER // SEGMENTS for i in range(1, SEGMENTS + 1))  # 0, 1, 2, 3
@@ -56,7 +56,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerpri
             prints = np.fromiter((fingerprint(t, shingle) for t in batch.column(at).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def _segment(i: int):
@@ -140,7 +140,7 @@ def links(prints: DataFrame) -> DataFrame:
 
     # buckets with a visitor may have one home; those without need two
     grouped = members.repartition("key").sortWithinPartitions("key", "home", "fp")
-    return grouped.select("key", "fp", "home").mapInArrow(run, "a long, b long").distinct()
+    return grouped.select("key", "fp", "home").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def _texts(docs: DataFrame, words: bool = True) -> DataFrame:
                 packed = [pa.array(map(pack, plain), pa.binary())] if words else []
                 yield pa.RecordBatch.from_arrays([*others, a, b, *packed], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +238,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for z in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(_shingles(unpack(z).split()).view(np.int64))], names=["h"])
 
-    counted = picked.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= OFTEN)
+    counted = picked.mapInArrow(lean(run), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= OFTEN)
     rows = counted.orderBy(F.desc("c"), "h").limit(LISTED).collect()
     found = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -267,7 +267,7 @@ def _rarest(texts: DataFrame) -> DataFrame:
             columns = [key, np.repeat(np.array(ids, np.int64), count), np.repeat(np.array(sizes, np.int32), count), pos.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "n", "pos"])
 
-    return texts.select("id", "z").mapInArrow(run, "key long, id long, n int, pos int")
+    return texts.select("id", "z").mapInArrow(lean(run), "key long, id long, n int, pos int")
 
 
 def _possible(a: str, b: str) -> Column:
@@ -293,7 +293,7 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good.append(5 * both >= 4 * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(lean(run), "a long, b long")
 
 
 def _near_components(rows: DataFrame) -> DataFrame:

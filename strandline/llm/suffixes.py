@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import NULL_ID, written
+from strandline.llm.common import NULL_ID, lean, written
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # grams of a window
@@ -164,7 +164,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
         if found:
             yield settle()
 
-    return docs.select("d", "row", "text").mapInArrow(run, "k long, c long, d long, at long")
+    return docs.select("d", "row", "text").mapInArrow(lean(run), "k long, c long, d long, at long")
 
 
 # --- the suffix sort
@@ -334,7 +334,7 @@ def _sorted_edges(pieces: DataFrame) -> DataFrame:
         if held:
             yield from sort(held)
 
-    return pieces.select("k", "chunk", "hot", "d", "at", "body").mapInArrow(run, "d long, at long, window binary, start long, row long")
+    return pieces.select("k", "chunk", "hot", "d", "at", "body").mapInArrow(lean(run), "d long, at long, window binary, start long, row long")
 
 
 def offsets_of(body: list[bytes], length: np.ndarray) -> list[int]:
@@ -376,8 +376,8 @@ def _confirmed(squeezed: DataFrame, claims: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(same, pa.bool_())], names=[*names[:6], "same"])
 
     plain = "k long, c long, d long, at long, late boolean, single boolean"
-    bodies = squeezed.select("d", "row", "z").join(wanted, "d").select("d", "row", "z", "wanted").mapInArrow(cut, f"{plain}, body binary")
-    return bodies.repartition("k", "c").sortWithinPartitions("k", "c", "d", "at").mapInArrow(compare, f"{plain}, same boolean")
+    bodies = squeezed.select("d", "row", "z").join(wanted, "d").select("d", "row", "z", "wanted").mapInArrow(lean(cut), f"{plain}, body binary")
+    return bodies.repartition("k", "c").sortWithinPartitions("k", "c", "d", "at").mapInArrow(lean(compare), f"{plain}, same boolean")
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -419,7 +419,7 @@ def covered(docs: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    bodies = squeezed.join(wanted, "d").select("d", "row", "z", "wanted").mapInArrow(cut, "k long, chunk int, hot boolean, d long, at long, body binary")
+    bodies = squeezed.join(wanted, "d").select("d", "row", "z", "wanted").mapInArrow(lean(cut), "k long, chunk int, hot boolean, d long, at long, body binary")
     found = written(_sorted_edges(bodies.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "d", "at")), "suffix-found")
     rivals = found.filter("window is not null")
     first = rivals.groupBy("window").agg(F.min(F.struct("d", "start")).alias("first"))
@@ -453,7 +453,7 @@ def _squeezed(rows: DataFrame) -> DataFrame:
             z = pa.array([pack(t.encode()) for t in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != at], z], names=names)
 
-    return rows.mapInArrow(run, out.schema)
+    return rows.mapInArrow(lean(run), out.schema)
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> list:
@@ -491,7 +491,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 names=["_row", "text", "empty", "n_bytes", "spans", "kept"],
             )
 
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(lean(run), schema)
     return out.select(*[F.when(~F.col("empty"), F.col("text")).alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in rest], "n_bytes", "spans", "kept")
 
 
@@ -507,7 +507,7 @@ def with_text(cleaned: DataFrame, text: str = "text") -> DataFrame:
                 columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return cleaned.mapInArrow(run, cleaned.schema)
+    return cleaned.mapInArrow(lean(run), cleaned.schema)
 
 
 def digest_columns(cleaned: DataFrame, key: str = "doc_id") -> DataFrame:
