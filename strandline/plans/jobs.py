@@ -8,10 +8,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.names import frame_number
 from strandline.functions.scalars import clip_low, to_bool
-from strandline.operators import align, clean
+from strandline.operators import align, anomaly, clean, track
 from strandline.operators.repair import repair_runs
-from strandline.sequence import Sequence
+from strandline.sequence import Sequence, with_position
 from strandline.sources import files
 
 
@@ -104,3 +105,58 @@ def align_experiments(
     for name, column in finalize:
         out = out.withColumn(name, column)
     return out
+
+
+@dataclass(frozen=True)
+class ImageSpec:
+    """What the detectors give per image, the rules, and the frames to keep (both ends included)."""
+
+    critical: tuple[str, ...]
+    blobs: str  # array of structs with x and y
+    bucket: str | None = None  # of the frame number, for sources too long for one task
+    start: int | None = None
+    end: int | None = None
+    scores: anomaly.AnomalyRules = anomaly.AnomalyRules()
+    tracks: track.TrackRules = track.TrackRules()
+
+
+def analyse_sources(images: DataFrame, found: DataFrame, spec: ImageSpec, path: str) -> Run:
+    """From the images of all sources to tracks, scores and a summary: every table is written below ``path`` and read back by the next.
+
+    ``images`` has the column ``path``; ``found`` the detectors' values per ``source_name`` and ``frame``, the first of equal rows
+    counting. An image without any gets missing values and no blobs; a source without images gives no rows. Tracks advance by the
+    images that are there, so a gap in their numbers is no frame without detections. Of images of one source and frame the first path counts.
+    """
+    key = ["source_name", "frame"]
+    seq = Sequence(("source_name",), ("frame",), spec.bucket, axis="frame")
+    tagged = files.tag_sources(images.select("path"), "path").withColumn("frame", frame_number("image_name"))
+    if spec.start is not None:
+        tagged = tagged.filter(F.col("frame") >= spec.start)
+    if spec.end is not None:
+        tagged = tagged.filter(F.col("frame") <= spec.end)
+    ordered = with_position(align.first_per_key(tagged, key, ["path"]), seq, "tick")
+    values = found.select(*key, *spec.critical, spec.blobs)
+    joined = align.attach_detections(ordered.select(*key, "tick", "image_name", "mode"), values, key, list(spec.critical))
+
+    run = Run()
+
+    def kept(name: str, df: DataFrame) -> DataFrame:
+        files.write(df, f"{path}/{name}")
+        run.tables[name] = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+        return run.tables[name]
+
+    detections = kept("detections", joined)
+    points = detections.select(*key, "tick", F.posexplode(spec.blobs).alias("blob", "at")).select(*key, "tick", "blob", "at.x", "at.y")
+    points = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    confirmed = track.track_objects(points, seq.keys, "frame", "x", "y", "blob", spec.tracks, spec.bucket, tick="tick")
+    numbered = track.compact_ids(kept("confirmed", confirmed), seq.keys, "track_key", ["frame"])
+    tracks = kept("tracks", numbered.select(*key, "blob", "x", "y", "track_id"))
+    one = Sequence(("source_name", "track_id"), ("frame",), spec.bucket, axis="frame")
+    kept("speeds", track.track_speed(tracks, one, "frame", "x", "y"))
+    kept("trajectories", track.displacement(tracks, one.keys, "frame", "x", "y"))
+    scores = kept("anomalies", anomaly.anomaly_score(detections.drop(spec.blobs), seq, list(spec.critical), spec.scores))
+
+    summary = anomaly.anomaly_summary(scores, ("source_name", "mode"))
+    moved = tracks.groupBy("source_name").agg(F.count("*").alias("points"), F.count_distinct("track_id").alias("tracks"))
+    kept("sources", summary.join(moved, "source_name", "left").na.fill(0, ["points", "tracks"]))
+    return run

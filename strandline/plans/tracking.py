@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from strandline.operators import segments, track
 from strandline.plans.ingest import fresh
+from strandline.plans.jobs import ImageSpec, analyse_sources
 from strandline.plans.registry import query
-from strandline.plans.stand_ins import LINE_KEY, W_LINE, line_seq, lines, near, near_sql, table
+from strandline.plans.stand_ins import EVENT_SEQ, LINE_KEY, W_LINE, events, line_seq, lines, near, near_sql, table
+from strandline.plans.windows import SCORE_SQL
 from strandline.sequence import with_position
 from strandline.session import cut_lineage
 from strandline.streaming import ordered
@@ -293,6 +295,47 @@ def track_alone(spark, sf_dir):
     return track.compact_ids(cut_lineage(tracked), ("l_suppkey",), "track_key", ["frame"]).select("l_suppkey", "frame", "detection", "x", "y", "track_id")
 
 
+def image_run(spark, sf_dir):
+    """Users as sources, their events as images in order of time: each but a view shows one blob."""
+    numbered = with_position(events(spark, sf_dir), EVENT_SEQ, "frame").withColumn("source_name", F.format_string("user_%d", "user_id"))
+    folder = F.when(F.col("user_id") % 2 == 0, "Backlit").otherwise("other")
+    images = numbered.select(F.format_string("/data/%s/%s/frame_%06d.png", folder, "source_name", "frame").alias("path"))
+    blob = F.struct(F.col("value").alias("x"), F.col("k").alias("y"))
+    found = numbered.select(
+        "source_name", "frame", F.when(F.col("event_type") != "error", F.col("value")).alias("a"), "k",
+        F.when(F.col("event_type") != "view", F.array(blob)).otherwise(F.array().cast("array<struct<x:double,y:double>>")).alias("blobs"),
+    )
+    return analyse_sources(images, found, ImageSpec(("a", "k"), "blobs", tracks=ALONE_RULES), fresh(spark, "images"))
+
+
+IMAGE_TRACK_SQL = single_track_sql(
+    """SELECT user_id AS key, frame, event_id AS item, trunc(value)::INTEGER AS x, trunc(k)::INTEGER AS y FROM (SELECT event_id, user_id, event_type, value,
+    TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events)
+    WHERE event_type <> 'view' AND value IS NOT NULL AND k IS NOT NULL""", ALONE_RULES, "frame",
+)
+
+
+@query(
+    "image_job_sources",
+    f"""SELECT concat('user_', e.user_id) AS source_name, CASE WHEN e.user_id % 2 = 0 THEN 'backlit' ELSE 'laserlit' END AS mode, e.flagged, e.total,
+    {near_sql('e.flagged / e.total')} AS ratio, e.flagged / e.total > 0.10 AS recheck, COALESCE(m.points, 0) AS points, COALESCE(m.tracks, 0) AS tracks
+    FROM ({SCORE_SQL} SELECT user_id, SUM(anomaly)::BIGINT AS flagged, COUNT(*) AS total FROM s GROUP BY user_id) e
+    LEFT JOIN ({IMAGE_TRACK_SQL} SELECT key, COUNT(*) AS points, COUNT(DISTINCT id) AS tracks FROM t WHERE confirmed GROUP BY key) m ON m.key = e.user_id""",
+)
+def image_job_sources(spark, sf_dir):
+    """The summary that the job writes last, from every table before it."""
+    return image_run(spark, sf_dir).tables["sources"].withColumn("ratio", near("ratio"))
+
+
+@query(
+    "image_job_tracks",
+    IMAGE_TRACK_SQL + """SELECT concat('user_', key) AS source_name, frame, 0 AS blob, x, y, (DENSE_RANK() OVER (PARTITION BY key ORDER BY id) - 1)::INTEGER AS track_id
+    FROM t WHERE confirmed""",
+)
+def image_job_tracks(spark, sf_dir):
+    return image_run(spark, sf_dir).tables["tracks"]
+
+
 LANES = 16
 
 
