@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 HELD = 200_000  # shingles of compared texts that a worker holds, but for the two at hand
 STAYS = 1 << 20  # rows of five numbers that are sent to every task at most
 WORDS, SAMPLE, OFTEN, LISTED = 5, 5_000, 3, 200_000  # shingle length; texts counted, least count and most shingles of the order of shingles
+PARITIES = 1024  # parity bits of a text's shingles
 
 
 def _grams(words: list[bytes]) -> list[bytes]:
@@ -199,6 +200,15 @@ def _shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
 
 
+def _parities(found: np.ndarray) -> np.ndarray:
+    """Of each of PARITIES bits, whether an odd number of the shingles falls to it, as longs.
+
+    Two sets of shingles differ in at least as many shingles as their parities in bits.
+    """
+    odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def jaccard(a: str | None, b: str | None) -> float:
     """Likeness of two texts by the shingles themselves; 1 if both have none."""
     x, y = (set(_grams((t or "").encode().lower().split())) for t in (a, b))
@@ -227,6 +237,27 @@ def _texts(docs: DataFrame, words: bool = True) -> DataFrame:
     return docs.mapInArrow(lean(run), schema)
 
 
+def _sized(texts: DataFrame) -> DataFrame:
+    """``texts``, which has z, with the number n of shingles and their parities as ``bits``."""
+    at = texts.columns.index("z")
+    out = texts.select("*", F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<long>").alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1000):
+                batch = whole.slice(s, 1000)
+                sizes, bits = [], []
+                for z in batch.column(at).to_pylist():
+                    found = _shingles(unpack(z).split())
+                    sizes.append(len(found)), bits.append(_parities(found))
+                added = [pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=out_names)
+
+    out_names = out.columns
+    return texts.mapInArrow(lean(run), out.schema)
+
+
 def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of the texts has often, and how often. They only set the order of shingles: any order finds all pairs."""
     share = min(1.0, SAMPLE / max(1, texts.count()))
@@ -277,7 +308,14 @@ def _possible(a: str, b: str) -> Column:
 
 
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose Jaccard, by the shingles themselves, is 0.8 or more."""
+    """The pairs (a, b) whose Jaccard, by the shingles themselves, is 0.8 or more.
+
+    At 0.8 two texts of n shingles together differ in at most n / 9. Texts are brought together only where their parities allow that.
+    """
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, c: total + c)
+    pairs = pairs.filter(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
     left, right = (texts.select(F.col("id").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +341,7 @@ def _near_components(rows: DataFrame) -> DataFrame:
     """
     distinct = rows.groupBy("a", "b").agg(F.min(F.coalesce(F.col("k").cast("long"), F.lit(NULL_ID))).alias("low"), F.min("z").alias("z"))
     clash = F.count(F.lit(1)).over(Window.partitionBy("a")) > 1
-    texts = written(distinct.withColumn("id", F.when(clash, F.col("a").bitwiseXOR(F.col("b"))).otherwise(F.col("a"))), "near-texts")
+    texts = written(_sized(distinct.withColumn("id", F.when(clash, F.col("a").bitwiseXOR(F.col("b"))).otherwise(F.col("a")))), "near-texts")
     members = _rarest(texts).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1").drop("m")
     members = written(members, "near-members")
     me = F.struct("id", "n", "pos")
