@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions.names import normalize_stem
 from strandline.sequence import Sequence, carry
+from strandline.session import cut_lineage
 
 
 def first_per_key(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
@@ -133,7 +137,8 @@ def interpolate_to(
     return both.filter(F.col("__kind") == 1).select(*base, *[value(c).alias(c) for c in columns])
 
 
-GRAM = 3  # characters of the keys by which a name finds the names it lies in
+GRAMS = (3, 6, 12)  # characters of the keys by which a name finds the names it lies in: the longest that the name has
+LEFT_SETS, RIGHT_SETS = 4_000, 40_000  # sets of frequent tokens that one task compares
 
 
 def _tokens(c: str) -> Column:
@@ -150,22 +155,70 @@ def _grams(c: str, n: int) -> Column:
 def _contained(subs: DataFrame, wholes: DataFrame) -> DataFrame:
     """(sub, whole): every name of ``subs`` that lies in a different name of ``wholes``; both have ``stem``, distinct.
 
-    A name of GRAM characters or more is looked up by the one of its grams that fewest wholes have, so each whole gives as many
-    rows as it has characters. Shorter names, of which there are few, are looked up by themselves.
+    A name is looked up by the one of its longest grams that fewest wholes have, so each whole gives a few rows of 16 bytes for
+    each of its characters and a candidate shares a rare text with it. Names shorter than all grams, of which there are few, are
+    looked up by themselves. No side is broadcast: a small file can hold many names.
     """
     short = F.array_union(F.array(F.lit("")), F.array_union(_grams("whole", 1), _grams("whole", 2)))
     named = wholes.select(F.col("stem").alias("whole"))
-    tiny = named.select("whole", F.explode(short).alias("sub")).join(subs.select(F.col("stem").alias("sub")), "sub")
-    held = named.select("whole", F.explode(_grams("whole", GRAM)).alias("gram"))
+    brief = subs.filter(F.length("stem") < GRAMS[0]).select(F.col("stem").alias("sub"))
+    tiny = named.select("whole", F.explode(short).alias("sub")).join(brief.hint("merge"), "sub")
+    hashed = lambda c, n: F.transform(_grams(c, n), lambda g: F.xxhash64(g))  # noqa: E731  (a clash only adds a candidate)
+    sizes = F.concat(*[hashed("whole", n) for n in GRAMS])
+    held = named.select(F.xxhash64("whole").alias("id"), F.explode(sizes).alias("gram"))
     often = held.groupBy("gram").agg(F.count("*").alias("n"))
-    mine = subs.filter(F.length("stem") >= GRAM).select(F.col("stem").alias("sub"), F.explode(_grams("stem", GRAM)).alias("gram"))
+    longest = hashed("stem", GRAMS[0])
+    for n in GRAMS[1:]:
+        longest = F.when(F.length("stem") >= n, hashed("stem", n)).otherwise(longest)
+    mine = subs.filter(F.length("stem") >= GRAMS[0]).select(F.col("stem").alias("sub"), F.explode(longest).alias("gram"))
     # a gram that no whole has rules the name out: its count is then 0
-    keyed = mine.join(often, "gram", "left").groupBy("sub").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k"))
+    keyed = mine.join(often.hint("merge"), "gram", "left").groupBy("sub").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k"))
     keyed = keyed.filter("k.n > 0").select("sub", F.col("k.gram").alias("gram"))
-    found = held.join(keyed, "gram").filter(F.contains("whole", "sub")).select("sub", "whole")
+    met = held.join(keyed.hint("merge"), "gram").select("id", "sub")
+    found = met.join(named.withColumn("id", F.xxhash64("whole")).hint("merge"), "id").filter(F.contains("whole", "sub")).select("sub", "whole")
     return tiny.select("sub", "whole").unionByName(found).filter("sub <> whole")
 
 
+def meet_sets(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+    """For each set of ``mine`` the set of ``theirs`` with most common tokens, then closest size ``n``, then greatest ``best``; none without a common token."""
+    theirs = theirs.sort_by([("best", "descending")])
+    tokens = theirs.column("set").combine_chunks()
+    kinds = tokens.flatten().dictionary_encode()
+    owner = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+    code = kinds.indices.to_numpy(zero_copy_only=False)
+    posted = owner[np.argsort(code, kind="stable")]
+    at = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(kinds.dictionary)))])
+    sizes, own_sizes = theirs.column("n").to_numpy().astype(np.int64), mine.column("n").to_numpy().astype(np.int64)
+    wanted = mine.column("set").combine_chunks()
+    codes = pc.fill_null(pc.index_in(wanted.flatten(), value_set=kinds.dictionary), -1).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy(zero_copy_only=False))])
+    weight = int(max(sizes.max(initial=0), own_sizes.max(initial=0))) + 1
+    rows, others, shared = [], [], []
+    for i, n in enumerate(own_sizes.tolist()):
+        known = [c for c in codes[ends[i] : ends[i + 1]].tolist() if c >= 0]
+        if known:
+            common = np.bincount(np.concatenate([posted[at[c] : at[c + 1]] for c in known]), minlength=len(sizes))
+            j = int(np.argmax(common * weight - np.abs(sizes - n)))
+            rows.append(i)
+            others.append(j)
+            shared.append(int(common[j]))
+    kept = mine.take(pa.array(rows, pa.int64()))
+    apart = -np.abs(sizes[others] - own_sizes[rows]) if rows else np.empty(0)
+    return pa.table({"set_l": kept.column("set").cast(pa.list_(pa.string())), "n_l": kept.column("n"), "a": pa.array(shared, pa.int32()), "b": pa.array(apart.astype(np.int32)),
+                     "best": theirs.column("best").take(pa.array(others, pa.int64()))})
+
+
+def _best_sets(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """``meet_sets`` of all sets: blocks of both sides meet in one task each, and the best of a set's blocks counts."""
+    mine, theirs = cut_lineage(mine), cut_lineage(theirs)
+    across, down = -(-theirs.count() // RIGHT_SETS) or 1, -(-mine.count() // LEFT_SETS) or 1
+    dealt = lambda n: F.pmod(F.xxhash64("set", "n"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = mine.select("set", "n", dealt(down).alias("__l"), every(across).alias("__r")).groupBy("__l", "__r")
+    other = theirs.select("set", "n", "best", dealt(across).alias("__r"), every(down).alias("__l")).groupBy("__l", "__r")
+    return one.cogroup(other).applyInArrow(meet_sets, "set_l array<string>, n_l int, a int, b int, best string")
+
+
 def match_sources(left: DataFrame, right: DataFrame, name: str, frequent: int = 1000) -> DataFrame:
     """Best partner in ``right`` for every name in ``left`` (columns: name, match, score_class).
 
@@ -179,40 +232,36 @@ def match_sources(left: DataFrame, right: DataFrame, name: str, frequent: int =
     """
     stems_l = left.select(F.col(name), normalize_stem(name).alias("stem")).distinct()
     stems_r = right.select(normalize_stem(name).alias("stem"), F.col(name)).groupBy("stem").agg(F.max(name).alias("best"))
-    uniq_l = stems_l.select("stem").distinct()
+    # the names are read once, and dealt over all tasks before each gives many rows
+    width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    uniq_l, stems_r = cut_lineage(stems_l.select("stem").distinct().repartition(width, "stem")), cut_lineage(stems_r.repartition(width, "stem"))
     rank = lambda k, a, b, c: F.struct(F.lit(k).alias("k"), a.alias("a"), b.alias("b"), F.col(c).alias("name"))
     overlap = lambda a, b: F.size(F.array_intersect(_tokens(a), _tokens(b)))
 
-    equal = uniq_l.join(stems_r, "stem").select("stem", rank(3, F.length("stem"), F.length("stem"), "best").alias("r"))
+    equal = uniq_l.join(stems_r.hint("merge"), "stem").select("stem", rank(3, F.length("stem"), F.length("stem"), "best").alias("r"))
     inner = rank(2, overlap("sub", "whole"), -(F.length("whole") - F.length("sub")), "best").alias("r")
-    left_inside = _contained(uniq_l, stems_r).join(stems_r.withColumnRenamed("stem", "whole"), "whole").select(F.col("sub").alias("stem"), inner)
-    right_inside = _contained(stems_r, uniq_l).join(stems_r.withColumnRenamed("stem", "sub"), "sub").select(F.col("whole").alias("stem"), inner)
+    left_inside = _contained(uniq_l, stems_r).join(stems_r.withColumnRenamed("stem", "whole").hint("merge"), "whole").select(F.col("sub").alias("stem"), inner)
+    right_inside = _contained(stems_r, uniq_l).join(stems_r.withColumnRenamed("stem", "sub").hint("merge"), "sub").select(F.col("whole").alias("stem"), inner)
 
     has_r = stems_r.select("best", F.col("stem").alias("other"), _tokens("stem").alias("theirs"), F.explode(_tokens("stem")).alias("token"))
     has_l = uniq_l.select("stem", _tokens("stem").alias("mine"), F.explode(_tokens("stem")).alias("token"))
     spread = has_r.groupBy("token").agg(F.count("*").alias("n"))
-    rare, common = spread.filter(F.col("n") <= frequent).select("token"), spread.filter(F.col("n") > frequent).select("token")
+    rare, common = spread.filter(F.col("n") <= frequent).select("token"), spread.filter(F.col("n") > frequent).select("token")  # common: at most a thousandth of all tokens
     closeness = -F.abs(F.size("mine") - F.size("theirs"))
-    by_rare = has_l.join(has_r.join(rare, "token"), "token").select(
+    by_rare = has_l.join(has_r.join(rare.hint("merge"), "token").hint("merge"), "token").select(
         "stem", rank(1, F.size(F.array_intersect("mine", "theirs")), closeness, "best").alias("r")
     )
 
     def classes(has: DataFrame, own: str, tokens: str) -> DataFrame:
         """Stems by their set of frequent tokens and how many tokens they have."""
-        sets = has.join(common, "token").groupBy(own).agg(F.sort_array(F.collect_set("token")).alias("set"), F.first(F.size(tokens)).alias("n"))
-        return sets
+        return has.join(F.broadcast(common), "token").groupBy(own).agg(F.sort_array(F.collect_set("token")).alias("set"), F.first(F.size(tokens)).alias("n"))
 
     sets_l = classes(has_l, "stem", "mine")
     sets_r = classes(has_r, "best", "theirs").groupBy("set", "n").agg(F.max("best").alias("best"))
-    kinds_l = sets_l.select("set", "n").distinct()
-    meet_l = kinds_l.select(F.col("set").alias("set_l"), F.col("n").alias("n_l"), F.explode("set").alias("token"))
-    meet_r = sets_r.select("set", "n", "best", F.explode("set").alias("token"))
-    kinds = meet_l.join(meet_r, "token").groupBy("set_l", "n_l").agg(
-        F.max(rank(1, F.size(F.array_intersect("set_l", "set")), -F.abs(F.col("n_l") - F.col("n")), "best")).alias("r")
-    )
-    by_common = sets_l.join(kinds, (F.col("set") == F.col("set_l")) & (F.col("n") == F.col("n_l"))).select("stem", "r")
+    kinds = _best_sets(sets_l.select("set", "n").distinct(), sets_r).groupBy("set_l", "n_l").agg(F.max(rank(1, F.col("a"), F.col("b"), "best")).alias("r"))
+    by_common = sets_l.join(kinds.hint("merge"), (F.col("set") == F.col("set_l")) & (F.col("n") == F.col("n_l"))).select("stem", "r")
 
     best = equal.union(left_inside).union(right_inside).union(by_rare).union(by_common).groupBy("stem").agg(F.max("r").alias("r"))
-    return stems_l.join(best, "stem", "left").select(
+    return stems_l.join(best.hint("merge"), "stem", "left").select(
         F.col(name), F.col("r.name").alias("match"), F.coalesce(F.col("r.k"), F.lit(0)).alias("score_class")
     )

@@ -128,3 +128,19 @@ def test_matching_an_empty_side(spark):
     some, none = spark.createDataFrame([("a_b",), ("",)], "name string"), spark.createDataFrame([], "name string")
     assert rows(align.match_sources(some, none, "name")) == [("", None, 0), ("a_b", None, 0)]
     assert align.match_sources(none, some, "name").count() == 0
+
+
+def test_match_sources_broadcasts_no_names(spark):
+    """A small file can hold many names, so its size must not choose a broadcast (only the frequent tokens are one)."""
+    left = spark.createDataFrame([(f"fr_{i % 7}_m_{i}mm",) for i in range(60)], "name string")
+    right = spark.createDataFrame([(f"we_{i % 5}_m_{i * 3}mm_x",) for i in range(60)], "name string")
+    plan = align.match_sources(left, right, "name", frequent=5)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") <= 1
+
+
+def test_contained_names_of_every_length(spark):
+    wholes = ["abcdefghijklmnopqrst", "abcxyz", "aab", "x_y", "aaaaaaaaaaaaaaaa", "b"]
+    subs = ["", "a", "ab", "abc", "cdefgh", "cdefghijklmn", "defghijklmnopqrs", "aaaaaaaaaaaa", "zzz", "abcxyz", "x_y", "bc", "éa"]
+    make = lambda v: spark.createDataFrame([(x,) for x in v], "stem string")
+    got = {tuple(r) for r in align._contained(make(subs), make(wholes)).collect()}
+    assert got == {(s, w) for s in subs for w in wholes if s in w and s != w}
