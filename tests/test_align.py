@@ -144,3 +144,18 @@ def test_contained_names_of_every_length(spark):
     make = lambda v: spark.createDataFrame([(x,) for x in v], "stem string")
     got = {tuple(r) for r in align._contained(make(subs), make(wholes)).collect()}
     assert got == {(s, w) for s in subs for w in wholes if s in w and s != w}
+
+
+def test_sets_of_frequent_tokens_meet_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(align, "LEFT_SETS", 7)
+    monkeypatch.setattr(align, "RIGHT_SETS", 5)
+    mine = [(sorted({f"t{(i * k) % 11}" for k in range(1, 5)}), 4 + i % 3) for i in range(30)]
+    theirs = [(sorted({f"t{(i * k + 3) % 13}" for k in range(1, 6)}), 3 + i % 4, f"n{i}") for i in range(40)]
+    out = align._best_sets(spark.createDataFrame(mine, "set array<string>, n int").distinct(), spark.createDataFrame(theirs, "set array<string>, n int, best string"))
+    got = {}
+    for r in out.collect():
+        key = (tuple(r["set_l"]), r["n_l"])
+        got[key] = max(got.get(key, (0, 0, "")), (r["a"], r["b"], r["best"]))
+    for s, n in mine:
+        want = max((len(set(s) & set(t)), -abs(n - m), b) for t, m, b in theirs)
+        assert got[(tuple(s), n)] == want
