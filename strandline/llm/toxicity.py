@@ -234,29 +234,25 @@ def trainable(key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 4 != 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = 8000, words: int = 400, least: int = 5) -> Scorer:
-    """Letter model over all documents, word model over about ``sample`` labelled rows (the bound is this parameter).
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", words: int = 400, least: int = 5) -> Scorer:
+    """Letter model over all documents, word model over every row whose label may be learned.
 
-    The sample is a hash slice of the rows whose labels may be learned. Words and word beginnings are kept by the likelihood ratio
-    of their document counts, ``words`` at most, and weighted by a ridge-penalised logistic regression. Without labels, or with
-    labels of one kind, the bias alone is learned.
+    Words and word beginnings are kept by the likelihood ratio of their document counts, ``words`` at most, and weighted by a
+    ridge-penalised logistic regression whose sums are made by the tasks that hold the rows. Without labels, or with labels of
+    one kind, the bias alone is learned.
     """
     scorer = Scorer(letter_model(docs, text))
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).filter(F.col("_k").isNotNull() & F.col("_y").isNotNull())
     known = known.filter(trainable("_k")).groupBy("_k").agg(F.max("_y").alias("_y"))
-    share = min(1.0, sample / max(1, known.count()))
-    picked = known.filter(F.pmod(F.xxhash64("_k"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    if share == 1.0 or sample <= 50_000:
-        picked = F.broadcast(picked)  # at most ``sample`` rows and a little, two numbers each
-    rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(picked, "_k").select("_k", "_y", "_t")
+    # labels grow with the documents, so no side is broadcast, whatever their size
+    rows = docs.filter(trainable(key)).select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(known.hint("merge"), "_k").select("_y", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(scorer.features(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["k", "y", "found"])
+            found = [sorted(scorer.features(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["y", "found"])
 
-    kind = rows.schema["_k"].dataType.simpleString()
-    rows = written(rows.mapInArrow(lean(run), f"k {kind}, y int, found array<string>"), "toxic-sample")
+    rows = written(rows.mapInArrow(lean(run), "y int, found array<string>"), "toxic-labelled")
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
     n, bad = whole["n"], whole["y"]
     scorer.bias = float(np.log((bad + 0.5) / (n - bad + 0.5)))
@@ -275,27 +271,55 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     common = counts.filter(~F.col("f").endswith("~")).orderBy(F.desc("d"), "f").limit(LEXICON).select("f", "d").collect()
     met = sum(r["d"] for r in common)
     scorer.lexicon = {r["f"]: float(np.log(met / r["d"])) for r in common}
-    data = rows.select("k", "y", F.array_intersect("found", wanted).alias("f")).orderBy("k").collect()  # ``sample`` rows, few words each
-    weights, scorer.bias = _logistic([(r["y"], r["f"]) for r in data], names)
+    alike = rows.groupBy("y", F.array_sort(F.array_intersect("found", wanted)).alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    weights, scorer.bias = _logistic(written(alike, "toxic-alike"), names)
     scorer.weights = {w: float(x) for w, x in zip(names, weights) if abs(x) > 1e-3}
     return scorer
 
 
-def _logistic(data: list[tuple[int, list[str]]], names: list[str], ridge: float = 0.05, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression on the presence of words, by Newton steps; the bias is not penalised."""
-    at = {w: i for i, w in enumerate(names)}
-    x = np.zeros((len(data), len(names) + 1))
-    x[:, -1] = 1
-    for row, (_, found) in enumerate(data):
-        x[row, [at[w] for w in found]] = 1
-    y = np.array([v for v, _ in data], float)
-    penalty = np.full(len(names) + 1, ridge)
+PARTS, BLOCK = 16, 4096  # tasks that send sums of a Newton step to the driver; rows spread out together
+
+
+def _logistic(alike: DataFrame, names: list[str], ridge: float = 0.05, rounds: int = 25) -> tuple[np.ndarray, float]:
+    """Ridge-penalised logistic regression on the presence of words, by Newton steps; the bias is not penalised.
+
+    ``alike`` has (y, f, n): how many rows have the label and exactly these words. A task sends one packed triangle and one vector.
+    """
+    at, width = {w: i for i, w in enumerate(names)}, len(names) + 1
+    upper = np.triu_indices(width)
+    dealt = alike.select(F.pmod(F.xxhash64("y", "f"), F.lit(PARTS)).alias("part"), "y", "f", "n").repartition(PARTS, "part").sortWithinPartitions("part", "y", "f")
+    dealt = written(dealt, "toxic-dealt").coalesce(PARTS)
+    penalty = np.full(width, ridge)
     penalty[-1] = 1e-6
-    w = np.zeros(len(names) + 1)
+    w = np.zeros(width)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
-        step = np.linalg.solve(curve, x.T @ (y - p) - penalty * w)
+        now = w.copy()
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            curve, slope, least = np.zeros((width, width)), np.zeros(width), None
+            for batch in batches:
+                for s in range(0, batch.num_rows, BLOCK):
+                    cut = batch.slice(s, BLOCK)
+                    x = np.zeros((cut.num_rows, width))
+                    x[:, -1] = 1
+                    for row, found in enumerate(cut.column(2).to_pylist()):
+                        x[row, [at[v] for v in found]] = 1
+                    y, n = cut.column(1).to_numpy().astype(float), cut.column(3).to_numpy().astype(float)
+                    p = 1 / (1 + np.exp(-np.clip(x @ now, -30, 30)))
+                    curve += (x * (n * p * (1 - p))[:, None]).T @ x
+                    slope += x.T @ (n * (y - p))
+                    least = cut.column(0)[0].as_py() if least is None else least
+            if least is not None:
+                out = np.concatenate([curve[upper], slope])
+                yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64()), pa.array([out.tolist()], pa.list_(pa.float64()))], names=["part", "sums"])
+
+        total = np.zeros(len(upper[0]) + width)
+        for row in dealt.mapInArrow(sums, "part long, sums array<double>").orderBy("part").toArrow().column("sums"):
+            total += row.values.to_numpy()
+        curve = np.zeros((width, width))
+        curve[upper] = total[: len(upper[0])]
+        curve = curve + np.triu(curve, 1).T + np.diag(penalty + 1e-9)
+        step = np.linalg.solve(curve, total[len(upper[0]) :] - penalty * w)
         w += step * min(1.0, 4 / max(1e-9, np.abs(step).max()))  # long steps are shortened
         if np.abs(step).max() < 1e-4:
             break

@@ -366,3 +366,22 @@ def test_near_copies_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(frame).collect()) == sorted(set(want))
     near = [simhash.jaccard(a, b) for i, a in enumerate(texts) for b in texts[:i] if a != b]
     assert any(0.8 <= x < 0.82 for x in near) and any(0.77 < x < 0.8 for x in near)
+
+
+def test_toxicity_learns_every_label(spark):
+    """One word decides, and each row has words of its own besides: nine thousand labelled rows all count."""
+    n = 12_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat(IF(id % 4 = 0, 'vilewort ', 'kindword '), 'plain text') AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CAST(id % 4 = 0 AS INT) AS toxic")
+    trained = labels.filter(toxicity.trainable("doc_id"))
+    total, bad = trained.count(), trained.filter("toxic = 1").count()
+    seen = {}
+    fitted = toxicity._logistic
+    try:
+        toxicity._logistic = lambda alike, names, *rest: seen.update({r["y"]: seen.get(r["y"], 0) + r["n"] for r in alike.collect()}) or fitted(alike, names, *rest)
+        scorer = toxicity.fit(docs, labels)
+    finally:
+        toxicity._logistic = fitted
+    assert total > 8000 and seen == {0: total - bad, 1: bad}
+    scores = {r["text"][0]: r["score"] for r in toxicity.with_scores(docs.limit(40), scorer).collect()}
+    assert scores["v"] > 0.9 and scores["k"] < 0.1
