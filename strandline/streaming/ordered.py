@@ -24,56 +24,78 @@ END = -(1 << 63)  # the frame of a marker
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+CHUNK = 1000  # rows of one entry of the state
+SORTED = 100_000  # rows that are sorted by time before they are cut into entries
+
+
 class _Ordered(StatefulProcessor):
-    """Keeps (frame, item, a, b) rows per key in a map by event time; subclasses consume them in order.
+    """Keeps rows (at, frame, item, a, b) per key in entries of up to CHUNK rows in order of time; subclasses consume them in order.
 
-    One timer waits for the earliest time; when it fires, the times that the watermark has passed are taken out of the map, and
-    nothing else is read or written again but their names. All rows of a frame must share one event time.
+    New rows are only added, never read with those that wait, so calls to the state grow with the rows a key gets over CHUNK. One
+    timer waits for the earliest time; when it fires, entries that begin before the watermark are taken out one after another, and
+    what is later than the watermark goes back. Rows leave in order of time, frame and item. All rows of a frame must share one event time.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long", "rows string")
-        self.memory = handle.getValueState("memory", "body string, timer long")
+        self.waiting = handle.getMapState("waiting", "at long, serial long", "rows string")
+        self.memory = handle.getValueState("memory", "body string, timer long, serial long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple]] = {}
+        body, timer, serial = self.memory.get() if self.memory.exists() else (None, None, 0)
+        held: list[tuple] = []
+        first = None
         for part in rows:
-            for at, *row in part[["at", "frame", "item", "a", "b"]].itertuples(index=False, name=None):
-                if row[0] != END:
-                    held.setdefault(int(at), []).append(tuple(row))
-        if not held:
+            held += part.loc[part["frame"] != END, ["at", "frame", "item", "a", "b"]].itertuples(index=False, name=None)
+            if len(held) >= SORTED:
+                first, serial, held = self._wait(held, first, serial), serial + -(-len(held) // CHUNK), []
+        if held:
+            first, serial = self._wait(held, first, serial), serial + -(-len(held) // CHUNK)
+        if first is None:
             return iter(())
-        for at, new in held.items():
-            known = json.loads(self.waiting.getValue((at,))[0]) if self.waiting.exists() and self.waiting.containsKey((at,)) else []
-            self.waiting.updateValue((at,), (json.dumps(known + new),))
-        body, timer = self.memory.get() if self.memory.exists() else (None, None)
-        first = min(held)
         if timer is None or first < timer:
             if timer is not None:
                 self.handle.deleteTimer(int(timer))
             self.handle.registerTimer(first)
-            self.memory.update((body, first))
+            timer = first
+        self.memory.update((body, timer, serial))
         return iter(())
 
+    def _wait(self, rows: list[tuple], first: int | None, serial: int) -> int:
+        """Adds rows to the state, with serials from ``serial`` on; the earliest time so far."""
+        rows.sort(key=lambda r: r[:3])
+        for k, at in enumerate(range(0, len(rows), CHUNK)):
+            self.waiting.updateValue((int(rows[at][0]), serial + k), (json.dumps(rows[at : at + CHUNK]),))
+        return int(rows[0][0]) if first is None else min(first, int(rows[0][0]))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs()
-        times = sorted(k[0] for k in self.waiting.keys())
-        ready = []
-        for at in times:
-            if at > upto:
-                break
-            ready += sorted(map(tuple, json.loads(self.waiting.getValue((at,))[0])), key=lambda r: r[:2])
-            self.waiting.removeKey((at,))
-        later = [at for at in times if at > upto][:1]
-        if later:
-            self.handle.registerTimer(int(later[0]))
-        body = self.memory.get()[0] if self.memory.exists() else None
-        out, state = self.consume(json.loads(body) if body else None, ready)
-        self.memory.update((json.dumps(state), later[0] if later else None))
-        frame = pd.DataFrame(out, columns=["frame", "item", "a", "b", "result"])
-        frame.insert(0, "key", str(key[0]))
-        return iter([frame] if len(frame) else [])
+        body, _, serial = self.memory.get() if self.memory.exists() else (None, None, 0)
+        state = self.restore(json.loads(body) if body else None)
+        entries = sorted((int(k[0]), int(k[1])) for k in self.waiting.keys())
+        due = [e for e in entries if e[0] <= upto]
+        ready: list[tuple] = []
+        for k, entry in enumerate(due):
+            ready += map(tuple, json.loads(self.waiting.getValue(entry)[0]))
+            self.waiting.removeKey(entry)
+            if k + 1 < len(due) and len(ready) < SORTED and due[k + 1][0] <= ready[-1][0]:
+                continue  # the next entry begins before this one ends
+            ready.sort(key=lambda r: r[:3])
+            end = due[k + 1][0] if k + 1 < len(due) else upto + 1
+            out_of = next((i for i, r in enumerate(ready) if r[0] >= end), len(ready))
+            made = self.consume(state, [r[1:] for r in ready[:out_of]])
+            ready = ready[out_of:]
+            if made:
+                frame = pd.DataFrame(made, columns=["frame", "item", "a", "b", "result"])
+                frame.insert(0, "key", str(key[0]))
+                yield frame
+        later = min([e[0] for e in entries[len(due) : len(due) + 1]] + [r[0] for r in ready[:1]], default=None)
+        if ready:
+            self._wait(ready, None, serial)
+            serial += -(-len(ready) // CHUNK)
+        if later is not None:
+            self.handle.registerTimer(int(later))
+        self.memory.update((json.dumps(self.body(state)), later, serial))
 
     def close(self) -> None:
         pass
@@ -85,11 +107,17 @@ class TrackerProcessor(_Ordered):
     def __init__(self, rules: TrackRules):
         self.rules = rules
 
-    def consume(self, body, rows):
+    def restore(self, body) -> TrackerState:
         state = TrackerState()
         if body is not None:
             state.next_id, state.frame = body["next"], body["frame"]
             state.tracks = [Track(*t) for t in body["tracks"]]
+        return state
+
+    def body(self, state: TrackerState) -> dict:
+        return {"next": state.next_id, "frame": state.frame, "tracks": [astuple(t) for t in state.tracks]}
+
+    def consume(self, state: TrackerState, rows: list[tuple]) -> list[tuple]:
         out, at = [], 0
         while at < len(rows):
             end = at
@@ -100,7 +128,7 @@ class TrackerProcessor(_Ordered):
             for d, track in step_frame(state, frame[0][0], xs, ys, self.rules):
                 out.append((*frame[d], float(track)))
             at = end
-        return out, {"next": state.next_id, "frame": state.frame, "tracks": [astuple(t) for t in state.tracks]}
+        return out
 
 
 class JumpProcessor(_Ordered):
@@ -109,17 +137,23 @@ class JumpProcessor(_Ordered):
     def __init__(self, window: int, fraction: float, min_periods: int):
         self.window, self.fraction, self.min_periods = window, fraction, min_periods
 
-    def consume(self, body, rows):
-        past, out = list(body or []), []
+    def restore(self, body) -> list:
+        return list(body or [])
+
+    def body(self, state: list) -> list:
+        return state
+
+    def consume(self, state: list, rows: list[tuple]) -> list[tuple]:
+        out = []
         for frame, item, a, b in rows:
-            seen = [v for v in past if v is not None]
+            seen = [v for v in state if v is not None]
             jump = False
             if len(seen) >= self.min_periods and a == a:
                 mean = sum(seen) / len(seen)
                 jump = abs(a - mean) / (abs(mean) + 1e-9) > self.fraction
             out.append((frame, item, a, b, float(jump)))
-            past = [*past, a if a == a else None][-self.window :]
-        return out, past
+            state[:] = [*state, a if a == a else None][-self.window :]
+        return out
 
 
 def run_ordered(rows: DataFrame, delay: str, processor: StatefulProcessor) -> DataFrame:

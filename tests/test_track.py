@@ -165,3 +165,66 @@ def test_a_frame_of_many_detections():
     assert track.step_frame(state, 0, xs, ys, rules) == []
     moved = track.step_frame(state, 1, [x + 3 for x in xs], [y + 4 for y in ys], rules)
     assert sorted(moved) == [(i, i) for i in range(10_000)] and time.perf_counter() - start < 10
+
+
+class _Held:
+    """A map or a value of a stream's state that counts its calls."""
+
+    def __init__(self, calls):
+        self.held, self.value, self.calls = {}, None, calls
+
+    def _did(self, what):
+        self.calls.append(1)
+        return what
+
+    def updateValue(self, key, value):
+        self.held[self._did(key)] = value
+
+    def getValue(self, key):
+        return self.held[self._did(key)]
+
+    def removeKey(self, key):
+        del self.held[self._did(key)]
+
+    def containsKey(self, key):
+        return self._did(key in self.held)
+
+    def keys(self):
+        return self._did(iter(list(self.held)))
+
+    def exists(self):
+        return self._did(bool(self.held) or self.value is not None)
+
+    def get(self):
+        return self._did(self.value)
+
+    def update(self, value):
+        self.value = self._did(value)
+
+
+def test_waiting_rows_need_few_calls_of_the_state(monkeypatch):
+    """Rows of as many times as rows, in parts that overlap in time, leave in order; the state is called once per many rows."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from strandline.streaming import ordered
+
+    monkeypatch.setattr(ordered, "SORTED", 3000, raising=False)
+    calls, timers = [], []
+    handle = SimpleNamespace(
+        getMapState=lambda *_: _Held(calls), getValueState=lambda *_: _Held(calls), registerTimer=timers.append, deleteTimer=timers.remove
+    )
+    made = ordered.JumpProcessor(30, 0.2, 5)
+    made.init(handle)
+    at = np.random.default_rng(5).permutation(20_000)
+    part = pd.DataFrame({"at": at * 10, "frame": at, "item": at, "a": at.astype(float), "b": 0.0})
+    for half in (part[:9_000], part[9_000:]):
+        list(made.handleInputRows(("k",), iter([half[:4_000], half[4_000:]]), None))
+    out = []
+    for upto in (-1, 70_005, 200_000):
+        if timers and min(timers) <= upto:
+            timers.clear()
+            out.append([f for part in made.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: upto), None) for f in part["frame"]])
+    assert out == [list(range(7_001)), list(range(7_001, 20_000))]
+    assert len(calls) < 200 and not timers
