@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.sequence import Sequence, framed, ordered_fold, running_sum, with_field, with_position
+from strandline.sequence import Sequence, framed, running_sum, with_field, with_position
 
 
 @dataclass(frozen=True)
@@ -174,6 +175,10 @@ def episodes(df: DataFrame, seq: Sequence, frame: str, max_missed: int, out: str
     return running_sum(gap, seq, {out: cut}).drop("__step")
 
 
+def _key(rows: pd.DataFrame, at: int) -> tuple:
+    return tuple(None if pd.isna(v) else v for v in rows.iloc[at])
+
+
 def track_objects(
     df: DataFrame,
     keys: tuple[str, ...],
@@ -203,25 +208,36 @@ def track_objects(
     rows = episodes(df.select(*columns), seq, tick, rules.max_missed, ends=last)
     rows = rows.withColumns({x: F.col(x).cast("int"), y: F.col(y).cast("int")})
 
-    def start() -> dict:
-        return {"tracker": TrackerState(), "held": None}
-
-    def step(state, part: pd.DataFrame) -> pd.DataFrame:
-        part = part if state["held"] is None else pd.concat([state["held"], part], ignore_index=True)
-        state["held"], hits, ids = None, [], []
-        frames, stops = part[tick].tolist(), (np.flatnonzero(part["__last"].to_numpy(dtype=bool)) + 1).tolist()
-        xs, ys, at = part[x].astype(float).tolist(), part[y].astype(float).tolist(), 0
-        for end in stops:
-            for d, track in step_frame(state["tracker"], frames[at], xs[at:end], ys[at:end], rules):
-                hits.append(at + d)
-                ids.append(track)
-            at = end
-        if at < len(part):
-            state["held"] = part.iloc[at:]
-        return part.iloc[hits].drop(columns="__last").assign(track_in_episode=np.asarray(ids, dtype=np.int64))
+    group = [*keys, "episode"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """All episodes of a batch in one pass over its frames: an episode costs no table operations of its own."""
+        tracker, held, previous = TrackerState(), None, None
+        for part in parts:
+            if part.empty:
+                continue
+            part = part if held is None else pd.concat([held, part], ignore_index=True)
+            own, above = part[group], part[group].shift()
+            fresh = ((own != above) & ~(own.isna() & above.isna())).any(axis=1).to_numpy()
+            fresh[0] = _key(own, 0) != previous
+            begins, hits, ids = fresh.tolist(), [], []
+            frames, stops = part[tick].tolist(), (np.flatnonzero(part["__last"].to_numpy(dtype=bool)) + 1).tolist()
+            xs, ys, at = part[x].astype(float).tolist(), part[y].astype(float).tolist(), 0
+            for end in stops:
+                if begins[at]:
+                    tracker = TrackerState()
+                for d, track in step_frame(tracker, frames[at], xs[at:end], ys[at:end], rules):
+                    hits.append(at + d)
+                    ids.append(track)
+                at = end
+            previous = _key(own, at - 1) if at else previous
+            held = part.iloc[at:] if at < len(part) else None
+            if hits:
+                yield part.iloc[hits].drop(columns="__last").assign(track_in_episode=np.asarray(ids, dtype=np.int64))
 
     schema = with_field(rows.drop("__last"), "track_in_episode", T.LongType())
-    done = ordered_fold(rows.select(*[c for c in rows.columns if c != "__last"], "__last"), [*keys, "episode"], [frame, detection], start, step, schema)
+    arranged = rows.select(*[c for c in rows.columns if c != "__last"], "__last").repartition(*group).sortWithinPartitions(*group, frame, detection)
+    done = arranged.mapInPandas(run, schema)
     return done.withColumn("track_key", F.struct("episode", F.col("track_in_episode").alias("n"))).drop(
         "episode", "track_in_episode"
     )

@@ -228,3 +228,18 @@ def test_waiting_rows_need_few_calls_of_the_state(monkeypatch):
             out.append([f for part in made.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: upto), None) for f in part["frame"]])
     assert out == [list(range(7_001)), list(range(7_001, 20_000))]
     assert len(calls) < 200 and not timers
+
+
+def test_very_many_short_episodes(spark):
+    """An episode costs its frames, not table operations of its own: 200 000 of two frames each."""
+    import time
+
+    seen = spark.range(400_000).select(
+        (F.col("id") % 40).alias("k"), (F.expr("id div 80") * 50 + F.expr("(id div 40) % 2")).alias("f"), F.col("id").alias("item"),
+        F.lit(3).alias("x"), (5 * F.expr("(id div 40) % 2")).alias("y"),
+    ).repartition(8, "k")
+    began = time.time()
+    found = track.track_objects(seen, ("k",), "f", "x", "y", "item", RULES, None).agg(F.count("*"), F.sum("item"), F.max("track_key.n")).first()
+    late = [i for i in range(400_000) if i // 40 % 2]
+    assert tuple(found) == (200_000, sum(late), 0)
+    assert time.time() - began < 25
