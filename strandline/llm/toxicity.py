@@ -32,6 +32,7 @@ WORD = re.compile(r"[^\W\d_]+")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 PREFIXES = (4, 5, 6)
 KEPT = 150_000  # words a worker remembers
+MET = 10_000  # words whose features a task of the fit keeps
 
 
 def letter_codes(text: str) -> np.ndarray:
@@ -195,8 +196,14 @@ class Scorer:
         words += self.restored(word)
         return {*words, *(w[:p] + "~" for w in words for p in PREFIXES if len(w) >= p)}
 
-    def features(self, text: str | None) -> set[str]:
-        return set().union(*map(self.shown, words_of(text)))
+    def features(self, text: str | None, met: dict[str, set[str]] | None = None) -> set[str]:
+        """What all words of a text show; ``met`` keeps it for words that come again."""
+        words, met = words_of(text), {} if met is None else met
+        if len(met) > MET:
+            met.clear()
+        for w in words.difference(met):
+            met[w] = self.shown(w)
+        return set().union(*[met[w] for w in words])
 
     def score(self, text: str | None) -> float:
         words = words_of(text)
@@ -248,8 +255,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.filter(trainable(key)).select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(known.hint("merge"), "_k").select("_y", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[str, set[str]] = {}
         for batch in batches:
-            found = [sorted(scorer.features(t)) for t in batch.column(1).to_pylist()]
+            found = [sorted(scorer.features(t, met)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["y", "found"])
 
     rows = written(rows.mapInArrow(lean(run), "y int, found array<string>"), "toxic-labelled")

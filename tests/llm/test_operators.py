@@ -385,3 +385,21 @@ def test_toxicity_learns_every_label(spark):
     assert total > 8000 and seen == {0: total - bad, 1: bad}
     scores = {r["text"][0]: r["score"] for r in toxicity.with_scores(docs.limit(40), scorer).collect()}
     assert scores["v"] > 0.9 and scores["k"] < 0.1
+
+
+def test_op7_features_of_a_word_are_made_once(monkeypatch):
+    """Words that come again in other texts cost nothing, and what is kept for them is bounded."""
+    import numpy as np
+
+    from strandline.llm import toxicity
+
+    made, shown = [], toxicity.Scorer.shown
+    monkeypatch.setattr(toxicity.Scorer, "shown", lambda self, w: made.append(w) or shown(self, w))
+    scorer, met = toxicity.Scorer(np.zeros((28, 28, 28), np.float32)), {}
+    texts = ["some b4d words", "b4d words again", None, "words some b4d"]
+    kept = [scorer.features(t, met) for t in texts]
+    assert sorted(made) == ["again", "b4d", "some", "words"]
+    assert kept == [scorer.features(t) for t in texts]
+    monkeypatch.setattr(toxicity, "MET", 3)
+    scorer.features("other", met)
+    assert set(met) == {"other"}
