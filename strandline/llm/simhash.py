@@ -5,7 +5,8 @@ three bits, some segment starts a chain whose first l segments together differ i
 first, one in the first two, two in the first three. So a candidate shares one whole segment and all but one bit of the next,
 a key of 32 bits, and each further segment of the chain prunes it before the full count.
 
-Three bits are the settings of the thin query. Texts of a five-word Jaccard of 0.8 differ in more, so keep_one compares shingle sets.
+keep_one takes fingerprints of five-word shingles: texts that these link are compared by their shingle sets. Texts of a Jaccard of 0.8
+may differ in more than three bits, so pairs that share a rare shingle and no link are compared too, and none is lost.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)]))
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), grams), np.uint64)
+    return _majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), grams), np.uint64))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for s in range(0, len(hashes), 1 << 14):
         part = hashes[s : s + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -238,20 +243,20 @@ def _texts(docs: DataFrame, words: bool = True) -> DataFrame:
 
 
 def _sized(texts: DataFrame) -> DataFrame:
-    """``texts``, which has z, with the number n of shingles and their parities as ``bits``."""
+    """``texts``, which has z, with the number n of shingles, their parities as ``bits`` and their fingerprint ``fp``."""
     at = texts.columns.index("z")
-    out = texts.select("*", F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<long>").alias("bits"))
+    out = texts.select("*", F.lit(None).cast("int").alias("n"), F.lit(None).cast("array<long>").alias("bits"), F.lit(None).cast("long").alias("fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for whole in batches:
             for s in range(0, whole.num_rows, 1000):
                 batch = whole.slice(s, 1000)
-                sizes, bits = [], []
+                sizes, bits, prints = [], [], []
                 for z in batch.column(at).to_pylist():
                     found = _shingles(unpack(z).split())
-                    sizes.append(len(found)), bits.append(_parities(found))
-                added = [pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64()))]
+                    sizes.append(len(found)), bits.append(_parities(found)), prints.append(_majority(found))
+                added = [pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=out_names)
 
     out_names = out.columns
@@ -310,13 +315,16 @@ def _possible(a: str, b: str) -> Column:
 def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose Jaccard, by the shingles themselves, is 0.8 or more.
 
-    At 0.8 two texts of n shingles together differ in at most n / 9. Texts are brought together only where their parities allow that.
+    At 0.8 two texts of n shingles together differ in at most n / 9. Texts are brought together only where their parities allow that, and
+    only texts of such pairs are moved.
     """
     for x in "ab":
         pairs = pairs.join(texts.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
     differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, c: total + c)
-    pairs = pairs.filter(9 * differ <= F.col("na") + F.col("nb")).select("a", "b")
-    left, right = (texts.select(F.col("id").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
+    pairs = written(pairs.filter(9 * differ <= F.col("na") + F.col("nb")).select("a", "b"), "near-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    needed = written(texts.select("id", "z").join(F.broadcast(ids) if 2 * pairs.count() <= STAYS else ids, "id", "left_semi"), "near-needed")
+    left, right = (needed.select(F.col("id").alias(x), F.col("z").alias(f"z{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -334,14 +342,30 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(lean(run), "a long, b long")
 
 
+def _linked(texts: DataFrame) -> DataFrame:
+    """(a, b): pairs of texts that connect what equal fingerprints and the links of up to DIFFER bits connect; a is the greater id."""
+    prints = texts.select("fp", "id")
+    least = written(prints.groupBy("fp").agg(F.min("id").alias("id")), "near-prints")
+    equal = prints.join(least.withColumnRenamed("id", "other"), "fp").filter("id <> other").select("id", "other")
+    ends = (least.select(F.col("fp").alias(x), F.col("id").alias(i)) for x, i in (("a", "id"), ("b", "other")))
+    apart = links(least.select("fp")).join(next(ends), "a").join(next(ends), "b").select("id", "other")
+    return equal.unionByName(apart).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
+
+
 def _near_components(rows: DataFrame) -> DataFrame:
     """(a, b, root, low): per distinct text, told by both hashes, the component of near copies it is in and its smallest key.
 
     ``rows`` has k, a, b and z. Texts that share the first hash alone get another number in the graph.
     """
     distinct = rows.groupBy("a", "b").agg(F.min(F.coalesce(F.col("k").cast("long"), F.lit(NULL_ID))).alias("low"), F.min("z").alias("z"))
-    clash = F.count(F.lit(1)).over(Window.partitionBy("a")) > 1
-    texts = written(_sized(distinct.withColumn("id", F.when(clash, F.col("a").bitwiseXOR(F.col("b"))).otherwise(F.col("a")))), "near-texts")
+    texts = written(_sized(distinct), "near-texts")
+    clash = texts.groupBy("a").agg((F.count(F.lit(1)) > 1).alias("clash")).filter("clash")
+    if clash.isEmpty():
+        texts = texts.withColumn("id", F.col("a"))
+    else:
+        texts = written(texts.join(clash, "a", "left").withColumn("id", F.when(F.col("clash"), F.col("a").bitwiseXOR(F.col("b"))).otherwise(F.col("a"))).drop("clash"), "near-texts")
+    linked = written(_linked(texts), "near-linked")
+    edges = written(_alike(linked, texts), "near-edges")
     members = _rarest(texts).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1").drop("m")
     members = written(members, "near-members")
     me = F.struct("id", "n", "pos")
@@ -349,7 +373,8 @@ def _near_components(rows: DataFrame) -> DataFrame:
     for order in (["n", "id"], [F.xxhash64("id"), "id"]):
         beside = members.select(me.alias("x"), F.lag(me).over(Window.partitionBy("key").orderBy(*order)).alias("y")).filter("y is not null")
         found.append(beside.filter(_possible("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")))
-    edges = written(_alike(found[0].unionByName(found[1]).distinct(), texts), "near-edges")
+    beside = found[0].unionByName(found[1]).distinct().join(linked, ["a", "b"], "left_anti")
+    edges = edges.unionByName(written(_alike(beside, texts), "near-edges"))
     joined = components(edges)
 
     named = members.join(joined, members.id == joined.node, "left").select("key", "id", "n", "pos", F.coalesce("root", "id").alias("comp"))
@@ -369,14 +394,16 @@ def _near_components(rows: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component_id): the smallest key reachable over pairs of texts whose five-word shingles have a Jaccard of 0.8 or more.
 
-    All such pairs count: they share one of the rarest fifth of their shingles, and each pair that does is checked by its shingles.
+    Texts whose fingerprints are linked are checked by their shingles first. All pairs of 0.8 count, also those of more bits: they share one
+    of the rarest fifth of their shingles, and each pair that does is checked too.
     Neighbours under a shingle are checked first, so that a large group of copies is mostly one component before the pairs between
     components are. Texts of equal words, told by two 64-bit hashes, are one; a text without words, null or empty, is like its equals only.
     A null key is less than all others and returned as null where it is the smallest. Components that share their smallest key are told
     apart by ``keep_one`` only. Repeated rows are each returned; other columns are not read; an empty table gives an empty table.
     """
-    rows = written(_texts(docs.select(F.col(key).alias("k"), F.col(text).alias("t"))), "near-rows")
-    roots = written(_near_components(rows), "near-roots")
+    plain = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = written(_texts(plain, words=False), "near-rows")
+    roots = written(_near_components(_texts(plain)), "near-roots")
     smallest = roots.groupBy("root").agg(F.min("low").alias("least"))
     named = roots.join(smallest, "root").select("a", "b", F.when(F.col("least") != NULL_ID, F.col("least")).alias("component_id"))
     return rows.select("k", "a", "b").join(named, ["a", "b"]).select(F.col("k").alias(key), "component_id")
@@ -393,8 +420,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     low = F.coalesce(F.col(f"row.`{key}`").cast("long"), F.lit(NULL_ID)).alias("low")
     told = [low, F.xxhash64(*[F.col(f"row.`{c}`") for c in plain]).alias("h"), F.col(f"row.`{text}`").alias("t")]
-    rows = written(_texts(boxed.select(F.col(f"row.`{key}`").alias("k"), *told)), "near-rows")
-    stays = _near_components(rows).groupBy("root").agg(F.min(F.struct("low", "a", "b")).alias("s")).select("s.*")
+    rows = written(_texts(boxed.select(*told), words=False), "near-rows")
+    stays = _near_components(_texts(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")))).groupBy("root").agg(F.min(F.struct("low", "a", "b")).alias("s")).select("s.*")
     ones = rows.groupBy("low", "a", "b", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("low", "a", "b").agg(F.min(F.struct("h", "n")).alias("r"))
     chosen = written(stays.join(ones, ["low", "a", "b"]).select("low", "a", "b", "r.h", "r.n"), "near-stays")
     # the texts are hashed once more: rows are told by numbers, and only rows that occur more than once are moved

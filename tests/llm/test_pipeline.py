@@ -164,3 +164,18 @@ def test_texts_that_share_one_hash_stay_apart(spark, monkeypatch):
     rows = spark.createDataFrame([(i, 7, 100 + i // 2, simhash.zstandard.ZstdCompressor().compress(f"text number {i // 2}".encode())) for i in range(8)], "k long, a long, b long, z binary")
     found = simhash._near_components(rows).collect()
     assert len(found) == 4 and len({r["root"] for r in found}) == 4 and sorted(r["low"] for r in found) == [0, 2, 4, 6]
+
+
+def test_near_stage_links_fingerprints_first(spark, monkeypatch):
+    """Texts whose fingerprints differ in up to three bits are paired by the ring; pairs of 0.8 beyond that are found too, and 0.79 stays apart."""
+    texts = [t for i in range(12) for t in (" ".join(f"w{i}-{j}" for j in range(200)), " ".join(f"w{i}-{j}" for j in range(200 + i)))]
+    prints = [simhash._majority(simhash._shingles(t.encode().split())) for t in texts]
+    asked, ring = [], simhash._linked
+    monkeypatch.setattr(simhash, "_linked", lambda rows: asked.append(ring(rows)) or asked[-1])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(frame).collect()}
+    near = {(i, j) for j, a in enumerate(prints) for i, b in enumerate(prints[:j]) if texts[i] != texts[j] and (a ^ b).bit_count() <= simhash.DIFFER}
+    far = {(i, i + 1) for i in range(2, 24, 2)} - near
+    name = {simhash.xxhash.xxh64_intdigest(t) - (simhash.xxhash.xxh64_intdigest(t) >> 63 << 64): i for i, t in reversed(list(enumerate(texts)))}
+    assert {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in asked[0].collect()} == near and near and far
+    assert found == {i: i - i % 2 for i in range(24)}
