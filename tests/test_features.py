@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import names, scalars
 from strandline.operators import features
+from strandline.plans import windows
 from strandline.sequence import Sequence
 from tests.conftest import close, rows
 
@@ -77,6 +78,27 @@ def test_sliding_windows_skip_or_reject_holes(df, frame, seq):
         assert got[clean.index[j]] == pytest.approx(clean["a"].iloc[j - 3:j + 1].tolist())
 
 
+@pytest.mark.parametrize("seq", SPECS)
+def test_a_sequence_of_one_window_is_not_left_out(spark, seq):
+    """Keys of 3, 4 and 5 clean rows have no, one and two windows of 4."""
+    df = spark.createDataFrame([(k, i, float(10 * k + i)) for k in (3, 4, 5) for i in range(k)] + [(4, 9, None)], "k int, i int, a double")
+    out = features.sliding_windows(df, seq, ["a"], ["a"], 4)
+    assert rows(out.select("k", "window_end")) == [(4, 3), (5, 3), (5, 4)]
+    assert [r["window"] for r in out.filter("k = 4").collect()] == [[40.0, 41.0, 42.0, 43.0]]
+
+
+def test_the_query_returns_whole_windows(spark):
+    """All steps of both inputs and all twelve statistics."""
+    out = windows.sliding_windows(spark, "/root/testdata/sf0.001")
+    assert len(out.columns) == 4 + 4 * 2 + 12
+    r = out.orderBy("l_suppkey", "window_end").first().asDict()
+    q, t = (np.array([r[f"{c}_{k}"] for k in range(4)]) for c in ("quantity", "tax"))
+    for c, v in (("quantity", q), ("tax", t)):
+        for s, want in {"mean": v.mean(), "std": v.std(), "min": v.min(), "max": v.max(), "slope": np.polyfit(range(4), v, 1)[0]}.items():
+            assert abs(r[f"{c}_{s}"] - want) < 2e-6
+    assert abs(r["product_mean"] - (q * t).mean()) < 2e-6 and abs(r["product_std"] - (q * t).std()) < 2e-6
+
+
 @pytest.mark.parametrize("seq", SPECS)
 def test_lag_matrix_order_and_warmup(df, frame, seq):
     out = features.lag_matrix(df, seq, "b", ["a"], 2, 2, 3)
