@@ -23,7 +23,7 @@ from strandline.llm.common import lean
 NONE = np.int64(1 << 40)  # rank of a pair that does not merge
 CLASSES = (2, 4, 8, 12, 16, 24, 32, 64, 128)  # row lengths; longer pieces go through the heap, with the same result
 KEPT = 200_000  # distinct pieces a worker remembers before it starts anew
-ROWS = 8192  # of a matrix
+CELLS = 1 << 17  # of a matrix
 
 
 class Ranks:
@@ -86,8 +86,9 @@ class Ranks:
             else:
                 by_class.setdefault(next(c for c in CLASSES if len(p) <= c), []).append(i)
         for width, members in by_class.items():
-            for start in range(0, len(members), ROWS):
-                block = members[start : start + ROWS]
+            rows = CELLS // width
+            for start in range(0, len(members), rows):
+                block = members[start : start + rows]
                 for i, ids in zip(block, self._matrix([pieces[i] for i in block], width)):
                     out[i] = ids
         return out
@@ -200,7 +201,7 @@ class Codec:
         return b"".join(map(self.ranks.tokens.__getitem__, ids))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut to about so many characters of a column: the pieces of a slice are held at once."""
     for batch in batches:
         start = total = 0

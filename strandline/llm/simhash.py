@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import NULL_ID, lean, written
+from strandline.llm.common import NULL_ID, discard, lean, settled, written
 
 SEGMENTS, WIDTH, DIFFER = 4, 16, 3
 BUDGET = tuple(i * DIFFER // SEGMENTS for i in range(1, SEGMENTS + 1))  # 0, 1, 2, 3
@@ -162,7 +162,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "v")
         pairs = small.select("v", F.col("m").alias("u")).unionByName(small.filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")))
         following = written(pairs.distinct(), "stars")
-        if following.count() == now.count() and following.exceptAll(now).isEmpty():
+        done = following.count() == now.count() and following.exceptAll(now).isEmpty()
+        discard(now)
+        if done:
             return following.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(
                 following.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
             )
@@ -365,7 +367,7 @@ def _near_components(rows: DataFrame) -> DataFrame:
     else:
         texts = written(texts.join(clash, "a", "left").withColumn("id", F.when(F.col("clash"), F.col("a").bitwiseXOR(F.col("b"))).otherwise(F.col("a"))).drop("clash"), "near-texts")
     linked = written(_linked(texts), "near-linked")
-    edges = written(_alike(linked, texts), "near-edges")
+    edges = settled(lambda: _alike(linked, texts), "near-edges")
     members = _rarest(texts).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1").drop("m")
     members = written(members, "near-members")
     me = F.struct("id", "n", "pos")
@@ -374,7 +376,7 @@ def _near_components(rows: DataFrame) -> DataFrame:
         beside = members.select(me.alias("x"), F.lag(me).over(Window.partitionBy("key").orderBy(*order)).alias("y")).filter("y is not null")
         found.append(beside.filter(_possible("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")))
     beside = found[0].unionByName(found[1]).distinct().join(linked, ["a", "b"], "left_anti")
-    edges = edges.unionByName(written(_alike(beside, texts), "near-edges"))
+    edges = edges.unionByName(settled(lambda: _alike(beside, texts), "near-edges"))
     joined = components(edges)
 
     named = members.join(joined, members.id == joined.node, "left").select("key", "id", "n", "pos", F.coalesce("root", "id").alias("comp"))
@@ -382,10 +384,11 @@ def _near_components(rows: DataFrame) -> DataFrame:
     open_ = named.withColumn("low", F.min("comp").over(under)).withColumn("high", F.max("comp").over(under)).filter("low <> high")
     open_ = open_.withColumn("most", F.count(F.lit(1)).over(Window.partitionBy("key", "comp"))).withColumn("most", F.max(F.struct("most", "comp")).over(under))
     open_ = written(open_.select("key", "comp", F.struct("id", "n", "pos").alias("x"), (F.col("comp") != F.col("most.comp")).alias("apart")), "near-open")
+    discard(members)
     others = open_.select("key", F.col("comp").alias("beyond"), F.col("x").alias("y"))
     crossing = open_.filter("apart").join(others, "key").filter((F.col("comp") != F.col("beyond")) & _possible("x", "y"))
     pairs = crossing.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    late = written(_alike(pairs, texts), "near-edges")
+    late = settled(lambda: _alike(pairs, texts), "near-edges")
     if not late.isEmpty():
         joined = components(edges.unionByName(late))
     return texts.join(joined, texts.id == joined.node, "left").select("a", "b", F.coalesce("root", "id").alias("root"), "low")
@@ -420,10 +423,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     low = F.coalesce(F.col(f"row.`{key}`").cast("long"), F.lit(NULL_ID)).alias("low")
     told = [low, F.xxhash64(*[F.col(f"row.`{c}`") for c in plain]).alias("h"), F.col(f"row.`{text}`").alias("t")]
-    rows = written(_texts(boxed.select(*told), words=False), "near-rows")
-    stays = _near_components(_texts(docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")))).groupBy("root").agg(F.min(F.struct("low", "a", "b")).alias("s")).select("s.*")
-    ones = rows.groupBy("low", "a", "b", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("low", "a", "b").agg(F.min(F.struct("h", "n")).alias("r"))
-    chosen = written(stays.join(ones, ["low", "a", "b"]).select("low", "a", "b", "r.h", "r.n"), "near-stays")
+    plain_texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+
+    def choice() -> DataFrame:
+        rows = written(_texts(boxed.select(*told), words=False), "near-rows")
+        stays = _near_components(_texts(plain_texts)).groupBy("root").agg(F.min(F.struct("low", "a", "b")).alias("s")).select("s.*")
+        ones = rows.groupBy("low", "a", "b", "h").agg(F.count(F.lit(1)).alias("n")).groupBy("low", "a", "b").agg(F.min(F.struct("h", "n")).alias("r"))
+        return stays.join(ones, ["low", "a", "b"]).select("low", "a", "b", "r.h", "r.n")
+
+    chosen = settled(choice, "near-stays")
     # the texts are hashed once more: rows are told by numbers, and only rows that occur more than once are moved
     again = _texts(boxed.select("row", *told), words=False)
     small = chosen.count() <= STAYS

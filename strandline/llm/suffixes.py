@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import NULL_ID, lean, written
+from strandline.llm.common import NULL_ID, discard, lean, written
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # grams of a window
@@ -421,6 +421,7 @@ def covered(docs: DataFrame) -> DataFrame:
 
     bodies = squeezed.join(wanted, "d").select("d", "row", "z", "wanted").mapInArrow(lean(cut), "k long, chunk int, hot boolean, d long, at long, body binary")
     found = written(_sorted_edges(bodies.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "d", "at")), "suffix-found")
+    discard(squeezed)
     rivals = found.filter("window is not null")
     first = rivals.groupBy("window").agg(F.min(F.struct("d", "start")).alias("first"))
     late = rivals.join(first, "window").filter(F.struct("d", "start") != F.col("first"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import lean, written
+from strandline.llm.common import discard, lean, written
 
 # What a sign may stand for, besides itself.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": "aeiou", "€": "e"}
@@ -280,7 +280,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     met = sum(r["d"] for r in common)
     scorer.lexicon = {r["f"]: float(np.log(met / r["d"])) for r in common}
     alike = rows.groupBy("y", F.array_sort(F.array_intersect("found", wanted)).alias("f")).agg(F.count(F.lit(1)).alias("n"))
-    weights, scorer.bias = _logistic(written(alike, "toxic-alike"), names)
+    alike = written(alike, "toxic-alike")
+    discard(rows)
+    weights, scorer.bias = _logistic(alike, names)
+    discard(alike)
     scorer.weights = {w: float(x) for w, x in zip(names, weights) if abs(x) > 1e-3}
     return scorer
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 from collections import Counter
 
 import duckdb
@@ -12,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import queries, simhash, suffixes, toxicity
+from strandline.llm import common, queries, simhash, suffixes, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -179,3 +180,28 @@ def test_near_stage_links_fingerprints_first(spark, monkeypatch):
     name = {simhash.xxhash.xxh64_intdigest(t) - (simhash.xxhash.xxh64_intdigest(t) >> 63 << 64): i for i, t in reversed(list(enumerate(texts)))}
     assert {tuple(sorted((name[r["a"]], name[r["b"]]))) for r in asked[0].collect()} == near and near and far
     assert found == {i: i - i % 2 for i in range(24)}
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    table = common.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test")
+    for _ in range(50):  # files go a little after the write
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not shuffle_files(spark) - before and table.count() == 7 and spark.conf.get(common.CLEANUP, None) in (None, "false")
+
+
+def test_tables_go_once_nothing_reads_them(spark, docs, folder, tmp_path, monkeypatch):
+    """What a stage wrote on its way, and the rows of the stage before, are removed when its own rows stand."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    left = lambda: {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    kept = simhash.keep_one(docs)
+    assert left() == {"near-stays"} and listed(kept) == sorted(plain_near(docs.collect()), key=str)
+    out = corpus_pipeline.run(spark, folder)
+    assert left() == {"near-stays", "pipeline-mix_sources"} and out.count() > 0
